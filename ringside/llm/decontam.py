@@ -53,7 +53,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     parts = []
     for m in lengths:
         own = items.filter(F.size("words") >= m if m == window else F.size("words") == m)
-        grams = _with_keys(own, [m]).select("item", "words", F.posexplode(f"key_{m}").alias("at", "key"))
+        grams = _with_keys(own, [m]).select("item", "words", F.posexplode_outer(f"key_{m}").alias("at", "key"))
         parts.append(grams.select("key", F.lit(m).alias("m"), F.array_join(F.slice("words", F.col("at") + 1, F.lit(m)), " ").alias("gram"), "item"))
     if not parts:
         return benchmark.sparkSession.createDataFrame([], "key long, m int, gram string, items array<string>"), []
@@ -87,9 +87,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     keys = grams.select("key").distinct()
     if grams.count() <= broadcast_rows:
         keys, grams = F.broadcast(keys), F.broadcast(grams)
+    # The outer form: the plain one adds a filter that computes the keys again, inlined.
     scanned = _with_keys(docs.select("doc_id", "fp", words(F.col("text")).alias("words")), lengths)
     every = F.col(f"key_{lengths[0]}") if len(lengths) == 1 else F.concat(*[F.col(f"key_{m}") for m in lengths])
-    at = scanned.select("doc_id", "fp", F.posexplode(every).alias("at", "key")).join(keys, "key", "left_semi")
+    at = scanned.select("doc_id", "fp", F.posexplode_outer(every).alias("at", "key")).join(keys, "key", "left_semi")
     spots = at.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("at", "key")).alias("spots"))
 
     # The texts meet their candidate positions once; what stays is a row a document without its text.
