@@ -42,7 +42,8 @@ def _lines(documents: DataFrame) -> DataFrame:
     leaf = lambda s: F.xxhash64(F.regexp_count(s, F.lit(r"\S+")), F.transform(head(F.ltrim(s)), masked))
     docs = docs.withColumn("leaves", F.transform("lines", leaf))
     every = F.transform("lines", lambda s, i: F.struct(i.alias("line_no"), s.alias("line"), F.get("leaves", i).alias("leaf"), F.xxhash64(F.coalesce(F.get("leaves", i - 1), F.lit(0)), F.coalesce(F.get("leaves", i + 1), F.lit(0))).alias("place")))
-    return docs.select("doc_id", "fp", F.explode(every).alias("l")).select("doc_id", "fp", "l.*").filter(F.col("line").rlike(r"\S"))
+    # The outer form: the plain one adds a filter that computes the leaves again.
+    return docs.select("doc_id", "fp", F.explode_outer(every).alias("l")).select("doc_id", "fp", "l.*").filter(F.col("line").rlike(r"\S"))
 
 
 def _recurring(df: DataFrame, key: str, min_docs: int) -> DataFrame:
@@ -67,7 +68,7 @@ def templates(documents: DataFrame, min_docs: int = MIN_DOCS, share: float = SHA
     lines = _lines(documents)
     hot = save(_recurring(lines.select("leaf", "doc_id", "fp", "place"), "leaf", min_docs), "leaves")
     kept = save(lines.join(_small(hot, broadcast_rows), "leaf", "left_semi"), "lines").withColumn("tokens", _tokens(F.col("line")))
-    at = kept.select("leaf", F.posexplode("tokens").alias("at", "token"))
+    at = kept.select("leaf", F.posexplode_outer("tokens").alias("at", "token"))
     counts = at.groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
     sizes = kept.groupBy("leaf").agg(F.count("*").alias("total"))
     # At most 1/share tokens a place pass, so a leaf's constants are bounded by its token count.
