@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, linededup, packing, secrets, tokenbin
-from .common import table
+from . import decontam, fingerprints, linededup, minhash, packing, quality, secrets, substring, tokenbin, toxicity
+from .common import held_out, save, table
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +48,39 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_ids(tokenbin.write_ids(table(spark, sf_dir, "documents")))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substring.dedup_substrings(docs.withColumn("n_chars", F.char_length("text").cast("long")))
+    return found.select("doc_id", "n_chars", "n_removed", F.size("spans").cast("long").alias("n_spans"), (F.col("n_removed") > 0).alias("repeated"), "owners", "text")
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.kept(minhash.groups(table(spark, sf_dir, "documents"), size=2, percent=80))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 3, 1)).select("doc_id", F.col("toxic").alias("y"))
+    scored = toxicity.score(docs, toxicity.train(docs.join(labels, "doc_id").select("text", "y")))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = save(quality.measured(table(spark, sf_dir, "documents").select("doc_id", "text")), "measured")
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 4, 2)).select("doc_id", F.col("quality").alias("y"))
+    scored = quality.score(rows, quality.train(rows.join(labels, "doc_id")))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_line_dedup, op4_packing, op5_token_output, op9_secrets)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_fingerprints, op2_decontamination, op3_line_dedup, op4_packing, op5_token_output, op6_substring_dedup, op7_near_duplicates, op8_toxicity, op9_secrets, op10_quality)
+}
 ORACLE_SQL: dict[str, str] = {}

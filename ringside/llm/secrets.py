@@ -65,8 +65,8 @@ def samples(documents: DataFrame) -> DataFrame:
     blank = docs.select("text", "base")
     for _, pattern, _, _ in BASE:
         blank = blank.withColumn("text", F.when(F.size("base") > 0, F.regexp_replace("text", pattern, " ")).otherwise(F.col("text")))
-    ordinary = blank.select(F.explode(F.regexp_extract_all("text", F.lit(PAIRS), F.lit(1))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).withColumn("label", F.lit("ordinary"))
-    secret = docs.filter(F.size("base") > 0).select(F.explode("base.value").alias("value")).select(F.explode(F.regexp_extract_all("value", F.lit(PAIRS), F.lit(1))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).withColumn("label", F.lit("secret"))
+    ordinary = blank.select(F.explode_outer(F.regexp_extract_all("text", F.lit(PAIRS), F.lit(1))).alias("pair")).filter("pair is not null").groupBy("pair").agg(F.count("*").alias("n")).withColumn("label", F.lit("ordinary"))
+    secret = docs.filter(F.size("base") > 0).select(F.explode("base.value").alias("value")).select(F.explode_outer(F.regexp_extract_all("value", F.lit(PAIRS), F.lit(1))).alias("pair")).filter("pair is not null").groupBy("pair").agg(F.count("*").alias("n")).withColumn("label", F.lit("secret"))
     return ordinary.unionByName(secret)
 
 

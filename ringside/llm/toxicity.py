@@ -138,9 +138,9 @@ def kernel(landmarks: list[bytes]) -> Kernel:
     return _KERNELS[key]
 
 
-def _landmarks(sample: DataFrame) -> list[bytes]:
-    """The words that mark toxic texts most, and the commonest others, from a
-    table (text, y). Counts are aggregated by word."""
+def _landmarks(sample: DataFrame) -> tuple[list[bytes], int]:
+    """The words that mark toxic texts most, and the commonest others, and
+    how many are the former, from a table (text, y). Counts are aggregated by word."""
 
     def run(batches):
         for pdf in batches:
@@ -154,7 +154,7 @@ def _landmarks(sample: DataFrame) -> list[bytes]:
     ranked = counts.withColumn("z", z).withColumn("ratio", share("toxic", toxic) / ((F.col("n") - F.col("toxic") + 0.5) / (n - toxic + 1.0)))
     marks = ranked.filter("ratio > 4").orderBy(F.desc("z"), "word").limit(TOXIC_WORDS).collect()
     plain = ranked.filter("ratio < 1.2").orderBy(F.desc("n"), "word").limit(PLAIN_WORDS).collect()
-    return [bytes(r["word"]) for r in [*marks, *plain]]
+    return [bytes(r["word"]) for r in [*marks, *plain]], len(marks)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> np.ndarray:
@@ -174,6 +174,13 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> n
     return w
 
 
+def _widened(x: np.ndarray, toxic: int) -> np.ndarray:
+    """Adds the best value at any toxic landmark, plain and sharpened: one
+    certain insult weighs as much as several landmarks' faint echoes."""
+    best = x[:, :toxic].max(axis=1, keepdims=True) if toxic else np.zeros((len(x), 1))
+    return np.concatenate([x, best, best**8], axis=1)
+
+
 def _sigmoid(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Platt's fit of score = 1 / (1 + exp(-(a margin + b)))."""
     x = np.stack([np.clip(margin, -4, 4), np.ones(len(margin))], axis=1)
@@ -197,7 +204,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> dict:
     if not held.get(0) or not held.get(1):
         return {"share": 1.0 if held.get(1) else 0.0}
     taken = save(parts[0].unionByName(parts[1]).repartition(16), "sample")
-    marks = _landmarks(taken)
+    marks, toxic = _landmarks(taken)
     if not marks:
         return {"share": held[1] / (held[0] + held[1])}
 
@@ -213,11 +220,13 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> dict:
     gram = np.array([own.values[own.rows[m]] for m in marks], np.float64)
     value, vector = np.linalg.eigh((gram + gram.T) / 2 + 1e-3 * np.eye(len(marks)))
     white = vector @ np.diag(np.maximum(value, 1e-3) ** -0.5) @ vector.T
+    white = np.block([[white, np.zeros((len(marks), 2))], [np.zeros((2, len(marks))), np.eye(2)]])
+    x = _widened(x, toxic)
     weight = np.where(y == 1, held[1] / (y == 1).sum(), held[0] / (y == 0).sum())
     weight = np.sqrt(weight / weight.mean())  # between balanced and as frequent as they are
     w = _svm(x @ white, y, weight)
     a, b = _sigmoid(np.concatenate([x @ white, np.ones((len(x), 1))], axis=1) @ w, y, weight)
-    return {"marks": marks, "w": white @ w[:-1], "bias": float(w[-1]), "a": a, "b": b}
+    return {"marks": marks, "toxic": toxic, "w": white @ w[:-1], "bias": float(w[-1]), "a": a, "b": b}
 
 
 def score(documents: DataFrame, model: dict) -> DataFrame:
@@ -231,7 +240,7 @@ def score(documents: DataFrame, model: dict) -> DataFrame:
         own = kernel(model["marks"])
         out = []
         for lo in range(0, len(texts), 256):
-            x = own.texts(texts.iloc[lo : lo + 256].tolist()).astype(np.float64)
+            x = _widened(own.texts(texts.iloc[lo : lo + 256].tolist()).astype(np.float64), model["toxic"])
             out.append(1 / (1 + np.exp(-(model["a"] * np.clip(x @ model["w"] + model["bias"], -4, 4) + model["b"]))))
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
