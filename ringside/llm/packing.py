@@ -1,7 +1,8 @@
 """Sequence packing into optimal length buckets.
 
-The lengths of all documents form one histogram, on a grid fine enough that it
-has at most GRID bins whatever the input. Dynamic programming over the bins
+The lengths of all documents form one histogram, on a grid of FINE bins an
+octave, so a few hundred bins for any input; a bin's boundary is the longest
+length in it. Dynamic programming over the bins
 chooses the bucket boundaries that minimise the padding of all documents. Inside
 a bucket documents are numbered, and each run of as many as the token budget
 holds forms a batch.
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GRID = 1024
+FINE = 128
 BUCKETS = 12
 BUDGET = 65_536
 SHARD_ROWS = 2_000
@@ -30,12 +31,11 @@ def piece_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(PIECE)), F.lit(0)).cast("long")
 
 
-def grid_step(longest: int, grid: int = GRID) -> int:
-    """Bin width: a power of two, so that ``grid`` bins reach the longest."""
-    step = 1
-    while step * grid < longest:
-        step *= 2
-    return step
+def bin_of(n: Column) -> Column:
+    """The grid: lengths up to 2 * FINE are their own bins, longer ones share
+    FINE bins an octave."""
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))) - FINE.bit_length() + 1, F.lit(0)))
+    return (F.floor(n / step) * step).cast("long")
 
 
 def boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:
@@ -65,7 +65,7 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) ->
     return ends[::-1]
 
 
-def pack(documents: DataFrame, length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, grid: int = GRID, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack(documents: DataFrame, length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``documents`` with all its columns and n_tokens, bucket, boundary (the
     padded length), batch, slot, padding.
 
@@ -76,17 +76,13 @@ def pack(documents: DataFrame, length: Column | None = None, buckets: int = BUCK
     a bucket documents are in the order of a hash of doc_id; rows that tie
     are interchangeable. No rows: no buckets.
     """
-    spark = documents.sparkSession
     new = ("n_tokens", "bucket", "boundary", "batch", "slot", "padding")
     docs = documents.select(*[c for c in documents.columns if c not in new], (length if length is not None else piece_count(F.col("text"))).cast("long").alias("n_tokens"))
     docs = docs.withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0).cast("long")))
-    # Lengths are counted exactly at first; their number is bounded on the grid.
-    longest = docs.agg(F.max("n_tokens")).first()[0]
-    if longest is None:
+    bins = docs.groupBy(bin_of(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("longest"), F.count("*").alias("n"))
+    histogram = sorted((r["longest"], r["n"]) for r in bins.collect())
+    if not histogram:
         return docs.select("*", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("boundary"), F.lit(0).cast("long").alias("batch"), F.lit(0).alias("slot"), F.lit(0).cast("long").alias("padding"))
-    step = grid_step(longest, grid)
-    bin_of = (F.ceil(F.col("n_tokens") / step) * step).cast("long")
-    histogram = sorted(tuple(r) for r in docs.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n")).collect())
     ends = boundaries([r[0] for r in histogram], [r[1] for r in histogram], buckets)
     held = [sum(n for x, n in histogram if lo < x <= hi) for lo, hi in zip([-1, *ends[:-1]], ends, strict=True)]
     rows = [(i, hi, max(1, budget // hi) if hi else max(1, budget), max(1, -(-n // shard_rows))) for i, (hi, n) in enumerate(zip(ends, held, strict=True))]

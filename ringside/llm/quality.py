@@ -166,3 +166,14 @@ def score(rows: DataFrame, model: dict) -> DataFrame:
         return pd.Series(predict(model, np.stack(x.to_numpy())) if len(x) else np.zeros(0))
 
     return rows.withColumn("score", run("x"))
+
+
+def score_texts(documents: DataFrame, model: dict) -> DataFrame:
+    """``documents`` with all columns and ``score``, measured and scored in one
+    pass over the texts."""
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(predict(model, np.array([measure(t) for t in texts])) if len(texts) else np.zeros(0))
+
+    return documents.withColumn("score", run("text"))

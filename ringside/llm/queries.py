@@ -40,7 +40,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", packing.piece_count(F.col("text")).alias("pieces"))
+    # Each text is counted once; the lengths alone are read again.
+    docs = save(table(spark, sf_dir, "documents").select("doc_id", packing.piece_count(F.col("text")).alias("pieces")), "lengths")
     return packing.pack(docs, F.col("pieces")).drop("pieces")
 
 
