@@ -77,8 +77,9 @@ def pack(documents: DataFrame, length: Column | None = None, buckets: int = BUCK
     are interchangeable. No rows: no buckets.
     """
     new = ("n_tokens", "bucket", "boundary", "batch", "slot", "padding")
-    docs = documents.select(*[c for c in documents.columns if c not in new], (length if length is not None else piece_count(F.col("text"))).cast("long").alias("n_tokens"))
-    docs = docs.withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0).cast("long")))
+    count = F.coalesce((length if length is not None else piece_count(F.col("text"))).cast("long"), F.lit(0).cast("long"))
+    # Exploding the one value keeps it a column: a projection would be inlined into each use and count again.
+    docs = documents.select(*[c for c in documents.columns if c not in new], F.explode_outer(F.array(count)).alias("n_tokens"))
     bins = docs.groupBy(bin_of(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("longest"), F.count("*").alias("n"))
     histogram = sorted((r["longest"], r["n"]) for r in bins.collect())
     if not histogram:

@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from .common import save
 BLOCK = 128
 PERCENTILE = 0.9
 SEGMENT = 1 << 18
-CACHE = 400_000
+CACHE = 1_000_000
 MAGIC = b"PFR1"
 SEGMENTS = "shard int, segment int, doc_ids array<long>, counts array<long>, payload binary"
 
@@ -130,11 +131,16 @@ class Encoder:
 
     A single space between two characters that aren't white space is always a
     border of byte-level pre-tokens, so a text is the sequence of its pieces
-    between such spaces. Pieces are encoded by the library once and then kept,
-    up to CACHE of them. Texts with other runs of white space around a space,
-    or with an added token's string, go to the library whole.
+    between such spaces, and marks after a letter or digit are pre-tokens of
+    their own. Pieces are encoded by the library once and then kept, up to
+    CACHE of them; new ones go to it many at a time, as one text, whose ids
+    part where a token begins with a space. A piece that begins or ends with
+    white space, or holds an added token's string, is kept as None: texts with
+    such a piece go to the library whole.
     """
 
+    MARKS = ".,!|%&*$#;:"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
@@ -144,8 +150,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r" \s", r"\s ", *map(re.escape, special)]))
-        self.pieces: dict[str, bytes] = {}
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        # A character that all added tokens have, for a quick test.
+        self.mark = min(set.intersection(*map(set, special)), default="") if special else "\0"
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the byte-level space
+        self.pieces: dict[str, bytes | None] = {}  # each stands for a space and the piece
         self.split_ok = self._is_byte_level(path)
 
     @staticmethod
@@ -158,26 +169,57 @@ class Encoder:
         return pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and spec.get("normalizer") is None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spaced_ids(self, new: list[str]) -> list[bytes]:
+        """The ids of each piece after a space."""
+        out: list[bytes] = []
+        for lo in range(0, len(new), 500):
+            part = new[lo : lo + 500]
+            raw = self._ids([" " + " ".join(part)])[0]
+            at = np.flatnonzero(self.spaced[np.frombuffer(raw, "<u4")]).tolist()
+            if len(at) == len(part):
+                out.extend(raw[4 * a : 4 * b] for a, b in zip(at, [*at[1:], len(raw) // 4], strict=True))
+            else:
+                out.extend(self._ids([" " + x for x in part]))
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        stems, marked, plain, marks = set(), [], [], self.MARKS
+        for x in new:
+            if not x or x[0].isspace() or x[-1].isspace() or self.mark in x and self.special.search(x):
+                self.pieces[x] = None
+            elif x[-1] in marks and (stem := x.rstrip(marks)) and stem[-1].isalnum():
+                stems.add(stem)
+                marked.append((x, stem, x[len(stem) :]))
+            else:
+                plain.append(x)
+        fresh = [*{*plain, *stems}.difference(self.pieces)]
+        self.pieces.update(zip(fresh, self._spaced_ids(fresh), strict=True))
+        ends = [*{m for _, _, m in marked}]
+        ids = dict(zip(ends, self._ids(ends), strict=True))
+        get = self.pieces
+        get.update([(x, get[stem] + ids[m]) for x, stem, m in marked])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        cut, whole = [], []
-        for i, text in enumerate(texts):
-            if self.split_ok and not self.whole.search(text):
-                first, *rest = text.split(" ")
-                cut.append((i, [first, *[" " + x for x in rest]]))
-            else:
-                whole.append(i)
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+        if not self.split_ok:
+            return self._ids(texts)
         if len(self.pieces) > CACHE:
             self.pieces.clear()
-        new = list({x for _, parts in cut for x in parts}.difference(self.pieces))
-        self.pieces.update(zip(new, self._ids(new), strict=True))
+        rest = [t.split(" ") for t in texts]
+        heads = [x.pop(0) for x in rest]
+        first = self._ids(heads)
+        self._learn(set().union(*rest).difference(self.pieces))
         get = self.pieces.__getitem__
-        for i, parts in cut:
-            out[i] = b"".join(map(get, parts))
+        out: list[bytes | None] = []
+        for h, head, parts in zip(heads, first, rest, strict=True):
+            try:
+                out.append(None if parts and h[-1:].isspace() else head + b"".join(map(get, parts)))
+            except TypeError:
+                out.append(None)
+        whole = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+            out[i] = ids
         return out  # type: ignore[return-value]
 
 
