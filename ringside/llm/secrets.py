@@ -70,18 +70,25 @@ def samples(documents: DataFrame) -> DataFrame:
     return ordinary.unionByName(secret)
 
 
-def train(counts: DataFrame, smooth: float = 1.0) -> list[float]:
+def train(counts: DataFrame, smooth: float = 20.0) -> list[float]:
     """log P(b|a, secret) - log P(b|a, ordinary), a flat table over the
-    alphabet. At most two counts a character pair reach the driver. The
-    random model's rows are drawn towards the uniform one by ``smooth``
-    counts a pair; without samples both models are uniform."""
+    alphabet. At most two counts a character pair reach the driver. Each row
+    leans on its label's character frequencies with the weight of ``smooth``
+    counts; without samples both models are uniform."""
     size = len(ALPHABET)
-    n = {label: [[smooth] * size for _ in range(size)] for label in ("secret", "ordinary")}
+    n = {label: [[0] * size for _ in range(size)] for label in ("secret", "ordinary")}
     for r in counts.groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():
         a, b = ALPHABET.find(r["pair"][0]), ALPHABET.find(r["pair"][1])
         if a >= 0 and b >= 0:
             n[r["label"]][a][b] += r["n"]
-    return [math.log(n["secret"][a][b] / sum(n["secret"][a])) - math.log(n["ordinary"][a][b] / sum(n["ordinary"][a])) for a in range(size) for b in range(size)]
+
+    def logs(rows: list[list[int]]) -> list[list[float]]:
+        total = sum(map(sum, rows))
+        alone = [(sum(row[b] for row in rows) + 1) / (total + size) for b in range(size)]
+        return [[math.log((row[b] + smooth * alone[b]) / (sum(row) + smooth)) for b in range(size)] for row in rows]
+
+    secret, ordinary = logs(n["secret"]), logs(n["ordinary"])
+    return [secret[a][b] - ordinary[a][b] for a in range(size) for b in range(size)]
 
 
 def ratio(token: Column, model: list[float]) -> Column:
