@@ -37,7 +37,7 @@ def initiations(frames: DataFrame, least: float = 0.3) -> DataFrame:
     rows = frames.withColumn("_n", F.count("*").over(Window.partitionBy("fight_id", "seg"))).filter("_n >= 3")
     rows = rows.withColumn("va", d("ax") * ux + d("ay") * uy).withColumn("vb", -(d("bx") * ux + d("by") * uy))
     closing = F.col("va") + F.col("vb") > least
-    return rows.groupBy("fight_id").agg(F.count_if(closing & (F.col("va") > F.col("vb"))).alias("a"), F.count_if(closing & ~(F.col("va") > F.col("vb"))).alias("b"))
+    return rows.groupBy("fight_id").agg(F.count_if(closing & (F.col("va") > F.col("vb"))).alias("a"), F.count_if(closing & (F.col("vb") > F.col("va"))).alias("b"))
 
 
 def scorecards(meta: DataFrame, frames: DataFrame, control: DataFrame, mobility: DataFrame) -> DataFrame:
