@@ -92,7 +92,7 @@ WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) w FROM documents), i AS (SELECT
 g AS (SELECT DISTINCT item, least(13, len(w)) m, array_to_string(w[k : k + least(13, len(w)) - 1], ' ') gram FROM (SELECT item, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) k FROM i WHERE len(w) > 0)),
 l AS (SELECT DISTINCT m FROM g), p AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) k FROM d, l WHERE len(w) >= m),
 h AS (SELECT DISTINCT doc_id, k, m, item FROM (SELECT doc_id, k, m, array_to_string(w[k : k + m - 1], ' ') gram FROM p) JOIN g USING (m, gram)),
-n AS (SELECT doc_id, count(DISTINCT at) n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) at FROM (SELECT DISTINCT doc_id, k, m FROM h)) GROUP BY 1),
+n AS (SELECT doc_id, count(DISTINCT place) n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) place FROM (SELECT DISTINCT doc_id, k, m FROM h)) GROUP BY 1),
 s AS (SELECT doc_id, count(DISTINCT item) n_items, string_agg(DISTINCT item, ',' ORDER BY item) items FROM h GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)""",

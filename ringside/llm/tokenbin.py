@@ -11,8 +11,8 @@ document. The payload, little-endian throughout:
            | exception positions u8 | exception high parts u32
 
 A block holds BLOCK ids (the last of a segment fewer). The width is the smallest
-that holds PERCENTILE of the block; what is larger leaves its high bits in the
-exception list. ``starts`` index the blocks, so one block can be read alone.
+even one (over 16: multiple of 4) that holds PERCENTILE of the block; what is
+larger leaves its high bits in the exception list. ``starts`` index the blocks, so one block can be read alone.
 """
 
 from __future__ import annotations
@@ -46,6 +46,25 @@ def default_tokenizer() -> str:
 # --- the block codec -------------------------------------------------------
 
 
+def _lay(rows: np.ndarray, width: int) -> np.ndarray:
+    """The low bits of each row, laid end to end: four values (two of over 16
+    bits) fill whole bytes of one 64-bit word."""
+    per = 4 if width <= 16 else 2
+    parts = (rows & np.uint32((1 << width) - 1)).astype("<u8").reshape(len(rows), -1, per)
+    words = sum(parts[:, :, k] << np.uint64(k * width) for k in range(per))
+    return words[:, :, None].view(np.uint8)[:, :, : per * width // 8].reshape(len(rows), -1)
+
+
+def _lift(packed: np.ndarray, width: int) -> np.ndarray:
+    """What _lay laid."""
+    per = 4 if width <= 16 else 2
+    wide = np.zeros((len(packed), BLOCK // per, 8), np.uint8)
+    wide[:, :, : per * width // 8] = packed.reshape(len(packed), BLOCK // per, -1)
+    words = wide.view("<u8")
+    mask = np.uint64((1 << width) - 1)
+    return np.concatenate([(words >> np.uint64(k * width)) & mask for k in range(per)], axis=2).astype(np.uint32).reshape(len(packed), BLOCK)
+
+
 def pack(ids: np.ndarray) -> bytes:
     """Encodes a segment's ids (unsigned 32-bit)."""
     n = len(ids)
@@ -60,6 +79,8 @@ def pack(ids: np.ndarray) -> bytes:
     if n:
         at = np.partition(rest, int(PERCENTILE * (BLOCK - 1)), axis=1)[:, int(PERCENTILE * (BLOCK - 1))]
         width = np.ceil(np.log2(at.astype(np.float64) + 1)).astype(np.int64)
+        step = np.where(width <= 16, 2, 4)  # whole bytes, see _lay
+        width = -(-width // step) * step
     else:
         width = np.zeros(0, np.int64)
     high = rest >> np.minimum(width, 31).astype(np.uint32)[:, None]
@@ -68,8 +89,7 @@ def pack(ids: np.ndarray) -> bytes:
     for w in np.unique(width):
         mine = np.flatnonzero(width == w)
         if w:
-            bits = ((rest[mine][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-            packed = np.packbits(bits.reshape(len(mine), -1), axis=1, bitorder="little")
+            packed = _lay(rest[mine], int(w))
         else:
             packed = np.zeros((len(mine), 0), np.uint8)
         for row, b in zip(packed, mine, strict=True):
@@ -95,11 +115,7 @@ def unpack(payload: bytes) -> np.ndarray:
         if w:
             mine = np.flatnonzero(width == w)
             size = w * BLOCK // 8
-            bits = np.unpackbits(raw[(head[mine] + 6)[:, None] + np.arange(size)], axis=1, bitorder="little").reshape(len(mine), BLOCK, w)
-            values = np.zeros((len(mine), BLOCK), np.uint32)
-            for k in range(w):
-                values |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
-            rows[mine] = values
+            rows[mine] = _lift(raw[(head[mine] + 6)[:, None] + np.arange(size)], int(w))
     if odd.any():  # the exception lists of all blocks, laid end to end
         block = np.repeat(np.arange(blocks), odd)
         order = np.arange(len(block)) - np.repeat(np.cumsum(odd) - odd, odd)
@@ -258,8 +274,8 @@ def write_ids(documents: DataFrame, tokenizer: str | None = None, end_id: int =
 
         for pdf in batches:
             texts = pdf["text"].tolist()
-            for lo in range(0, len(texts), 256):
-                for doc, x in zip(pdf["doc_id"].iloc[lo : lo + 256].tolist(), encoder(path).encode(texts[lo : lo + 256]), strict=True):
+            for lo in range(0, len(texts), 1024):
+                for doc, x in zip(pdf["doc_id"].iloc[lo : lo + 1024].tolist(), encoder(path).encode(texts[lo : lo + 1024]), strict=True):
                     if held and held + len(x) // 4 + 1 > SEGMENT:
                         yield out()
                     ids.append(x + end)
