@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,8 +94,6 @@ def markers(text: Column, key: str) -> Column:
 def json_blob(text: Column, marker: str) -> Column:
     """The JSON object that follows a marker, up to its closing brace: braces in
     strings don't count. Found in Python, as it is no regular language."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def cut(texts: pd.Series) -> pd.Series:
         import json
