@@ -63,7 +63,9 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 3, 1)).select("doc_id", F.col("toxic").alias("y"))
-    scored = toxicity.score(docs, toxicity.train(docs.join(labels, "doc_id").select("text", "y")))
+    held = {r["y"]: r["n"] for r in labels.filter("y in (0, 1)").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    texts = docs.join(F.broadcast(toxicity.chosen(labels)), "doc_id").select("text", "y")
+    scored = toxicity.score(docs, toxicity.train(texts, held=held))
     return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

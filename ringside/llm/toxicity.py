@@ -192,18 +192,27 @@ def _sigmoid(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[flo
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> dict:
+def chosen(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, y): at most ``sample`` labels of each class, those with the
+    least hashes; so few that a join with the texts may broadcast them."""
+    order = F.xxhash64("doc_id"), "doc_id"
+    return labels.filter("y = 0").orderBy(*order).limit(sample).unionByName(labels.filter("y = 1").orderBy(*order).limit(sample))
+
+
+def train(labelled: DataFrame, sample: int = SAMPLE, held: dict[int, int] | None = None) -> dict:
     """A model from a table (text, y): at most ``sample`` texts of each class,
-    those with the least hashes. Rows without a label are left out. With one
-    class alone, or none, the model gives every text the share of ones seen
-    (none: 0)."""
+    those with the least hashes. ``held``: the classes' sizes, where the table
+    is a sample already. Rows without a label are left out. With one class
+    alone, or none, the model gives every text the share of ones seen (none: 0)."""
     rows = labelled.filter("y is not null").select(F.coalesce("text", F.lit("")).alias("text"), F.col("y").cast("int"))
     order = F.xxhash64("text")
     parts = [rows.filter(F.col("y") == y).orderBy(order).limit(sample) for y in (0, 1)]
-    held = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    held = held or {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not held.get(0) or not held.get(1):
         return {"share": 1.0 if held.get(1) else 0.0}
     taken = save(parts[0].unionByName(parts[1]).repartition(16), "sample")
+    if taken.select("y").distinct().count() < 2:
+        return {"share": held[1] / (held[0] + held[1])}
     marks, toxic = _landmarks(taken)
     if not marks:
         return {"share": held[1] / (held[0] + held[1])}
