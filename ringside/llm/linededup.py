@@ -50,9 +50,8 @@ def _recurring(df: DataFrame, key: str, min_docs: int) -> DataFrame:
     """The keys with at least min_docs different documents and places. Each
     count first drops repeats of (key, value), then adds up, so a hot key's
     rows are spread over the tasks."""
-    docs = df.select(key, F.xxhash64("doc_id", "fp").alias("v"), F.lit(0).alias("what"))
-    places = df.select(key, F.col("place").alias("v"), F.lit(1).alias("what"))
-    pairs = docs.unionByName(places).groupBy(key, "v", "what").agg(F.lit(1).alias("one"))
+    sides = F.array(F.struct(F.xxhash64("doc_id", "fp").alias("v"), F.lit(0).alias("what")), F.struct(F.col("place").alias("v"), F.lit(1).alias("what")))
+    pairs = df.select(key, F.explode_outer(sides).alias("s")).select(key, "s.*").groupBy(key, "v", "what").agg(F.lit(1).alias("one"))
     counts = pairs.groupBy(key).agg(F.sum(F.when(F.col("what") == 0, 1).otherwise(0)).alias("docs"), F.sum(F.when(F.col("what") == 1, 1).otherwise(0)).alias("places"))
     return counts.filter((F.col("docs") >= min_docs) & (F.col("places") >= min_docs)).select(key)
 
