@@ -16,6 +16,7 @@ LOWER = UPPER.lower()
 
 
 _SHIPPED: set[str] = set()
+_OWN: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -41,12 +42,11 @@ def lower_ascii(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a
     temporary one where the session names none (tests in local mode)."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="ringside-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="ringside-")
+    return found or _OWN[context.applicationId]
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
