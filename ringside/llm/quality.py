@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import save
+
 SAMPLE = 20_000
 FEATURES = (
     "log_bytes", "log_words", "word_len", "word_len_dev", "upper", "digit", "mark", "space", "high",
@@ -153,7 +155,9 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> dict:
     """A model from a table (doc_id, x, y): at most ``sample`` labelled rows,
     those with the least hashes. Rows without a label are left out; with one
     class alone or no rows every text gets the share of ones (none: 0.5)."""
-    taken = rows.filter("y is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("x", F.col("y").cast("double")).toPandas()
+    chosen = rows.filter("y is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("x", F.col("y").cast("double"))
+    # Written first: collected at once, every task would send the driver a sample of its own.
+    taken = save(chosen, "sample").toPandas()
     x = np.stack(taken["x"].to_numpy()) if len(taken) else np.zeros((0, len(FEATURES)))
     return fit(x, taken["y"].to_numpy(np.float64))
 
