@@ -11,15 +11,20 @@ solves q = (1 - j + j q)^2: 0.0625 at j = 0.8, and 1.5e-5 for four trees.
 
 Large groups of near copies stay together however deep the tree. Every large
 node therefore also compares its members with a few pivots, which joins such a
-group in a star, and a node that is still large at DEPTH is dealt into random
-blocks, compared inside each and with more pivots. No node's pairs are all
-written out.
+group in a star, and a node that is still large at DEPTH is first dealt into
+random blocks, compared inside each and with more pivots. No node's pairs are
+all written out.
 
 Candidates with too few equal minwise values are no near copies (at 34 of 64, 5
 standard deviations below 0.8). The others are confirmed on full sets, in two
 rounds: first a spanning forest of each node's likely pairs and the stars, then
 every likely pair that still crosses two components. So a group of n near
 copies costs a few n confirmations, and no link between components is left out.
+In the second round, nodes that are still large at DEPTH and share members are
+one field, which is compared block by block against all its blocks, full sets
+included; only a field's largest component isn't compared with itself. So a
+family of n texts just under the bar costs n squared comparisons, but gives a
+forest of links a pair of blocks.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ TREES = 4
 BRANCH = 2
 SMALL = 64
 DEPTH = 4
+BLOCK = 256
+COLUMNS = 8192
 LEAST_EQUAL = 34
 BROADCAST_ROWS = 300_000
 
@@ -239,10 +246,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def trees(classes: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+def trees(classes: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Grows all trees: the first candidate pairs (a, b) of every node, and the
-    members (key, cls, n, sig) of all small nodes and blocks."""
-    pairs, small, rows = [], [], classes
+    members (key, cls, n, sig) of all small nodes and of those that are still
+    large at DEPTH (None: there are none)."""
+    pairs, small, rows, still = [], [], classes, None
     for depth in range(1, DEPTH + 1):
         rows = _grow(rows, depth)
         sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -256,9 +264,88 @@ def trees(classes: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
         pairs.append(save(_stars(rows, 2 if last else 1, percent).distinct(), "pairs"))
         if last:
             block = F.pmod(F.xxhash64("cls", "key"), F.ceil(F.col("size") / (SMALL // 2)))
-            small.append(large.select(F.xxhash64("key", block).alias("key"), "cls", "n", "sig"))
+            still = large.select("key", "cls", "n", "sig")
+            pairs.append(_compared(_members(large.select(F.xxhash64("key", block).alias("key"), "cls", "n", "sig")), percent, False))
     pairs.extend(_compared(_members(rows), percent, False) for rows in small)
-    return _union(pairs).distinct(), _union(small)
+    return _union(pairs).distinct(), _union(small), still
+
+
+# --- fields: large nodes, block by block ------------------------------------------
+
+
+def _common(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each of ``rows`` shares with each of ``columns``."""
+    both = np.intersect1d(np.concatenate(rows), np.concatenate(columns))
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for lo in range(0, len(both), COLUMNS):
+        part = both[lo : lo + COLUMNS]
+        sides = []
+        for sets in (rows, columns):
+            held = np.zeros((len(sets), len(part)), np.float32)
+            for i, s in enumerate(sets):
+                at = np.searchsorted(part, s[(s >= part[0]) & (s <= part[-1])])
+                mine = s[(s >= part[0]) & (s <= part[-1])] == part[at]
+                held[i, at[mine]] = 1
+            sides.append(held)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _field_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """A spanning forest, over roots, of the similar pairs between two blocks
+    (sides 0 and 1), or inside one (side 0 alone)."""
+    side = pdf["side"].to_numpy()
+    cls, n, root = pdf["cls"].to_numpy(), pdf["n"].to_numpy(), pdf["root"].to_numpy()
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, COORDINATES)
+    x = np.flatnonzero(side == 0)
+    y = np.flatnonzero(side == 1) if pdf["twofold"].iloc[0] else x
+    ok, equal = _alike(n[x][:, None], sig[x][:, None, :], n[y][None, :], sig[y][None, :, :], percent)
+    ok &= root[x][:, None] != root[y][None, :]
+    if not pdf["twofold"].iloc[0]:
+        ok &= cls[x][:, None] < cls[y][None, :]
+    r, c = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+    keep = []
+    if len(r):
+        sets = [np.frombuffer(f, np.uint64) for f in pdf["found"]]
+        u, v = [sets[k] for k in x[r]], [sets[k] for k in y[c]]
+        both = _common(u, v).astype(np.int64)
+        total = np.array([len(s) for s in u])[:, None] + np.array([len(s) for s in v])[None, :] - both
+        i, j = np.nonzero(ok[np.ix_(r, c)] & (100 * both >= percent * total))
+        i, j = x[r[i]], y[c[j]]
+        first = np.unique(np.stack([root[i], root[j]]), axis=1, return_index=True)[1]
+        joined = root.copy()
+        for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True):
+            if joined[a] != joined[b]:
+                joined[joined == joined[b]] = joined[a]
+                keep.append((min(cls[a], cls[b]), max(cls[a], cls[b])))
+    return pd.DataFrame(np.array(keep, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+
+def _fields(still: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), confirmed on full sets, between all components that meet
+    in a field. ``still``: members of large nodes; ``known``: (cls, root)."""
+    rooted = save(still.join(known, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "rooted")
+    # Nodes of one component have nothing left to link.
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    rooted = save(rooted.join(open_, "key", "left_semi"), "open")
+    field = components(rooted.groupBy("key").agg(F.min("cls").alias("a")).join(rooted.select("key", F.col("cls").alias("b")), "key").select("a", "b")).select(F.col("node").alias("cls"), F.col("root").alias("field"))
+    members = save(rooted.select("cls", "n", "sig", "root").dropDuplicates(["cls"]).join(field, "cls"), "members")
+    counts = members.groupBy("field", "root").agg(F.count("*").alias("many"))
+    sizes = counts.groupBy("field").agg(F.max(F.struct("many", "root")).alias("most"), F.sum("many").alias("all"))
+    blocks = lambda many: F.ceil(many / BLOCK).cast("int")
+    sizes = save(sizes.select("field", F.col("most.root").alias("largest"), blocks(F.col("most.many")).alias("n_main"), blocks(F.col("all") - F.col("most.many")).alias("n_rest")), "fields")
+    rows = members.join(sizes, "field").withColumn("main", F.col("root") == F.col("largest"))
+    mine = F.pmod(F.xxhash64("cls"), F.when(F.col("main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int")
+    rows = rows.withColumn("mine", mine).join(sets, "cls")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    task = lambda kind, i, j, side, twofold: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"), twofold.alias("twofold"))
+    own = F.col("mine")
+    as_main = F.transform(upto("n_rest"), lambda k: task(0, k, own, F.lit(1), F.lit(True)))
+    with_main = F.transform(upto("n_main"), lambda k: task(0, own, k, F.lit(0), F.lit(True)))
+    with_rest = F.transform(upto("n_rest"), lambda k: task(1, F.least(own, k), F.greatest(own, k), own > k, own != k))
+    rows = rows.withColumn("t", F.explode(F.when(F.col("main"), as_main).otherwise(F.concat(with_main, with_rest))))
+    rows = rows.select("field", "t.*", "cls", "n", "sig", "root", "found")
+    return rows.groupBy("field", "kind", "i", "j").applyInPandas(lambda pdf: _field_links(pdf, percent), PAIRS)
 
 
 # --- confirming ----------------------------------------------------------------
@@ -310,11 +397,12 @@ def groups(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     number = F.col("doc_id").cast("long")
     classes = own.filter("cls is not null").groupBy("cls").agg(F.min(number).alias("least"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"))
     classes = save(classes, "classes")
-    pairs, small = trees(classes.select("cls", "n", "sig"), percent)
+    pairs, small, still = trees(classes.select("cls", "n", "sig"), percent)
     pairs = save(pairs, "candidates")
     involved = save(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "involved")
     few = involved.count() <= BROADCAST_ROWS
-    reps = save(classes.join(F.broadcast(involved) if few else involved, "cls", "left_semi").select("doc_id", "cls"), "reps")
+    wanted = involved if still is None else save(involved.unionByName(still.select("cls")).distinct(), "wanted")
+    reps = save(classes.join(F.broadcast(wanted) if few and (still is None or wanted.count() <= BROADCAST_ROWS) else wanted, "cls", "left_semi").select("doc_id", "cls"), "reps")
     sets = save(_sets(documents, reps, size), "sets")
     links = save(_confirmed(pairs, sets, percent), "links")
     roots = components(links.unionByName(involved.select(F.col("cls").alias("a"), F.col("cls").alias("b"))))
@@ -323,6 +411,8 @@ def groups(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     again = small.join(F.broadcast(known) if few else known, "cls")
     rest = _compared(_members(again, "root"), percent, True).distinct().join(pairs, ["a", "b"], "left_anti")
     links = links.unionByName(save(_confirmed(save(rest, "rest"), sets, percent), "links"))
+    if still is not None:
+        links = links.unionByName(save(_fields(still, F.broadcast(known) if few else known, sets, percent), "fields"))
     roots = components(links).select(F.col("node").alias("cls"), "root")
     placed = classes.select("cls", "least").join(roots, "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "component_id")

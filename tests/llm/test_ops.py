@@ -304,6 +304,18 @@ def test_large_nodes_branch_and_keep_their_links(spark):
     assert got == brute_groups(rows, 2, 80)
 
 
+def test_links_inside_a_large_family_under_the_bar_are_found(spark):
+    base = [f"c{k}" for k in range(101)]
+    rows = []  # 100 common shingles and 14 own ones: 0.78 to each other; each third has a partner at 0.81 to 0.88
+    for i in range(600):
+        own = [f"o{i}x{k}" for k in range(14)]
+        if i % 3 == 1:
+            own[: 2 + i % 6] = [f"o{i - 1}x{k}" for k in range(2 + i % 6)]
+        rows.append((i, " ".join(base + own)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.groups(frame(spark, rows), size=2).collect()}
+    assert got == brute_groups(rows, 2, 80)
+
+
 def test_one_of_each_group_stays(spark, docs):
     out = minhash.drop_near_duplicates(docs)
     assert out.columns == docs.columns
