@@ -6,10 +6,12 @@ one path share a leaf. Inside a leaf a token is constant where a fair share of
 the leaf's lines have it at that place; other places become <*>. The result is
 the line's template. Templates that recur across documents are dropped.
 
-A line of copied documents recurs as well, but always between the same
-neighbours; dropping it would empty every copy. So a template counts as
-recurring only when both its documents and its surroundings (the leaves of the
-line before and of the line after) are at least ``min_docs`` different ones.
+A line of copied documents recurs as well; dropping it would empty every copy.
+So a template counts as recurring only when ``min_docs`` different votes have
+it, and copies share a vote. A document votes with the least hash of its own
+lines, those whose leaves recur nowhere else. Where lines of recurring leaves
+are more than half of its text, it may be a near copy, and it votes with the
+least of those leaves, which copies have in common however they were edited.
 The leaves that fail this already are left out before any token is compared.
 """
 
@@ -33,27 +35,36 @@ def _tokens(line: Column) -> Column:
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """doc_id, fp, line_no, line, leaf, place (hash of the neighbours' leaves);
-    blank lines have a leaf of their own, which never recurs as a template."""
+    """doc_id, fp, doc (hash of both), line_no, line, leaf; no blank lines."""
     docs = documents.select("doc_id", F.xxhash64("text").alias("fp"), F.split("text", "\n", -1).alias("lines"))
     # The leaf needs the token count and the first tokens alone, not the whole list.
     head = lambda s: F.slice(F.split(s, r"\s+", LEAD + 1), 1, LEAD)
     masked = lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t)
     leaf = lambda s: F.xxhash64(F.regexp_count(s, F.lit(r"\S+")), F.transform(head(F.ltrim(s)), masked))
-    docs = docs.withColumn("leaves", F.transform("lines", leaf))
-    every = F.transform("lines", lambda s, i: F.struct(i.alias("line_no"), s.alias("line"), F.get("leaves", i).alias("leaf"), F.xxhash64(F.coalesce(F.get("leaves", i - 1), F.lit(0)), F.coalesce(F.get("leaves", i + 1), F.lit(0))).alias("place")))
+    every = F.transform("lines", lambda s, i: F.struct(i.alias("line_no"), s.alias("line"), leaf(s).alias("leaf")))
     # The outer form: the plain one adds a filter that computes the leaves again.
-    return docs.select("doc_id", "fp", F.explode_outer(every).alias("l")).select("doc_id", "fp", "l.*").filter(F.col("line").rlike(r"\S"))
+    return docs.select("doc_id", "fp", F.xxhash64("doc_id", "fp").alias("doc"), F.explode_outer(every).alias("l")).select("doc_id", "fp", "doc", "l.*").filter(F.col("line").rlike(r"\S"))
 
 
-def _recurring(df: DataFrame, key: str, min_docs: int) -> DataFrame:
-    """The keys with at least min_docs different documents and places. Each
-    count first drops repeats of (key, value), then adds up, so a hot key's
-    rows are spread over the tasks."""
-    sides = F.array(F.struct(F.xxhash64("doc_id", "fp").alias("v"), F.lit(0).alias("what")), F.struct(F.col("place").alias("v"), F.lit(1).alias("what")))
-    pairs = df.select(key, F.explode_outer(sides).alias("s")).select(key, "s.*").groupBy(key, "v", "what").agg(F.lit(1).alias("one"))
-    counts = pairs.groupBy(key).agg(F.sum(F.when(F.col("what") == 0, 1).otherwise(0)).alias("docs"), F.sum(F.when(F.col("what") == 1, 1).otherwise(0)).alias("places"))
-    return counts.filter((F.col("docs") >= min_docs) & (F.col("places") >= min_docs)).select(key)
+def _recurring(df: DataFrame, key: str, value: str, least: int) -> DataFrame:
+    """The keys with at least ``least`` different values. The count first drops
+    repeats of (key, value), then adds up, so a hot key's rows are spread over
+    the tasks."""
+    pairs = df.select(key, value).groupBy(key, value).agg(F.lit(1).alias("one"))
+    return pairs.groupBy(key).agg(F.sum("one").alias("n")).filter(F.col("n") >= least).select(key)
+
+
+def _votes(brief: DataFrame, hot: DataFrame) -> DataFrame:
+    """doc, vote of every document. ``brief``: doc, leaf, hash and length of
+    each line; ``hot``: the leaves that recur."""
+    flagged = brief.join(hot.withColumn("hot", F.lit(True)), "leaf", "left")
+    own = F.col("hot").isNull()
+    found = flagged.groupBy("doc").agg(
+        F.min(F.when(own, F.col("hash"))).alias("own"),
+        F.min(F.when(~own, F.col("leaf"))).alias("shared"),
+        F.sum(F.when(own, F.col("length")).otherwise(-F.col("length"))).alias("more"),
+    )
+    return found.filter("shared is not null").select("doc", F.when(F.col("more") < 0, F.col("shared")).otherwise(F.col("own")).alias("vote"))
 
 
 def _small(df: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -65,8 +76,13 @@ def templates(documents: DataFrame, min_docs: int = MIN_DOCS, share: float = SHA
     from .common import save
 
     lines = _lines(documents)
-    hot = save(_recurring(lines.select("leaf", "doc_id", "fp", "place"), "leaf", min_docs), "leaves")
-    kept = save(lines.join(_small(hot, broadcast_rows), "leaf", "left_semi"), "lines").withColumn("tokens", _tokens(F.col("line")))
+    brief = save(lines.select("doc", "leaf", F.xxhash64("line").alias("hash"), F.char_length("line").cast("long").alias("length")), "brief")
+    hot = save(_recurring(brief, "leaf", "doc", min_docs), "leaves")
+    votes = save(_votes(brief, _small(hot, broadcast_rows)), "votes")
+    voted = brief.select("leaf", "doc").join(_small(hot, broadcast_rows), "leaf", "left_semi").join(votes, "doc")
+    hot = save(_recurring(voted, "leaf", "vote", min_docs), "leaves")
+    kept = lines.join(_small(hot, broadcast_rows), "leaf", "left_semi").join(votes, "doc")
+    kept = save(kept, "lines").withColumn("tokens", _tokens(F.col("line")))
     at = kept.select("leaf", F.posexplode_outer("tokens").alias("at", "token"))
     counts = at.groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
     sizes = kept.groupBy("leaf").agg(F.count("*").alias("total"))
@@ -79,8 +95,8 @@ def templates(documents: DataFrame, min_docs: int = MIN_DOCS, share: float = SHA
     joined = joined.withColumn("shape", F.transform("tokens", lambda t, i: F.when(held(t, i), t).otherwise("<*>")))
     fixed = F.size(F.filter("shape", lambda t: t != "<*>"))
     joined = joined.filter(fixed >= F.size("shape") * constant).withColumn("template", F.array_join("shape", " "))
-    joined = save(joined.select("doc_id", "fp", "line_no", "place", "template"), "templates")
-    drop = save(_recurring(joined, "template", min_docs), "recurring")
+    joined = save(joined.select("doc_id", "fp", "line_no", "vote", "template"), "templates")
+    drop = save(_recurring(joined, "template", "vote", min_docs), "recurring")
     return joined.join(_small(drop, broadcast_rows), "template", "left_semi").select("doc_id", "fp", "line_no", "template")
 
 

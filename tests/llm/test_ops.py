@@ -141,6 +141,20 @@ def test_recurring_templates_go_and_copies_stay(spark):
     assert linededup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_boilerplate_between_the_same_neighbours_goes_and_near_copies_stay(spark):
+    rng = np.random.default_rng(12)
+    header = [prose(6, rng) for _ in range(5)]
+    parted = prose(8, rng)
+    rows = [(i, "\n".join([*header, *(prose(12, rng) for _ in range(9))])) for i in range(30)]
+    rows += [(100 + i, "\n\n".join([prose(12, rng), prose(12, rng), parted, prose(12, rng)])) for i in range(30)]
+    base = [prose(12, rng) for _ in range(8)]
+    for i in range(60):  # near copies, each with one line of its own
+        rows.append((200 + i, "\n".join([*base[: i % 8], prose(12, rng), *base[i % 8 + 1 :]])))
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    for d, t in rows:
+        assert got[d] == (t if d >= 200 else "\n".join(x for x in t.split("\n") if x not in header and x != parted))
+
+
 # --- packing --------------------------------------------------------------------
 
 
