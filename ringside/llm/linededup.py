@@ -2,9 +2,12 @@
 
 A line is a path of fixed depth: its number of tokens, then its LEAD first
 tokens, where a token that holds a digit counts as the wildcard <*>. Lines with
-one path share a leaf. Inside a leaf a token is constant where a fair share of
-the leaf's lines have it at that place; other places become <*>. The result is
-the line's template. Templates that recur across documents are dropped.
+one path share a leaf. Inside a leaf a token is constant where enough of the
+leaf's lines have it at that place; other places become <*>. The result is a
+template of the line. Enough is SHARE of the leaf's lines, then SHARE of that,
+and so on down to ``min_docs``: a line has a template at each of these levels,
+so that a template is found in a leaf of any size. Lines of a template that
+recurs across documents are dropped.
 
 A line of copied documents recurs as well; dropping it would empty every copy.
 So a template counts as recurring only when ``min_docs`` different votes have
@@ -17,6 +20,8 @@ The leaves that fail this already are left out before any token is compared.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,7 +77,8 @@ def _small(df: DataFrame, broadcast_rows: int) -> DataFrame:
 
 
 def templates(documents: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, constant: float = CONSTANT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The lines that fall to recurring templates: doc_id, fp, line_no, template."""
+    """The lines that fall to recurring templates: doc_id, fp, line_no,
+    template; a line has a row for each level at which its template recurs."""
     from .common import save
 
     lines = _lines(documents)
@@ -83,19 +89,20 @@ def templates(documents: DataFrame, min_docs: int = MIN_DOCS, share: float = SHA
     hot = save(_recurring(voted, "leaf", "vote", min_docs), "leaves")
     kept = lines.join(_small(hot, broadcast_rows), "leaf", "left_semi").join(votes, "doc")
     kept = save(kept, "lines").withColumn("tokens", _tokens(F.col("line")))
-    at = kept.select("leaf", F.posexplode_outer("tokens").alias("at", "token"))
-    counts = at.groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
-    sizes = kept.groupBy("leaf").agg(F.count("*").alias("total"))
-    # At most 1/share tokens a place pass, so a leaf's constants are bounded by its token count.
-    steady = counts.join(sizes, "leaf").filter(F.col("n") >= F.greatest(F.lit(min_docs), F.ceil(F.col("total") * share)))
-    words = steady.groupBy("leaf").agg(F.collect_set(F.concat_ws(" ", F.col("at").cast("string"), "token")).alias("constants"))
-    words = save(words, "constants")
-    joined = kept.join(_small(words, broadcast_rows), "leaf")
-    held = lambda t, i: F.array_contains("constants", F.concat_ws(" ", i.cast("string"), t))
-    joined = joined.withColumn("shape", F.transform("tokens", lambda t, i: F.when(held(t, i), t).otherwise("<*>")))
+    at = kept.select("doc_id", "fp", "doc", "line_no", "vote", "leaf", F.posexplode("tokens").alias("at", "token"))
+    counts = at.groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
+    counts = save(counts, "constants")
+    sizes = save(kept.groupBy("leaf").agg(F.count("*").alias("total")), "sizes")
+    rows = at.join(_small(counts, broadcast_rows), ["leaf", "at", "token"], "left")
+    rows = rows.groupBy("doc_id", "fp", "doc", "line_no", "vote", "leaf").agg(F.array_sort(F.collect_set(F.struct("at", "token", F.coalesce("n", F.lit(0)).alias("n")))).alias("tokens"))
+    rows = rows.join(_small(sizes, broadcast_rows), "leaf")
+    last = F.ceil(F.log(F.col("total") / F.lit(min_docs)) / F.lit(math.log(1 / share)))
+    level = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), last).cast("int"))).alias("level")
+    rows = rows.select("*", level).withColumn("bar", F.greatest(F.lit(min_docs), F.ceil(F.col("total") * F.pow(F.lit(share), F.col("level")))))
+    rows = rows.withColumn("shape", F.transform("tokens", lambda t: F.when(t["n"] >= F.col("bar"), t["token"]).otherwise("<*>")))
     fixed = F.size(F.filter("shape", lambda t: t != "<*>"))
-    joined = joined.filter(fixed >= F.size("shape") * constant).withColumn("template", F.array_join("shape", " "))
-    joined = save(joined.select("doc_id", "fp", "line_no", "vote", "template"), "templates")
+    rows = rows.filter(fixed >= F.size("shape") * constant).withColumn("template", F.array_join("shape", " "))
+    joined = save(rows.select("doc_id", "fp", "line_no", "vote", "template"), "templates")
     drop = save(_recurring(joined, "template", "vote", min_docs), "recurring")
     return joined.join(_small(drop, broadcast_rows), "template", "left_semi").select("doc_id", "fp", "line_no", "template")
 

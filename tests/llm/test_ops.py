@@ -155,6 +155,16 @@ def test_boilerplate_between_the_same_neighbours_goes_and_near_copies_stay(spark
         assert got[d] == (t if d >= 200 else "\n".join(x for x in t.split("\n") if x not in header and x != parted))
 
 
+def test_a_template_of_a_hot_leaf_needs_no_share_of_it(spark):
+    rng = np.random.default_rng(13)
+    rows = []
+    for i in range(600):  # all lines have one leaf; 30 of 600 are of one template
+        said = "disk is full on node alpha" if i % 20 == 0 else prose(6, rng)
+        rows.append((i, f"{prose(14, rng)}\n2024-01-{i % 28:02d} 10:{i % 60:02d} {i} {said}\n{prose(15, rng)}"))
+    got = {r["doc_id"]: r["n_dropped"] for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {i: int(i % 20 == 0) for i in range(600)}
+
+
 # --- packing --------------------------------------------------------------------
 
 
