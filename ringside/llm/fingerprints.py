@@ -22,10 +22,11 @@ K = S + W - 1
 SIZE = 64
 
 
-def _with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
+def _with_anchors(df: DataFrame, text: str, out: str, never_none: bool = False) -> DataFrame:
     """Adds ``out``: array of (at, hash), the closed syncmers of a text column
     with the place of each k-mer's first token. A text of under K tokens, but
-    not none, is one anchor."""
+    not none, is one anchor; with ``never_none`` also one in which no k-mer is a
+    syncmer. That takes under W k-mers: among W in a row one always is."""
     keep = df.columns
     df = df.withColumn("_t", F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))).withColumn("_n", F.size("_t"))
     left = lambda width: F.greatest(F.col("_n") - (width - 1), F.lit(0))
@@ -43,7 +44,10 @@ def _with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     anchor = lambda i: F.struct(i.alias("at"), F.xxhash64(F.get("_h", i), F.get("_h", i + 2), F.get("_h", i + 3)).alias("hash"))
     whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(F.array_join("_t", " ")).alias("hash")))
     none = F.array().cast("array<struct<at:int,hash:bigint>>")
-    found = F.when(F.col("_n") >= K, F.transform("_at", anchor)).when(F.col("_n") > 0, whole).otherwise(none)
+    some = F.col("_n") >= (K + W - 1 if never_none else K)
+    if never_none:
+        some = some | ((F.col("_n") >= K) & (F.size("_at") > 0))
+    found = F.when(some, F.transform("_at", anchor)).when(F.col("_n") > 0, whole).otherwise(none)
     return df.select(*keep, found.alias(out))
 
 
@@ -114,7 +118,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     n = F.char_length("text")
     q = F.floor(n / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - q), F.coalesce(F.substring("next", F.lit(1), q), F.lit("")))).drop("next")
-    rows = _with_anchors(rows, "text", "own").withColumn("own", sketch(F.col("own")))
+    rows = _with_anchors(rows, "text", "own", never_none=True).withColumn("own", sketch(F.col("own")))
     rows = rows.withColumn("next_own", F.when(known, F.lead("own").over(order))).filter(~F.col("ghost"))
-    rows = _with_anchors(rows, "edited", "other").withColumn("other", sketch(F.col("other")))
+    rows = _with_anchors(rows, "edited", "other", never_none=True).withColumn("other", sketch(F.col("other")))
     return rows.select("doc_id", "text", "edited", "own", "other", F.coalesce("next_own", F.array().cast("array<bigint>")).alias("next_own"))

@@ -84,6 +84,13 @@ def test_near_documents_are_liker_than_strangers(spark, docs):
     assert np.mean([r["near_edited"] for r in big]) > 0.5 > 0.1 > np.mean([r["near_next"] for r in big])
 
 
+def test_texts_without_a_syncmer_have_fingerprints_of_their_own(spark):
+    texts = [" ".join(f"t{i}x{k}" for k in range(5 + i % 4)) for i in range(40)]
+    rows = fingerprints.fingerprints(frame(spark, list(enumerate([*texts, ""])))).collect()
+    own = {r["doc_id"]: tuple(r["own"]) for r in rows}
+    assert own.pop(40) == () and all(own.values()) and len(set(own.values())) == 40
+
+
 # --- decontamination ----------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
