@@ -9,22 +9,25 @@ on. TREES independent trees are grown. A pair of similarity j survives a branch
 unless all chosen coordinates differ, so the chance q that one tree loses it
 solves q = (1 - j + j q)^2: 0.0625 at j = 0.8, and 1.5e-5 for four trees.
 
-Large groups of near copies stay together however deep the tree. Every large
-node therefore also compares its members with a few pivots, which joins such a
-group in a star, and a node that is still large at DEPTH is first dealt into
-random blocks, compared inside each and with more pivots. No node's pairs are
-all written out.
-
-Candidates with too few equal minwise values are no near copies (at 34 of 64, 5
-standard deviations below 0.8). The others are confirmed on full sets, in two
-rounds: first a spanning forest of each node's likely pairs and the stars, then
-every likely pair that still crosses two components. So a group of n near
-copies costs a few n confirmations, and no link between components is left out.
-In the second round, nodes that are still large at DEPTH and share members are
-one field, which is compared block by block against all its blocks, full sets
-included; only a field's largest component isn't compared with itself. So a
-family of n texts just under the bar costs n squared comparisons, but gives a
-forest of links a pair of blocks.
+A pair inside one component changes nothing, so what is linked early is not
+branched again. The roots' children are compared first: small ones give a
+spanning forest of their likely pairs (LEAST_EQUAL of 64 minwise values equal;
+34 is 5 standard deviations below 0.8), large ones join each member to the
+likeliest of PIVOTS members. These candidates are confirmed on full sets, and
+their components become the classes' roots. Only large nodes with several roots
+branch on, and only while that pays: where the children have as many open pairs
+(of two roots) as the node itself, as in a family of texts that are all alike,
+the node is compared as it is. To that end it is dealt into blocks, those of its
+largest root apart, and each pair of blocks with open pairs becomes a node of at
+most TASK members. So no pair of a node is left out, however large the node is.
+
+Where a candidate of a forest turns out not to be similar, other pairs of its
+node may still link what the forest was to join. Such nodes are looked at again
+with the new roots: members with a likely pair across two roots meet with their
+full sets, and every such pair is decided there, in the first of the nodes that
+the pair has in common. Only links leave a node, never its pairs, so a group of
+n near copies costs a few n rows; a family of n texts just under the bar costs
+n squared comparisons inside tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -34,18 +37,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, ship
 from .components import components
 
 COORDINATES = 64
 TREES = 4
 BRANCH = 2
-SMALL = 64
+SMALL = 256
 DEPTH = 4
-BLOCK = 256
-COLUMNS = 8192
+TASK = 2048
+SET_BYTES = 32 << 20
+PIVOTS = 4
+PAIRS_AT_ONCE = 1 << 18
+COLUMNS = 4096
 LEAST_EQUAL = 34
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS = 200_000
 
 _RNG = np.random.default_rng(7)
 _A = (_RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -90,11 +96,11 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 
 
 def minwise(found: np.ndarray) -> np.ndarray:
-    """64 minwise values, 16 bits of each."""
+    """64 minwise values, 32 bits of each."""
     low = np.full(COORDINATES, np.uint64(0xFFFFFFFFFFFFFFFF))
     for lo in range(0, len(found), 4096):
         low = np.minimum(low, (found[lo : lo + 4096, None] * _A + _B).min(axis=0))
-    return (_mix(low) >> np.uint64(48)).astype(np.uint16)
+    return (_mix(low) >> np.uint64(32)).astype(np.uint32)
 
 
 def _digest(found: np.ndarray) -> int:
@@ -103,14 +109,21 @@ def _digest(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
 
+def _named_rows(documents: DataFrame) -> DataFrame:
+    """row (the doc_id as text; for null the text's hash), doc_id, fp, text."""
+    fp = F.xxhash64("text")
+    return documents.select(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), fp.cast("string"))).alias("row"), F.col("doc_id").cast("string").alias("doc_id"), fp.alias("fp"), "text")
+
+
 def sketches(documents: DataFrame, size: int) -> DataFrame:
-    """doc_id (as text), fp, n_shingles, cls (digest of the set, null for an empty one), sig."""
+    """row, doc_id (as text), fp, n_shingles, cls (digest of the set, null for an empty one), sig."""
 
     def run(batches):
         for pdf in batches:
             sets = [shingles(t, size) for t in pdf["text"]]
             yield pd.DataFrame(
                 {
+                    "row": pdf["row"],
                     "doc_id": pdf["doc_id"],
                     "fp": pdf["fp"],
                     "n_shingles": np.array([len(s) for s in sets], np.int64),
@@ -119,13 +132,12 @@ def sketches(documents: DataFrame, size: int) -> DataFrame:
                 }
             )
 
-    docs = documents.select(F.col("doc_id").cast("string"), F.xxhash64("text").alias("fp"), "text")
-    return docs.mapInPandas(run, "doc_id string, fp long, n_shingles long, cls long, sig binary")
+    return _named_rows(documents).mapInPandas(run, "row string, doc_id string, fp long, n_shingles long, cls long, sig binary")
 
 
 # --- the trees ---------------------------------------------------------------
 
-NODE = "key long, path int, used long, cls long, n long, sig binary"
+NODE = "parent long, key long, path int, used long, cls long, n long, est binary"
 
 
 def _children(key: np.ndarray, path: np.ndarray, used: np.ndarray, sig: np.ndarray, depth: int):
@@ -142,101 +154,51 @@ def _children(key: np.ndarray, path: np.ndarray, used: np.ndarray, sig: np.ndarr
             while (taken := (used >> at.astype(np.uint64)) & np.uint64(1) == 1).any():
                 at = np.where(taken, (at + 1) % COORDINATES, at)
         value = sig[np.arange(len(sig)), at].astype(np.uint64)
-        tag = (np.uint64(depth) << np.uint64(40)) ^ (at.astype(np.uint64) << np.uint64(20)) ^ value
+        tag = (np.uint64(depth) << np.uint64(40)) ^ (at.astype(np.uint64) << np.uint64(32)) ^ value
         yield _mix(key ^ _mix(tag)), child, used | (np.uint64(1) << at.astype(np.uint64))
 
 
 def _grow(rows: DataFrame, depth: int) -> DataFrame:
-    """The next level of nodes: at depth 1 from classes, else from large nodes."""
+    """The next level of nodes: at depth 1 from classes, else from members of
+    large nodes. ``est`` is a byte of each minwise value, enough to compare."""
 
     def run(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), COORDINATES)
+            sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), COORDINATES)
+            raw = sig.astype(np.uint8).tobytes()
+            est = [raw[k : k + COORDINATES] for k in range(0, len(raw), COORDINATES)]
             if depth == 1:
                 starts = [(np.full(len(pdf), _mix(np.array([t + 1], np.uint64))[0]), np.full(len(pdf), t), np.zeros(len(pdf), np.uint64)) for t in range(TREES)]
             else:
                 starts = [(pdf["key"].to_numpy().astype(np.int64).view(np.uint64), pdf["path"].to_numpy().astype(np.int64), pdf["used"].to_numpy().astype(np.int64).view(np.uint64))]
             for key, path, used in starts:
                 for k, p, u in _children(key, path, used, sig, depth):
-                    yield pd.DataFrame({"key": k.view(np.int64), "path": p.astype(np.int32), "used": u.view(np.int64), "cls": pdf["cls"].to_numpy(), "n": pdf["n"].to_numpy(), "sig": pdf["sig"]})
+                    yield pd.DataFrame({"parent": key.view(np.int64), "key": k.view(np.int64), "path": p.astype(np.int32), "used": u.view(np.int64), "cls": pdf["cls"].to_numpy(), "n": pdf["n"].to_numpy(), "est": est})
 
     return rows.mapInPandas(run, NODE)
 
 
-def _alike(n: np.ndarray, sig: np.ndarray, m: np.ndarray, other: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs may be similar, and their numbers of equal minwise values."""
-    equal = (sig == other).sum(axis=-1)
-    return (equal >= LEAST_EQUAL) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)), equal
+# --- comparing inside nodes ------------------------------------------------------
 
+EDGE = "key long, a long, b long"
 
-PAIRS = "a long, b long"
 
-
-def _compared(nodes: DataFrame, percent: int, crossing: bool) -> DataFrame:
-    """Pairs of small nodes, each compared exhaustively by minwise values. At
-    first a node gives a spanning forest of its likely pairs, the likeliest
-    first (ties by a hash of the pair, so that nodes with the same members give
-    the same pairs); ``crossing``: all likely pairs of different roots."""
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for members in pdf["members"]:
-                cls = np.array([m["cls"] for m in members], np.int64)
-                n = np.array([m["n"] for m in members], np.int64)
-                sig = np.frombuffer(b"".join(m["sig"] for m in members), np.uint16).reshape(-1, COORDINATES)
-                ok, equal = _alike(n[:, None], sig[:, None, :], n[None, :], sig[None, :, :], percent)
-                ok &= cls[:, None] < cls[None, :]
-                root = np.array([m["root"] for m in members], np.int64) if crossing else np.arange(len(cls))
-                ok &= root[:, None] != root[None, :]
-                i, j = np.nonzero(ok)
-                if not crossing and len(i):
-                    tie = _mix(cls[i].view(np.uint64) ^ _mix(cls[j].view(np.uint64)))
-                    keep = []
-                    for e in np.lexsort((tie, -equal[i, j])).tolist():
-                        x, y = root[i[e]], root[j[e]]
-                        if x != y:
-                            root[root == y] = x
-                            keep.append(e)
-                    i, j = i[keep], j[keep]
-                out.append(np.stack([cls[i], cls[j]]))
-            found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-            yield pd.DataFrame({"a": found[0], "b": found[1]})
-
-    return nodes.mapInPandas(run, PAIRS)
-
-
-def _stars(rows: DataFrame, pivots: int, percent: int) -> DataFrame:
-    """Candidate pairs of each large node's members and its pivots, the members
-    with the least hashes."""
-    least = [F.min(F.struct(F.xxhash64("cls", F.lit(s)), "cls", "n", "sig")).alias(f"p{s}") for s in range(pivots)]
-    chosen = rows.groupBy("key").agg(*least).select("key", F.array(*[F.struct(f"p{s}.cls", f"p{s}.n", f"p{s}.sig") for s in range(pivots)]).alias("pivots"))
-    chosen = save(chosen, "pivots")
-    if chosen.count() * pivots <= BROADCAST_ROWS // 10:
-        chosen = F.broadcast(chosen)
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            if len(pdf):
-                cls, n = pdf["cls"].to_numpy(), pdf["n"].to_numpy()
-                sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, COORDINATES)
-                for s in range(pivots):
-                    p = [x[s] for x in pdf["pivots"]]
-                    b, m = np.array([x["cls"] for x in p], np.int64), np.array([x["n"] for x in p], np.int64)
-                    ok, _ = _alike(n, sig, m, np.frombuffer(b"".join(x["sig"] for x in p), np.uint16).reshape(-1, COORDINATES), percent)
-                    ok &= cls != b
-                    out.append(np.stack([np.minimum(cls, b)[ok], np.maximum(cls, b)[ok]]))
-            found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-            yield pd.DataFrame({"a": found[0], "b": found[1]})
-
-    return rows.join(chosen, "key").select("cls", "n", "sig", "pivots").mapInPandas(run, PAIRS)
-
-
-def _members(rows: DataFrame, *more: str) -> DataFrame:
-    return rows.groupBy("key").agg(F.collect_list(F.struct("cls", "n", "sig", *more)).alias("members")).filter(F.size("members") > 1).select("members")
+def _whole_nodes(batches):
+    """Batches sorted by key, cut so that a node is never split."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        key = pdf["key"].to_numpy()
+        tail = int(np.flatnonzero(key == key[-1])[0])
+        if tail:
+            yield pd.concat([*held, pdf.iloc[:tail]]) if held else pdf.iloc[:tail]
+            held = []
+        held.append(pdf.iloc[tail:])
+    if held:
+        yield pd.concat(held)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -246,106 +208,137 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def trees(classes: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Grows all trees: the first candidate pairs (a, b) of every node, and the
-    members (key, cls, n, sig) of all small nodes and of those that are still
-    large at DEPTH (None: there are none)."""
-    pairs, small, rows, still = [], [], classes, None
-    for depth in range(1, DEPTH + 1):
-        rows = _grow(rows, depth)
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-        sized = save(rows.join(sizes, "key"), "sized")
-        small.append(sized.filter(F.col("size") <= SMALL).select("key", "cls", "n", "sig"))
-        large = sized.filter(F.col("size") > SMALL)
-        rows = large.drop("size")
-        if not rows.limit(1).count():
+def _by_node(nodes: DataFrame) -> DataFrame:
+    return nodes.repartition("key").sortWithinPartitions("key")
+
+
+def _estimates(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), COORDINATES)
+
+
+def _likely(pdf: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows (i, j) of one node that may be similar and aren't of one
+    root, and their numbers of equal minwise values."""
+    key, n, root = (pdf[c].to_numpy() for c in ("key", "n", "root"))
+    est = _estimates(pdf["est"])
+    begin = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if key[0] > 0 else key[0] + 1))
+    sizes = np.diff(np.append(begin, len(key)))
+    after = np.repeat(begin + sizes, sizes) - np.arange(len(key)) - 1  # rows of the node behind each
+    upto = np.cumsum(after)
+    out, lo = [], 0
+    while lo < len(key):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS_AT_ONCE, side="right")))
+        i = np.repeat(np.arange(lo, hi), after[lo:hi])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[lo:hi]) - after[lo:hi], after[lo:hi])
+        ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (root[i] != root[j])
+        i, j = i[ok], j[ok]
+        equal = (est[i] == est[j]).sum(axis=1)
+        ok = equal >= LEAST_EQUAL
+        out.append((i[ok], j[ok], equal[ok]))
+        lo = hi
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _forest(i: np.ndarray, j: np.ndarray, order: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The pairs of a spanning forest over labels, the first in ``order``
+    before others: each round every tree takes its first pair to another."""
+    rank = np.argsort(order, kind="stable")
+    label = np.unique(label, return_inverse=True)[1]
+    count, keep = int(label.max(initial=-1)) + 1, []
+    while len(rank):
+        x, y = label[i[rank]], label[j[rank]]
+        open_ = x != y
+        rank, x, y = rank[open_], x[open_], y[open_]
+        if not len(rank):
             break
-        last = depth == DEPTH
-        pairs.append(save(_stars(rows, 2 if last else 1, percent).distinct(), "pairs"))
-        if last:
-            block = F.pmod(F.xxhash64("cls", "key"), F.ceil(F.col("size") / (SMALL // 2)))
-            still = large.select("key", "cls", "n", "sig")
-            pairs.append(_compared(_members(large.select(F.xxhash64("key", block).alias("key"), "cls", "n", "sig")), percent, False))
-    pairs.extend(_compared(_members(rows), percent, False) for rows in small)
-    return _union(pairs).distinct(), _union(small), still
-
-
-# --- fields: large nodes, block by block ------------------------------------------
-
-
-def _common(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
-    """How many hashes each of ``rows`` shares with each of ``columns``."""
-    both = np.intersect1d(np.concatenate(rows), np.concatenate(columns))
-    out = np.zeros((len(rows), len(columns)), np.float32)
-    for lo in range(0, len(both), COLUMNS):
-        part = both[lo : lo + COLUMNS]
-        sides = []
-        for sets in (rows, columns):
-            held = np.zeros((len(sets), len(part)), np.float32)
-            for i, s in enumerate(sets):
-                at = np.searchsorted(part, s[(s >= part[0]) & (s <= part[-1])])
-                mine = s[(s >= part[0]) & (s <= part[-1])] == part[at]
-                held[i, at[mine]] = 1
-            sides.append(held)
-        out += sides[0] @ sides[1].T
-    return out
+        first = np.full(count, len(rank))
+        for side in (x, y):
+            mine = np.full(count, len(rank))
+            mine[side[::-1]] = np.arange(len(rank))[::-1]
+            first = np.minimum(first, mine)
+        chosen = np.unique(first[first < len(rank)])
+        keep.append(rank[chosen])
+        parent = np.arange(count)
+        for a, b in zip(x[chosen].tolist(), y[chosen].tolist(), strict=True):
+            while parent[a] != a:
+                a = parent[a]
+            while parent[b] != b:
+                b = parent[b]
+            parent[max(a, b)] = min(a, b)
+        while (up := parent[parent]).tolist() != parent.tolist():
+            parent = up
+        label = parent[label]
+    return np.concatenate(keep) if keep else np.zeros(0, np.int64)
+
+
+def _edges(pdf: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    key, cls = pdf["key"].to_numpy(), pdf["cls"].to_numpy()
+    return pd.DataFrame({"key": key[i], "a": np.minimum(cls[i], cls[j]), "b": np.maximum(cls[i], cls[j])})
+
+
+def _forests(nodes: DataFrame, percent: int) -> DataFrame:
+    """(key, a, b): a spanning forest of each node's likely pairs over its
+    roots, the likeliest first (ties by a hash of the pair, so that nodes with
+    the same members give the same pairs)."""
 
+    def run(batches):
+        for pdf in _whole_nodes(batches):
+            i, j, equal = _likely(pdf, percent)
+            cls, key = pdf["cls"].to_numpy().view(np.uint64), pdf["key"].to_numpy()
+            tie = _mix(np.minimum(cls[i], cls[j]) ^ _mix(np.maximum(cls[i], cls[j])))
+            order = np.empty(len(i), np.int64)
+            order[np.lexsort((tie, -equal))] = np.arange(len(i))
+            # A root is a tree of its own in each node.
+            label = np.unique(np.stack([key, pdf["root"].to_numpy()]), axis=1, return_inverse=True)[1].ravel()
+            kept = _forest(i, j, order, label)
+            yield _edges(pdf, i[kept], j[kept])
+
+    return _by_node(nodes.select("key", "cls", "n", "est", "root")).mapInPandas(run, EDGE)
+
+
+def _stars(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each member of a large node with the likeliest of the node's
+    PIVOTS, if that is likely and of another root."""
+    least = [F.min(F.struct(F.xxhash64("cls", "key", F.lit(s)), "cls", "n", "root", "est")).alias(f"p{s}") for s in range(PIVOTS)]
+    names = ("cls", "n", "root", "est")
+    chosen = rows.groupBy("key").agg(*least).select("key", *[F.array(*[F.col(f"p{s}.{c}") for s in range(PIVOTS)]).alias(f"p_{c}") for c in names])
+    chosen = save(chosen, "pivots")
+    if chosen.count() * PIVOTS <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
 
-def _field_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """A spanning forest, over roots, of the similar pairs between two blocks
-    (sides 0 and 1), or inside one (side 0 alone)."""
-    side = pdf["side"].to_numpy()
-    cls, n, root = pdf["cls"].to_numpy(), pdf["n"].to_numpy(), pdf["root"].to_numpy()
-    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, COORDINATES)
-    x = np.flatnonzero(side == 0)
-    y = np.flatnonzero(side == 1) if pdf["twofold"].iloc[0] else x
-    ok, equal = _alike(n[x][:, None], sig[x][:, None, :], n[y][None, :], sig[y][None, :, :], percent)
-    ok &= root[x][:, None] != root[y][None, :]
-    if not pdf["twofold"].iloc[0]:
-        ok &= cls[x][:, None] < cls[y][None, :]
-    r, c = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
-    keep = []
-    if len(r):
-        sets = [np.frombuffer(f, np.uint64) for f in pdf["found"]]
-        u, v = [sets[k] for k in x[r]], [sets[k] for k in y[c]]
-        both = _common(u, v).astype(np.int64)
-        total = np.array([len(s) for s in u])[:, None] + np.array([len(s) for s in v])[None, :] - both
-        i, j = np.nonzero(ok[np.ix_(r, c)] & (100 * both >= percent * total))
-        i, j = x[r[i]], y[c[j]]
-        first = np.unique(np.stack([root[i], root[j]]), axis=1, return_index=True)[1]
-        joined = root.copy()
-        for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True):
-            if joined[a] != joined[b]:
-                joined[joined == joined[b]] = joined[a]
-                keep.append((min(cls[a], cls[b]), max(cls[a], cls[b])))
-    return pd.DataFrame(np.array(keep, np.int64).reshape(-1, 2), columns=["a", "b"])
-
-
-def _fields(still: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b), confirmed on full sets, between all components that meet
-    in a field. ``still``: members of large nodes; ``known``: (cls, root)."""
-    rooted = save(still.join(known, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "rooted")
-    # Nodes of one component have nothing left to link.
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    rooted = save(rooted.join(open_, "key", "left_semi"), "open")
-    field = components(rooted.groupBy("key").agg(F.min("cls").alias("a")).join(rooted.select("key", F.col("cls").alias("b")), "key").select("a", "b")).select(F.col("node").alias("cls"), F.col("root").alias("field"))
-    members = save(rooted.select("cls", "n", "sig", "root").dropDuplicates(["cls"]).join(field, "cls"), "members")
-    counts = members.groupBy("field", "root").agg(F.count("*").alias("many"))
-    sizes = counts.groupBy("field").agg(F.max(F.struct("many", "root")).alias("most"), F.sum("many").alias("all"))
-    blocks = lambda many: F.ceil(many / BLOCK).cast("int")
-    sizes = save(sizes.select("field", F.col("most.root").alias("largest"), blocks(F.col("most.many")).alias("n_main"), blocks(F.col("all") - F.col("most.many")).alias("n_rest")), "fields")
-    rows = members.join(sizes, "field").withColumn("main", F.col("root") == F.col("largest"))
-    mine = F.pmod(F.xxhash64("cls"), F.when(F.col("main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int")
-    rows = rows.withColumn("mine", mine).join(sets, "cls")
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            cls, n, root, est = pdf["cls"].to_numpy(), pdf["n"].to_numpy(), pdf["root"].to_numpy(), _estimates(pdf["est"])
+            best, to = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
+            p_cls, p_n, p_root = (np.stack(pdf[f"p_{c}"].to_numpy()) for c in ("cls", "n", "root"))
+            for s in range(PIVOTS):
+                equal = (est == _estimates(pd.Series([p[s] for p in pdf["p_est"]]))).sum(axis=1)
+                m = p_n[:, s]
+                ok = (equal >= LEAST_EQUAL) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (p_root[:, s] != root) & (equal > best)
+                best, to = np.where(ok, equal, best), np.where(ok, p_cls[:, s], to)
+            ok = best > 0
+            yield pd.DataFrame({"a": np.minimum(cls, to)[ok], "b": np.maximum(cls, to)[ok]})
+
+    return rows.join(chosen, "key").select("cls", "n", "root", "est", "p_cls", "p_n", "p_root", "p_est").mapInPandas(run, "a long, b long")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Nodes for large ones: the members of the largest root (main) and the
+    others are dealt into blocks, and each pair of blocks but those of two main
+    ones is a node. ``rows``: with size, main and most (main's members)."""
+    block = TASK // 2
+    of_main = F.col("root") == F.col("main")
+    n_main, n_rest = (F.ceil(x / block).cast("int") for x in (F.col("most"), F.col("size") - F.col("most")))
+    rows = rows.withColumn("of_main", of_main).withColumn("n_main", n_main).withColumn("n_rest", n_rest)
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("cls", "key"), F.when(F.col("of_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    task = lambda kind, i, j, side, twofold: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"), twofold.alias("twofold"))
-    own = F.col("mine")
-    as_main = F.transform(upto("n_rest"), lambda k: task(0, k, own, F.lit(1), F.lit(True)))
-    with_main = F.transform(upto("n_main"), lambda k: task(0, own, k, F.lit(0), F.lit(True)))
-    with_rest = F.transform(upto("n_rest"), lambda k: task(1, F.least(own, k), F.greatest(own, k), own > k, own != k))
-    rows = rows.withColumn("t", F.explode(F.when(F.col("main"), as_main).otherwise(F.concat(with_main, with_rest))))
-    rows = rows.select("field", "t.*", "cls", "n", "sig", "root", "found")
-    return rows.groupBy("field", "kind", "i", "j").applyInPandas(lambda pdf: _field_links(pdf, percent), PAIRS)
+    task = lambda kind, i, j: F.xxhash64("key", F.lit(kind), i, j)
+    to_main = F.transform(upto("n_main"), lambda k: task(0, F.col("mine"), k))
+    to_rest = F.transform(upto("n_rest"), lambda k: task(1, F.least("mine", k), F.greatest("mine", k)))
+    own = F.when(F.col("of_main"), F.transform(upto("n_rest"), lambda k: task(0, k, F.col("mine")))).otherwise(F.concat(to_main, to_rest))
+    return rows.withColumn("key", F.explode(own)).select("key", "cls", "n", "est", "root")
 
 
 # --- confirming ----------------------------------------------------------------
@@ -367,19 +360,199 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def _sets(documents: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """(cls, found): the full sets of the classes ``reps`` (doc_id, cls)."""
+def _suspects(nodes: DataFrame, percent: int) -> DataFrame:
+    """The members of nodes that have a likely pair across two roots."""
 
     def run(batches):
-        for pdf in batches:
-            found = [shingles(t, size) for t in pdf["text"]]
-            yield pd.DataFrame({"cls": np.array([_digest(s) for s in found], np.int64), "found": [s.tobytes() for s in found]})
+        for pdf in _whole_nodes(batches):
+            i, j, _ = _likely(pdf, percent)
+            yield pdf.iloc[np.unique(np.concatenate([i, j]))]
+
+    return _by_node(nodes.select("key", "cls", "n", "est", "root")).mapInPandas(run, "key long, cls long, n long, est binary, root long")
+
 
-    ids = reps.select("doc_id").distinct()
-    if ids.count() <= BROADCAST_ROWS:
-        ids, reps = F.broadcast(ids), F.broadcast(reps)
-    texts = documents.select(F.col("doc_id").cast("string"), "text").join(ids, "doc_id", "left_semi")
-    return texts.mapInPandas(run, "cls long, found binary").join(reps.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+def _common(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each of ``rows`` shares with each of ``columns``."""
+    both = np.intersect1d(np.concatenate(rows), np.concatenate(columns))
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for lo in range(0, len(both), COLUMNS):
+        part = both[lo : lo + COLUMNS]
+        sides = []
+        for sets in (rows, columns):
+            held = np.zeros((len(sets), len(part)), np.float32)
+            for i, s in enumerate(sets):
+                s = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], side="right")]
+                at = np.searchsorted(part, s)
+                held[i, at[part[at] == s]] = 1
+            sides.append(held)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _decided(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """A spanning forest, over roots, of the similar pairs of one node of
+    suspects, without the pairs that an earlier node decides."""
+    pdf = pdf.reset_index(drop=True)
+    none = pd.DataFrame({"key": np.zeros(0, np.int64), "a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    i, j, _ = _likely(pdf, percent)
+    key = pdf["key"].iloc[0]
+    earlier = [np.sort(k[k < key]) for k in pdf["keys"]]
+    known = np.unique(np.concatenate(earlier))
+    if len(known):
+        held = np.zeros((len(pdf), len(known)), np.float32)
+        for row, mine in enumerate(earlier):
+            held[row, np.searchsorted(known, mine)] = 1
+        fresh = (held @ held.T)[i, j] == 0
+        i, j = i[fresh], j[fresh]
+    if not len(i):
+        return none
+    sets = [np.frombuffer(f, np.uint64) for f in pdf["found"]]
+    similar = np.zeros(len(i), bool)
+    r = np.unique(i)
+    for lo in range(0, len(r), TASK // 4):  # some rows at a time, against those that they are likely like
+        part = r[lo : lo + TASK // 4]
+        mine = np.flatnonzero((i >= part[0]) & (i <= part[-1]))
+        c = np.unique(j[mine])
+        both = _common([sets[k] for k in part], [sets[k] for k in c])[np.searchsorted(part, i[mine]), np.searchsorted(c, j[mine])].astype(np.int64)
+        n = pdf["n"].to_numpy()
+        similar[mine] = 100 * both >= percent * (n[i[mine]] + n[j[mine]] - both)
+    i, j = i[similar], j[similar]
+    kept = _forest(i, j, np.arange(len(i)), pdf["root"].to_numpy())
+    return _edges(pdf, i[kept], j[kept])
+
+
+# --- the whole join ---------------------------------------------------------------
+
+
+class _Sets:
+    """Full sets of the classes that are asked for, computed once each."""
+
+    def __init__(self, documents: DataFrame, classes: DataFrame, size: int):
+        self.documents, self.classes, self.size = documents, classes, size
+        self.known: DataFrame | None = None
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """(cls, found) of all classes asked for so far, ``wanted`` (cls) included."""
+        new = wanted if self.known is None else wanted.join(self.known.select("cls"), "cls", "left_anti")
+        reps = save(self.classes.join(new, "cls", "left_semi").select("row", "cls"), "reps")
+        many = reps.count()
+        if many:
+            found = save(self._computed(reps, many <= BROADCAST_ROWS), "sets")
+            self.known = found if self.known is None else self.known.unionByName(found)
+        return self.known if self.known is not None else reps.select("cls", F.lit(b"").alias("found"))
+
+    def _computed(self, reps: DataFrame, few: bool) -> DataFrame:
+        size = self.size
+
+        def run(batches):
+            for pdf in batches:
+                found = [shingles(t, size) for t in pdf["text"]]
+                yield pd.DataFrame({"cls": np.array([_digest(s) for s in found], np.int64), "found": [s.tobytes() for s in found]})
+
+        rows = reps.select("row").distinct()
+        if few:
+            rows, reps = F.broadcast(rows), F.broadcast(reps)
+        texts = _named_rows(self.documents).join(rows, "row", "left_semi").select("text")
+        return texts.mapInPandas(run, "cls long, found binary").join(reps.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+
+
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(cls, root) after ``links`` (a, b); a class that isn't there is its own root."""
+    if roots is None:
+        return components(links).select(F.col("node").alias("cls"), "root")
+    for side in ("a", "b"):
+        at = roots.select(F.col("cls").alias(side), F.col("root").alias("_r"))
+        links = links.join(at, side, "left").withColumn(side, F.coalesce("_r", side)).drop("_r")
+    links = save(links.filter("a <> b").distinct(), "links")
+    if not links.limit(1).count():
+        return roots
+    up = components(links)
+    moved = roots.join(up, roots["root"] == up["node"], "left").select("cls", F.coalesce(up["root"], roots["root"]).alias("root"))
+    fresh = up.join(roots, up["node"] == roots["cls"], "left_anti").select(F.col("node").alias("cls"), "root")
+    return save(moved.unionByName(fresh), "roots")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame, few: bool) -> DataFrame:
+    """``rows`` with their present root."""
+    return rows.drop("root").join(F.broadcast(roots) if few else roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, cls, root, ...) with their node's size, its open pairs
+    (of two roots), its largest root (main) and that one's members (most).
+    Nodes of one root go."""
+    counts = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
+    total = F.sum("c")
+    sizes = counts.groupBy("key").agg(total.alias("size"), ((total * total - F.sum(F.col("c") * F.col("c"))) / 2).cast("long").alias("open"), F.max(F.struct("c", "root")).alias("top"))
+    sizes = sizes.filter("open > 0").select("key", "size", "open", F.col("top.root").alias("main"), F.col("top.c").alias("most"))
+    return rows.join(sizes, "key")
+
+
+def _is_small():
+    """A node that one task compares as it is."""
+    return (F.col("size") <= SMALL) | ((F.col("size") <= TASK) & (F.col("open") <= SMALL * SMALL))
+
+
+def _roots(classes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """(cls, root): the components of all classes that have links."""
+    level = save(_sized(_grow(classes, 1).drop("parent").withColumn("root", F.col("cls"))), "nodes")
+    nodes = [level.filter(_is_small())]
+    large = level.filter(~_is_small())
+    forests = [save(_forests(nodes[0], percent), "forests")]
+    first = save(forests[0].select("a", "b").unionByName(_stars(large, percent)).distinct(), "pairs")
+    similar = save(_confirmed(first, sets.of(_ends(first)), percent), "links")
+    roots = _joined(None, similar)
+    few = roots.count() <= BROADCAST_ROWS
+
+    facts = ("size", "open", "main", "most")
+    rows = save(_sized(_rooted(large.drop(*facts), roots, few)), "mixed")
+    found = []
+    for depth in range(2, DEPTH + 1):
+        nodes.append(rows.filter(_is_small()))
+        rows = rows.filter(~_is_small())
+        if not rows.limit(1).count():
+            break
+        if depth > 2:
+            found.append(_stars(rows, percent))
+        grown = _grow(rows.select("key", "path", "used", "cls", "n").join(classes.select("cls", "sig"), "cls"), depth)
+        level = save(_sized(_rooted(grown, roots, few)), "nodes")
+        left = level.select("parent", "key", "open").distinct().groupBy("parent").agg(F.sum("open").alias("left"))
+        pays = save(rows.select("key", "open").distinct().join(left, F.col("key") == F.col("parent"), "left").filter(F.coalesce("left", F.lit(0)) < F.col("open")).select("key"), "pays") if depth < DEPTH else rows.select("key").limit(0)
+        nodes.append(save(_dealt(rows.join(_few(pays), "key", "left_anti")), "dealt"))
+        rows = save(level.join(_few(pays.withColumnRenamed("key", "parent")), "parent", "left_semi"), "rows")
+    if len(nodes) > 1:
+        forests.extend(save(_forests(x, percent), "forests") for x in nodes[1:])
+        pairs = _union([f.select("a", "b") for f in forests[1:]] + found).distinct().join(first, ["a", "b"], "left_anti")
+        pairs = save(pairs, "pairs")
+        links = save(_confirmed(pairs, sets.of(_ends(pairs)), percent), "links")
+        similar = similar.unionByName(links)
+        roots = _joined(roots, links)
+        few = roots.count() <= BROADCAST_ROWS
+
+    again = []
+    for own, forest in zip(nodes, forests, strict=True):
+        failed = save(forest.join(similar, ["a", "b"], "left_anti").select("key").distinct(), "failed")
+        again.append(own.select("key", "cls", "n", "est").join(_few(failed), "key", "left_semi"))
+    rows = save(_suspects(_sized(_rooted(_union(again), roots, few)), percent), "suspects")
+    if not rows.limit(1).count():
+        return roots
+    keys = rows.groupBy("cls").agg(F.collect_set("key").alias("keys"))
+    # A node whose sets are long is dealt once more, so that a task holds 2 * SET_BYTES of them.
+    parts = rows.groupBy("key").agg(F.ceil(F.sum("n") * 8 / SET_BYTES).cast("int").alias("parts"))
+    mine = F.pmod(F.xxhash64("cls", "key"), F.col("parts")).cast("int")
+    task = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.xxhash64("key", F.least(F.col("mine"), k), F.greatest(F.col("mine"), k)))
+    met = rows.join(_few(parts), "key").withColumn("mine", mine).withColumn("task", F.explode(F.when(F.col("parts") > 1, task).otherwise(F.array("key")))).drop("parts", "mine")
+    met = met.join(keys, "cls").join(sets.of(keys.select("cls")), "cls")
+    links = save(met.groupBy("task").applyInPandas(lambda pdf: _decided(pdf, percent), EDGE).select("a", "b").distinct(), "links")
+    return _joined(roots, links)
 
 
 def groups(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -388,46 +561,35 @@ def groups(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     Two rows are linked when 100 * intersection >= percent * union of their
     shingle sets. A null or empty text has no shingles and no links, and is its
-    own component. Rows without doc_id share the class of equal sets, and never
-    give a component its id; a class of such rows alone isn't compared with
-    others and has none. Repeated rows
-    are linked to each other; no rows, no groups. Other columns are ignored.
+    own component. Rows without doc_id have links as others do, but never give
+    a component its id; one of such rows alone has none. Repeated rows are
+    linked to each other; no rows, no groups. Other columns are ignored. Long
+    texts are sets like others; ties don't occur, as component ids are minima.
     """
+    ship(documents.sparkSession)
     own = save(sketches(documents, size), "sketches")
     number = F.col("doc_id").cast("long")
-    classes = own.filter("cls is not null").groupBy("cls").agg(F.min(number).alias("least"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"))
+    classes = own.filter("cls is not null").groupBy("cls").agg(F.min(number).alias("least"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig"), F.min("row").alias("row"))
     classes = save(classes, "classes")
-    pairs, small, still = trees(classes.select("cls", "n", "sig"), percent)
-    pairs = save(pairs, "candidates")
-    involved = save(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "involved")
-    few = involved.count() <= BROADCAST_ROWS
-    wanted = involved if still is None else save(involved.unionByName(still.select("cls")).distinct(), "wanted")
-    reps = save(classes.join(F.broadcast(wanted) if few and (still is None or wanted.count() <= BROADCAST_ROWS) else wanted, "cls", "left_semi").select("doc_id", "cls"), "reps")
-    sets = save(_sets(documents, reps, size), "sets")
-    links = save(_confirmed(pairs, sets, percent), "links")
-    roots = components(links.unionByName(involved.select(F.col("cls").alias("a"), F.col("cls").alias("b"))))
-    # What is one component already needs no more links; between components every likely pair is tried.
-    known = roots.select(F.col("node").alias("cls"), "root")
-    again = small.join(F.broadcast(known) if few else known, "cls")
-    rest = _compared(_members(again, "root"), percent, True).distinct().join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(save(_confirmed(save(rest, "rest"), sets, percent), "links"))
-    if still is not None:
-        links = links.unionByName(save(_fields(still, F.broadcast(known) if few else known, sets, percent), "fields"))
-    roots = components(links).select(F.col("node").alias("cls"), "root")
+    roots = _roots(classes.select("cls", "n", "sig"), _Sets(documents, classes.select("row", "cls"), size), percent)
     placed = classes.select("cls", "least").join(roots, "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "component_id")
-    return own.join(named, "cls", "left").select(number.alias("doc_id"), "fp", "n_shingles", F.when(F.col("n_shingles") == 0, number).otherwise(F.col("component_id")).alias("component_id"))
+    out = ("doc_id", "fp", "n_shingles", "component_id")
+    linked = own.filter("cls is not null").join(named, "cls").withColumn("doc_id", number).select(*out)
+    # Empty texts skip the join, where their null classes would meet in one task.
+    return linked.unionByName(own.filter("cls is null").withColumn("doc_id", number).withColumn("component_id", F.col("doc_id")).select(*out))
 
 
 def kept(found: DataFrame) -> DataFrame:
-    """Adds ``kept``: the document that stays of its group."""
+    """Adds ``kept``: the document that stays of its group. Rows without doc_id
+    stay only in a group that has no doc_id at all."""
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def drop_near_duplicates(documents: DataFrame, **options) -> DataFrame:
     """``documents`` with all columns, one document of each group: the smallest
     doc_id. Rows that repeat a doc_id and its text stay or go together."""
-    gone = save(kept(groups(documents, **options)).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct(), "gone")
+    gone = save(kept(groups(documents, **options)).filter("not kept").select(F.col("doc_id").alias("_near_id"), F.col("fp").alias("_near_fp")).distinct(), "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_fp")), "left_anti")
+    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_near_id")) & (F.xxhash64("text") == F.col("_near_fp")), "left_anti")
