@@ -35,11 +35,9 @@ def _with_anchors(df: DataFrame, text: str, out: str, never_none: bool = False)
     # Sliding minima over 2 and then 4 inner hashes.
     df = df.withColumn("_m", F.zip_with(F.slice("_h", F.lit(1), left(S + 1)), F.slice("_h", F.lit(2), left(S + 1)), lambda a, b: F.least(a, b)))
     df = df.withColumn("_m", F.zip_with(F.slice("_m", F.lit(1), left(K)), F.slice("_m", F.lit(3), left(K)), lambda a, b: F.least(a, b)))
-    edge = F.zip_with(F.slice("_h", F.lit(1), left(K)), F.slice("_h", F.lit(W), left(K)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    df = df.withColumn("_e", edge)
     inner = lambda m, i: (m == F.get("_h", i)) | (m == F.get("_h", i + W - 1))
     at = F.filter(F.transform("_m", lambda m, i: F.when(inner(m, i), i)), lambda i: i.isNotNull())
-    df = df.drop("_e").withColumn("_at", at)
+    df = df.withColumn("_at", at)
     # Inner strings at 0, 2 and 3 cover the K tokens.
     anchor = lambda i: F.struct(i.alias("at"), F.xxhash64(F.get("_h", i), F.get("_h", i + 2), F.get("_h", i + 3)).alias("hash"))
     whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(F.array_join("_t", " ")).alias("hash")))
@@ -63,6 +61,11 @@ def sketch(found: Column) -> Column:
     return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda a: F.shiftrightunsigned(a["hash"], 32)))), 1, SIZE)
 
 
+def placed(found: Column) -> Column:
+    """Each anchor of an array, with its place, as one number."""
+    return F.transform(found, lambda a: F.xxhash64(a["at"], a["hash"]))
+
+
 def printed(hashes: Column) -> Column:
     """A fingerprint as text: eight hex digits a hash."""
     return F.array_join(F.transform(hashes, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), "")
@@ -76,8 +79,26 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(common / F.size(both))
 
 
-BUCKET = 256
-NEXT_BUCKETS = 4096
+RANGES, STEP, BUCKET = 256, 16, 256
+
+
+def _buckets(docs: DataFrame) -> tuple[Column, Column] | None:
+    """The range and the bucket of doc_id, both ascending with it. RANGES
+    quantile bounds make ranges of like sizes for any ids; a range is cut into
+    equal steps of doc_id, BUCKET rows in each on average. None: no ids."""
+    fractions = F.lit([i / RANGES for i in range(1, RANGES)])
+    facts = docs.agg(F.percentile_approx("doc_id", fractions, 100 * RANGES).alias("at"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("n")).first()
+    if not facts["n"]:
+        return None
+    bounds = sorted(facts["at"])
+    many = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col("doc_id")))
+    literal = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    coarse = many(literal(bounds[STEP - 1 :: STEP])) * STEP
+    part = coarse + many(F.slice(literal(bounds), coarse + 1, F.lit(STEP - 1)))
+    low, high = (F.element_at(literal(x), part + 1).cast("double") for x in ([facts["lo"], *bounds], [*bounds, facts["hi"]]))
+    steps = max(1, -(-facts["n"] // (RANGES * BUCKET)))
+    inside = F.floor((F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * steps)
+    return part, part.cast("long") * (steps + 1) + F.least(F.greatest(inside, F.lit(0)), F.lit(steps))
 
 
 def with_next(documents: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
@@ -85,17 +106,21 @@ def with_next(documents: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     buckets b, and at the end of each bucket a ghost of the row that follows
     it (after the last row: the first), so that lead() inside a bucket finds
     the next document of the whole table. Only buckets' least ids are
-    gathered, in two levels; no window spans the table.
+    gathered, range by range, and then one row a range; no window spans the
+    table. Rows that share a doc_id are in one bucket.
     """
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("b", F.floor(F.col("doc_id") / BUCKET)).withColumn("salt", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(4096))).otherwise(F.lit(0)))
-    firsts = docs.filter("doc_id is not null").groupBy("b").agg(F.min("doc_id").alias("first")).withColumn("bb", F.floor(F.col("b") / NEXT_BUCKETS))
-    tops = firsts.groupBy("bb").agg(F.max("b").alias("top"))
-    every = Window.orderBy("bb")  # a row for each BUCKET * NEXT_BUCKETS ids
-    last = F.max("top").over(Window.partitionBy(F.lit(0)))
-    tops = tops.select("bb", F.coalesce(F.lag("top").over(every), last).alias("prior"))
-    prior = F.coalesce(F.lag("b").over(Window.partitionBy("bb").orderBy("b")), F.col("prior"))
-    firsts = firsts.join(tops, "bb").select(F.col("first"), prior.alias("to"))
+    found = _buckets(docs)
+    part, bucket = found or (F.lit(None).cast("int"), F.lit(None).cast("long"))
+    docs = docs.withColumn("b", bucket).withColumn("salt", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(4096))).otherwise(F.lit(0)))
+    if not found:
+        return docs.withColumn("ghost", F.lit(False))
+    firsts = docs.filter("doc_id is not null").groupBy(part.alias("part"), "b").agg(F.min("doc_id").alias("first"))
+    tops = {r["part"]: r["top"] for r in firsts.groupBy("part").agg(F.max("b").alias("top")).collect()}  # RANGES rows at most
+    parts = sorted(tops)
+    before = F.create_map(*[F.lit(x) for p, q in zip(parts, [parts[-1], *parts]) for x in (p, tops[q])])
+    prior = F.coalesce(F.lag("b").over(Window.partitionBy("part").orderBy("b")), before[F.col("part")])
+    firsts = firsts.select("first", prior.alias("to"))
     if firsts.count() <= broadcast_rows:
         firsts = F.broadcast(firsts)
     ghosts = docs.join(firsts, docs["doc_id"] == firsts["first"]).select("doc_id", "text", F.col("to").alias("b"), "salt", F.lit(True).alias("ghost"))
@@ -105,11 +130,14 @@ def with_next(documents: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
 def fingerprints(documents: DataFrame) -> DataFrame:
     """One row for each row of ``documents``: doc_id, text, edited (the last
     quarter of the text's code points replaced by the first as many, or all,
-    of the next document's), the sketches of both, and of the next text.
+    of the next document's), the sketches of both and of the next text, and
+    matched, the anchors that text and edited have at the same place.
 
     A null text is empty. Rows follow each other by doc_id, those that share
     one by their texts. A row without doc_id has no next document (an empty
     one). Equal texts have equal sketches; an empty text has an empty one.
+    Repeated rows are rows of their own, and follow each other. Long texts are
+    rows like others; other columns are ignored; no rows, none.
     """
     rows = with_next(documents)
     order = Window.partitionBy("b", "salt").orderBy("ghost", "doc_id", "text")
@@ -118,7 +146,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     n = F.char_length("text")
     q = F.floor(n / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - q), F.coalesce(F.substring("next", F.lit(1), q), F.lit("")))).drop("next")
-    rows = _with_anchors(rows, "text", "own", never_none=True).withColumn("own", sketch(F.col("own")))
+    rows = _with_anchors(rows, "text", "own", never_none=True).withColumn("_placed", placed(F.col("own"))).withColumn("own", sketch(F.col("own")))
     rows = rows.withColumn("next_own", F.when(known, F.lead("own").over(order))).filter(~F.col("ghost"))
-    rows = _with_anchors(rows, "edited", "other", never_none=True).withColumn("other", sketch(F.col("other")))
-    return rows.select("doc_id", "text", "edited", "own", "other", F.coalesce("next_own", F.array().cast("array<bigint>")).alias("next_own"))
+    rows = _with_anchors(rows, "edited", "other", never_none=True).withColumn("matched", F.size(F.array_intersect("_placed", placed(F.col("other")))).cast("long")).withColumn("other", sketch(F.col("other")))
+    return rows.select("doc_id", "text", "edited", "own", "other", F.coalesce("next_own", F.array().cast("array<bigint>")).alias("next_own"), "matched")

@@ -19,6 +19,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.printed(F.col("other")).alias("edited_fingerprint"),
         fingerprints.likeness(F.col("own"), F.col("other")).alias("near_edited"),
         fingerprints.likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+        "matched",
     )
 
 

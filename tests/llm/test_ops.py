@@ -61,8 +61,6 @@ def test_fingerprints_edit_by_code_points_and_wrap_around(spark, texts):
 
 def test_syncmers_match_a_plain_search(spark, texts):
     docs = frame(spark, [(i, t) for i, t in enumerate(texts)])
-    import xxhash  # noqa: F401
-
     token = re.compile(r"[^\W_]+|\S")
     found = {r["doc_id"]: [a["at"] for a in r["anchors"]] for r in fingerprints.anchors(docs).collect()}
     pairs = sorted({(a, b) for t in texts for a, b in zip(token.findall(t or ""), token.findall(t or "")[1:])})
@@ -91,6 +89,25 @@ def test_texts_without_a_syncmer_have_fingerprints_of_their_own(spark):
     assert own.pop(40) == () and all(own.values()) and len(set(own.values())) == 40
 
 
+def test_next_documents_of_hashed_repeated_and_missing_ids(spark):
+    rng = np.random.default_rng(21)
+    ids = sorted(set(rng.integers(-(1 << 62), 1 << 62, 3000).tolist()))
+    rows = [(d, prose(int(rng.integers(1, 12)), rng), 1) for d in ids]
+    rows += [(ids[50], rows[50][1], 1), (ids[70], "aaa another", 1), (None, "x y", 1), (None, "x y", 1), (None, None, 1)]
+    docs = frame(spark, rows, "doc_id long, text string, own int").repartition(7)
+    got = sorted((r for r in fingerprints.fingerprints(docs).collect() if r["doc_id"] is not None), key=lambda r: (r["doc_id"], r["text"]))
+    assert len(got) == 3002
+    for r, nxt in zip(got, [*got[1:], got[0]]):
+        t, q = r["text"], len(r["text"]) // 4
+        assert r["edited"] == t[: len(t) - q] + nxt["text"][:q] and r["next_own"] == nxt["own"]
+        assert r["matched"] >= (1 if q == 0 else 0)
+    plan = docs.sparkSession._jvm.PythonSQLUtils.explainString(fingerprints.fingerprints(docs)._jdf.queryExecution(), "simple")
+    assert "SinglePartition" not in plan
+    none = fingerprints.fingerprints(frame(spark, [(None, "a b c d e"), (None, "a b c d e"), (None, "")])).collect()
+    assert sorted(r["edited"] for r in none) == ["", "a b c d", "a b c d"]
+    assert fingerprints.fingerprints(frame(spark, [])).count() == 0
+
+
 # --- decontamination ----------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -263,26 +280,63 @@ def test_chunks_resist_insertions():
         assert substring.digests(raw[s:e], np.array([e - s]))[0] == substring.digests(raw, ends)[k]
 
 
+def brute_windows(texts, width):
+    """All windows of ``width`` words with the texts that hold them."""
+    out = {}
+    for d, t in texts:
+        w = (t or "").split()
+        for i in range(len(w) - width + 1):
+            out.setdefault(tuple(w[i : i + width]), []).append((d, i))
+    return out
+
+
 def test_repeated_passages_go_but_once(spark):
     rng = np.random.default_rng(8)
-    passage = prose(60, rng)
-    clean = [prose(100, rng) for _ in range(10)]
-    rows = [(i, t) for i, t in enumerate(clean)] + [(50, f"{prose(40, rng)} {passage} {prose(40, rng)}"), (60, f"{prose(30, rng)} {passage}"), (70, passage), (80, None), (81, ""), (None, passage)]
-    got = {r["doc_id"]: r for r in substring.dedup_substrings(frame(spark, rows)).collect()}
-    old = dict(rows)
+    passages = [prose(int(n), rng) for n in rng.integers(51, 70, 30)]
+    clean = [(i, prose(int(rng.integers(1, 150)), rng)) for i in range(30)]
+    short = prose(40, rng)
+    rows = clean + [(100 + i, f"{prose(5 + i, rng)} {short} {prose(40, rng)}") for i in range(10)]  # repeats under the bar stay
+    rows += [(1000 + 10 * i + k, f"{prose(20 + k, rng)} {p} {prose(9 + 7 * k, rng)}") for i, p in enumerate(passages) for k in range(3)]
+    twice = prose(80, rng)
+    rows += [(5000, f"{prose(30, rng)} {twice} {prose(30, rng)} {twice} end"), (6000, None), (6001, ""), (None, passages[0])]
+    whole = prose(4000, rng)
+    rows += [(7000, whole), (7001, whole), (7001, whole)]  # copies, and a repeated row
+    rows += [(8000, f"{prose(20, rng)} {passages[1]}"), (8000, prose(400, rng))]  # one id, two texts
+    got = [tuple(r) for r in substring.dedup_substrings(frame(spark, rows)).collect()]
     assert len(got) == len(rows)
-    for i in [*range(10), 50, 80, 81, None]:
-        assert got[i]["text"] == old[i] and got[i]["n_removed"] == 0
-    for i in (60, 70):
-        assert got[i]["n_removed"] > len(passage) / 2 and 50 in got[i]["owners"]
-        spans, t = got[i]["spans"], old[i]
-        kept, at = "", 0
-        for s in spans:
-            kept, at = kept + t[at : s["start"]], s["end"]
-        assert kept + t[at:] == got[i]["text"]
+    left = [(d, t) for d, t, *_ in got]
+    for d, t in clean + rows[30:40] + [(6000, None), (6001, ""), (None, passages[0]), (7000, whole), rows[-1]]:
+        assert (d, t) in left
+    assert [t for d, t in left if d == 7001] == ["", ""]
+    old = {}
+    for d, t in rows:
+        old.setdefault(d, []).append(t)
+    for d, t, n, spans, owners in got:
+        if n:
+            source = next(x for x in old[d] if x and len(x) == len(t) + n)
+            kept, at = "", 0
+            for s in spans:
+                kept, at = kept + source[at : s["start"]], s["end"]
+                gone = source[s["start"] : s["end"]]
+                assert len(gone.split()) >= 50 and any(gone in x for o in owners for x in old[o]), d
+            assert kept + source[at:] == t
+    for i, p in enumerate(passages):  # to the borders, but for what is equal there by chance
+        for k in (1, 2):
+            d = 1000 + 10 * i + k
+            n, source = next(r[2] for r in got if r[0] == d), old[d][0]
+            assert len(p) <= n <= len(p) + 12 and 1000 + 10 * i in next(r[4] for r in got if r[0] == d), source
+    assert next(r[2] for r in got if r[0] == 5000) >= len(twice)
+    again = [x for x in brute_windows([(i, t) for i, (d, t) in enumerate(left) if d is not None], 50).values() if len(x) > 1]
+    assert again == []
     assert substring.dedup_substrings(frame(spark, [])).count() == 0
 
 
+def test_substrings_keep_further_columns_and_replace_their_own(spark):
+    rows = [(1, "a b", 5, "s"), (1, "a b", 5, "s"), (2, None, 6, None)]
+    out = substring.dedup_substrings(frame(spark, rows, "doc_id long, text string, n_removed int, _x string"))
+    assert out.columns == ["doc_id", "text", "_x", "n_removed", "spans", "owners"] and [r["n_removed"] for r in out.collect()] == [0, 0, 0]
+
+
 # --- near duplicates -------------------------------------------------------------------
 
 
