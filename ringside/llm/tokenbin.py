@@ -150,9 +150,11 @@ class Encoder:
     between such spaces, and marks after a letter or digit are pre-tokens of
     their own. Pieces are encoded by the library once and then kept, up to
     CACHE of them; new ones go to it many at a time, as one text, whose ids
-    part where a token begins with a space. A piece that begins or ends with
-    white space, or holds an added token's string, is kept as None: texts with
-    such a piece go to the library whole.
+    part where a token begins with a space. Texts with a piece that begins or
+    ends with white space, or holds an added token's string, go to the library
+    whole. A batch's pieces are dictionary-encoded by Arrow, so that each
+    distinct one is looked up once, and the ids of all places are gathered by
+    numpy.
     """
 
     MARKS = ".,!|%&*$#;:"
@@ -172,7 +174,12 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the byte-level space
-        self.pieces: dict[str, bytes | None] = {}  # each stands for a space and the piece
+        self.pieces: dict[str, bytes] = {}  # each stands for a space and the piece
+        self.odd: set[str] = set()  # pieces whose texts go to the library whole; they have no ids here
+        self.ends: dict[bytes, tuple[int, bytes]] = {}  # marks behind a letter or digit
+        self.is_mark, self.is_stem = np.zeros(256, bool), np.zeros(256, bool)
+        self.is_mark[list(self.MARKS.encode())] = True
+        self.is_stem[[b for b in range(128) if chr(b).isalnum()]] = True
         self.split_ok = self._is_byte_level(path)
 
     @staticmethod
@@ -193,50 +200,95 @@ class Encoder:
         for lo in range(0, len(new), 500):
             part = new[lo : lo + 500]
             raw = self._ids([" " + " ".join(part)])[0]
-            at = np.flatnonzero(self.spaced[np.frombuffer(raw, "<u4")]).tolist()
+            at = (4 * np.flatnonzero(self.spaced[np.frombuffer(raw, "<u4")])).tolist()
             if len(at) == len(part):
-                out.extend(raw[4 * a : 4 * b] for a, b in zip(at, [*at[1:], len(raw) // 4], strict=True))
+                out.extend([raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])])
             else:
                 out.extend(self._ids([" " + x for x in part]))
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        stems, marked, plain, marks = set(), [], [], self.MARKS
-        for x in new:
-            if not x or x[0].isspace() or x[-1].isspace() or self.mark in x and self.special.search(x):
-                self.pieces[x] = None
-            elif x[-1] in marks and (stem := x.rstrip(marks)) and stem[-1].isalnum():
-                stems.add(stem)
-                marked.append((x, stem, x[len(stem) :]))
-            else:
-                plain.append(x)
-        fresh = [*{*plain, *stems}.difference(self.pieces)]
-        self.pieces.update(zip(fresh, self._spaced_ids(fresh), strict=True))
-        ends = [*{m for _, _, m in marked}]
-        ids = dict(zip(ends, self._ids(ends), strict=True))
-        get = self.pieces
-        get.update([(x, get[stem] + ids[m]) for x, stem, m in marked])
+    def _learn(self, new: list[str]) -> None:
+        plain = [x for x in new if x.isalnum()]
+        if len(plain) < len(new):
+            for x in new:
+                if not x.isalnum():
+                    if not x or x[0].isspace() or x[-1].isspace() or self.mark in x and self.special.search(x):
+                        self.odd.add(x)
+                        self.pieces[x] = b""
+                    else:
+                        plain.append(x)
+        self.pieces.update(zip(plain, self._spaced_ids(plain), strict=True))
+
+    def _split(self, texts: list[str]):
+        """The texts' pieces and where each text's begin: pieces without the
+        marks behind an ASCII letter or digit, and these marks as codes of
+        ``ends`` (0: none)."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        parts = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        values, begin = parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        at = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset)
+        raw = np.frombuffer(values.buffers()[2], np.uint8) if at[-1] else np.zeros(1, np.uint8)
+        lo, end = at[:-1], at[1:].copy()
+        open_ = np.flatnonzero((end > lo) & self.is_mark[raw[np.maximum(end - 1, 0)]])
+        marked = open_
+        while len(open_):
+            end[open_] -= 1
+            open_ = open_[(end[open_] > lo[open_]) & self.is_mark[raw[np.maximum(end[open_] - 1, 0)]]]
+        marked = marked[(end[marked] > lo[marked]) & self.is_stem[raw[np.maximum(end[marked] - 1, 0)]]]
+        marked = np.setdiff1d(marked, begin[:-1], assume_unique=True)  # first pieces have no space before them
+        clean = np.zeros(len(values), bool)
+        clean[marked] = True
+        stems = pc.if_else(pa.array(clean), pc.utf8_rtrim(values, characters=self.MARKS), values)
+        code = np.zeros(len(values), np.int64)
+        one = at[1:][marked] - end[marked] == 1
+        single, byte = marked[one], raw[end[marked[one]]]
+        for b in np.unique(byte).tolist():
+            code[single[byte == b]] = self._end(bytes([b]))
+        for i in marked[~one].tolist():
+            code[i] = self._end(raw[end[i] : at[i + 1]].tobytes())
+        return stems.dictionary_encode(), code, begin
+
+    def _end(self, marks: bytes) -> int:
+        """The code of some marks: their place in ``ends``, from 1 on."""
+        if marks not in self.ends:
+            self.ends[marks] = len(self.ends) + 1, self._ids([marks.decode()])[0]
+        return self.ends[marks][0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.split_ok:
             return self._ids(texts)
         if len(self.pieces) > CACHE:
             self.pieces.clear()
-        rest = [t.split(" ") for t in texts]
-        heads = [x.pop(0) for x in rest]
-        first = self._ids(heads)
-        self._learn(set().union(*rest).difference(self.pieces))
-        get = self.pieces.__getitem__
-        out: list[bytes | None] = []
-        for h, head, parts in zip(heads, first, rest, strict=True):
-            try:
-                out.append(None if parts and h[-1:].isspace() else head + b"".join(map(get, parts)))
-            except TypeError:
-                out.append(None)
-        whole = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out  # type: ignore[return-value]
+            self.odd.clear()
+        if not texts:
+            return []
+        coded, marks, begin = self._split(texts)
+        code, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = [distinct[c] for c in code[begin[:-1]].tolist()]
+        known = self.pieces
+        self._learn([x for x in distinct if x not in known])
+        each = [known[x] for x in distinct]
+        each += self._ids(heads)
+        each += [b"", *(ids for _, ids in self.ends.values())]
+        whole = np.fromiter((h[-1:].isspace() for h in heads), bool, len(heads))
+        if self.odd:
+            odd = np.fromiter((x in self.odd for x in distinct), bool, len(distinct))
+            whole |= np.logical_or.reduceat(odd[code], begin[:-1])
+        code[begin[:-1]] = len(distinct) + np.arange(len(texts))
+        code = np.stack([code, marks + (len(distinct) + len(texts))], axis=1).ravel()
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        pool = np.frombuffer(b"".join(each), "<u4")
+        n = sizes[code]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat((np.cumsum(sizes) - sizes)[code] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        upto = (4 * ends[2 * begin]).tolist()
+        out = [ids[a:b] for a, b in zip(upto, upto[1:])]
+        again = np.flatnonzero(whole).tolist()
+        for i, x in zip(again, self._ids([texts[i] for i in again]), strict=True):
+            out[i] = x
+        return out
 
 
 def encoder(path: str) -> Encoder:
