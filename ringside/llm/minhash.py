@@ -66,12 +66,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHashes(dict):
-    """64-bit word hashes, kept while there are under half a million."""
+    """64-bit word hashes, kept while there are 300 000 or fewer."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -513,10 +513,11 @@ def _roots(classes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     few = roots.count() <= BROADCAST_ROWS
 
     facts = ("size", "open", "main", "most")
+    member = ("key", "cls", "n", "est", "root")
     rows = save(_sized(_rooted(large.drop(*facts), roots, few)), "mixed")
-    found = []
+    found, deeper = [], []
     for depth in range(2, DEPTH + 1):
-        nodes.append(rows.filter(_is_small()))
+        deeper.append(rows.filter(_is_small()).select(*member))
         rows = rows.filter(~_is_small())
         if not rows.limit(1).count():
             break
@@ -526,11 +527,12 @@ def _roots(classes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
         level = save(_sized(_rooted(grown, roots, few)), "nodes")
         left = level.select("parent", "key", "open").distinct().groupBy("parent").agg(F.sum("open").alias("left"))
         pays = save(rows.select("key", "open").distinct().join(left, F.col("key") == F.col("parent"), "left").filter(F.coalesce("left", F.lit(0)) < F.col("open")).select("key"), "pays") if depth < DEPTH else rows.select("key").limit(0)
-        nodes.append(save(_dealt(rows.join(_few(pays), "key", "left_anti")), "dealt"))
+        deeper.append(_dealt(rows.join(_few(pays), "key", "left_anti")))
         rows = save(level.join(_few(pays.withColumnRenamed("key", "parent")), "parent", "left_semi"), "rows")
-    if len(nodes) > 1:
-        forests.extend(save(_forests(x, percent), "forests") for x in nodes[1:])
-        pairs = _union([f.select("a", "b") for f in forests[1:]] + found).distinct().join(first, ["a", "b"], "left_anti")
+    nodes.append(save(_union(deeper), "deeper"))
+    if nodes[1].limit(1).count():
+        forests.append(save(_forests(nodes[1], percent), "forests"))
+        pairs = _union([forests[1].select("a", "b"), *found]).distinct().join(first, ["a", "b"], "left_anti")
         pairs = save(pairs, "pairs")
         links = save(_confirmed(pairs, sets.of(_ends(pairs)), percent), "links")
         similar = similar.unionByName(links)
@@ -538,7 +540,7 @@ def _roots(classes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
         few = roots.count() <= BROADCAST_ROWS
 
     again = []
-    for own, forest in zip(nodes, forests, strict=True):
+    for own, forest in zip(nodes, forests):
         failed = save(forest.join(similar, ["a", "b"], "left_anti").select("key").distinct(), "failed")
         again.append(own.select("key", "cls", "n", "est").join(_few(failed), "key", "left_semi"))
     rows = save(_suspects(_sized(_rooted(_union(again), roots, few)), percent), "suspects")
