@@ -4,8 +4,8 @@ The windows of all items become a set of 64-bit keys. Documents are scanned
 once: each text yields one key a word position, and a hash join against the key
 set keeps the few positions that may match. Only these positions are then
 compared word by word with the item's window, so a hit is never a hash
-collision. The key set is broadcast while its counted size is under
-``broadcast_rows``; beyond that the join shuffles by key.
+collision. The key set is broadcast while its summed size is under
+``broadcast_bytes``; beyond that the join shuffles by key.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from .common import lower_ascii, save
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
+BROADCAST_BYTES = 64 << 20
 BROADCAST_ROWS = 500_000
 
 
@@ -71,27 +72,31 @@ def _grown(m: int, start: Column):
     return lambda s: F.struct((s["at"] - start).alias("at"), F.lit(m).alias("m"), s["key"].alias("key"), gram(s["at"] - start).alias("gram"))
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row for each row of ``documents``: doc_id, fp (hash of the text),
     n_words, hits (array of [start, end) word spans), items (sorted ids).
 
     A null text has no words. Rows with the same doc_id and text get the same
     result, each its own row; rows that share a doc_id with other texts are
-    judged on their own text. Without benchmark words nothing is hit.
-    Further columns of either table are ignored.
+    judged on their own text. Without benchmark words nothing is hit. Items
+    that share a window are all listed; long texts are rows like others.
+    Further columns of either table are ignored; no rows, none.
     """
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("fp"))
     grams, lengths = item_windows(benchmark, window)
     if not lengths:
         return docs.select("doc_id", "fp", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.array().cast("array<struct<at:int,end:int>>").alias("hits"), F.array().cast("array<string>").alias("items"))
     keys = grams.select("key").distinct()
-    if grams.count() <= broadcast_rows:
+    size = F.sum(40 + 4 * F.length("gram") + 24 * F.size("items"))
+    if (grams.agg(size.alias("n")).first()["n"] or 0) <= broadcast_bytes:
         keys, grams = F.broadcast(keys), F.broadcast(grams)
     # The outer form: the plain one adds a filter that computes the keys again, inlined.
     scanned = _with_keys(docs.select("doc_id", "fp", words(F.col("text")).alias("words")), lengths)
     every = F.col(f"key_{lengths[0]}") if len(lengths) == 1 else F.concat(*[F.col(f"key_{m}") for m in lengths])
     at = scanned.select("doc_id", "fp", F.posexplode_outer(every).alias("at", "key")).join(keys, "key", "left_semi")
-    spots = at.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("at", "key")).alias("spots"))
+    spots = save(at.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("at", "key")).alias("spots")), "found")
+    if (spots.agg(F.sum(40 + 24 * F.size("spots")).alias("n")).first()["n"] or 0) <= broadcast_bytes:
+        spots = F.broadcast(spots)  # no text is shuffled
 
     # The texts meet their candidate positions once; what stays is a row a document without its text.
     same = (F.col("d.fp") == F.col("s.fp")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))
@@ -127,5 +132,8 @@ def judged(found: DataFrame, share: int = 20) -> DataFrame:
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    bad = judged(contamination(documents, benchmark, **options)).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_fp")), "left_anti")
+    bad = judged(contamination(documents, benchmark, **options)).filter("contaminated").select(F.col("doc_id").alias("_bench_id"), F.col("fp").alias("_bench_fp")).distinct()
+    bad = save(bad, "contaminated")
+    if bad.count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
+    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_bench_id")) & (F.xxhash64("text") == F.col("_bench_fp")), "left_anti")

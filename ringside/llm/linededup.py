@@ -109,19 +109,22 @@ def templates(documents: DataFrame, min_docs: int = MIN_DOCS, share: float = SHA
 
 def dedup_lines(documents: DataFrame, **options) -> DataFrame:
     """``documents`` with all its columns, the text without the lines of
-    recurring templates, and n_lines, n_dropped added.
+    recurring templates, and n_lines, n_dropped added; an input's columns of
+    these names are replaced.
 
     A null text stays null, with no lines; an empty one has one (blank) line.
-    Blank lines stay. Rows with the same doc_id and text get the same result.
+    Blank lines stay. Rows with the same doc_id and text, or without doc_id and
+    the same text, are one document and get the same result. Ties have no
+    part: all lines of a recurring template go. No rows: none.
     A document whose lines all go keeps its row, with an empty text.
     """
-    gone = templates(documents, **options).groupBy("doc_id", "fp").agg(F.collect_set("line_no").alias("_gone")).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "_gone")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_fp"))
+    gone = templates(documents, **options).groupBy("doc_id", "fp").agg(F.collect_set("line_no").alias("_lines_gone")).select(F.col("doc_id").alias("_lines_id"), F.col("fp").alias("_lines_fp"), "_lines_gone")
+    same = F.col("doc_id").eqNullSafe(F.col("_lines_id")) & (F.xxhash64("text") == F.col("_lines_fp"))
     cols = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
     joined = documents.select(*cols).join(gone, same, "left")
-    rest = F.filter(F.split("text", "\n", -1), lambda s, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    rest = F.filter(F.split("text", "\n", -1), lambda s, i: ~F.array_contains("_lines_gone", i))
+    text = F.when(F.col("_lines_gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
     n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
-    out = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long")).withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_dropped", F.when(F.col("_gone").isNull(), 0).otherwise(F.col("n_dropped")).cast("long"))
+    out = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long")).withColumn("n_dropped", F.coalesce(F.size("_lines_gone"), F.lit(0)).cast("long"))
+    out = out.withColumn("n_dropped", F.when(F.col("_lines_gone").isNull(), 0).otherwise(F.col("n_dropped")).cast("long"))
     return out.withColumn("text", text).select(*cols, "n_lines", "n_dropped")

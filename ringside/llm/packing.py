@@ -67,7 +67,8 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) ->
 
 def pack(documents: DataFrame, length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``documents`` with all its columns and n_tokens, bucket, boundary (the
-    padded length), batch, slot, padding.
+    padded length), batch, slot, padding; an input's columns of these names are
+    replaced.
 
     A batch holds floor(budget / boundary) documents, one at least; only a
     bucket's last batch may hold fewer. ``length`` counts a document's tokens;
@@ -91,15 +92,15 @@ def pack(documents: DataFrame, length: Column | None = None, buckets: int = BUCK
     bucket = F.lit(len(ends) - 1)
     for i in range(len(ends) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= ends[i], F.lit(i)).otherwise(bucket)
-    docs = docs.withColumn("bucket", bucket).withColumn("boundary", pick(1)).withColumn("_room", pick(2))
-    docs = docs.withColumn("_h", F.xxhash64("doc_id")).withColumn("_shard", F.pmod(F.col("_h"), pick(3)))
-    sizes = docs.groupBy("bucket", "_shard").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("bucket").orderBy("_shard")
-    offsets = sizes.select("bucket", "_shard", (F.sum("_n").over(before) - F.col("_n")).alias("_offset"))
+    docs = docs.withColumn("bucket", bucket).withColumn("boundary", pick(1)).withColumn("_pack_room", pick(2))
+    docs = docs.withColumn("_pack_h", F.xxhash64("doc_id")).withColumn("_pack_shard", F.pmod(F.col("_pack_h"), pick(3)))
+    sizes = docs.groupBy("bucket", "_pack_shard").agg(F.count("*").alias("_pack_n"))
+    before = Window.partitionBy("bucket").orderBy("_pack_shard")
+    offsets = sizes.select("bucket", "_pack_shard", (F.sum("_pack_n").over(before) - F.col("_pack_n")).alias("_pack_offset"))
     if sum(r[3] for r in rows) <= 200_000:
         offsets = F.broadcast(offsets)
-    alone = Window.partitionBy("bucket", "_shard").orderBy("_h", "doc_id", "n_tokens")
-    docs = docs.withColumn("_rank", F.row_number().over(alone) - 1).join(offsets, ["bucket", "_shard"])
-    rank = F.col("_rank") + F.col("_offset")
-    docs = docs.withColumn("batch", F.floor(rank / F.col("_room"))).withColumn("slot", F.pmod(rank, F.col("_room")).cast("int")).withColumn("padding", F.col("boundary") - F.col("n_tokens"))
+    alone = Window.partitionBy("bucket", "_pack_shard").orderBy("_pack_h", "doc_id", "n_tokens")
+    docs = docs.withColumn("_pack_rank", F.row_number().over(alone) - 1).join(offsets, ["bucket", "_pack_shard"])
+    rank = F.col("_pack_rank") + F.col("_pack_offset")
+    docs = docs.withColumn("batch", F.floor(rank / F.col("_pack_room"))).withColumn("slot", F.pmod(rank, F.col("_pack_room")).cast("int")).withColumn("padding", F.col("boundary") - F.col("n_tokens"))
     return docs.select(*[c for c in documents.columns if c not in new], *new)

@@ -56,7 +56,8 @@ def measure(text: str | None) -> list[float]:
 
 
 def measured(documents: DataFrame) -> DataFrame:
-    """``documents`` without its text, with all other columns and ``x``."""
+    """``documents`` without its text, with all other columns and ``x`` (an
+    input's ``x`` is replaced). Repeated rows and ties measure the same."""
 
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
@@ -163,7 +164,8 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> dict:
 
 
 def score(rows: DataFrame, model: dict) -> DataFrame:
-    """``rows`` with all columns and ``score`` from its measures ``x``."""
+    """``rows`` with all columns and ``score`` (an input's is replaced) from
+    its measures ``x``."""
 
     @F.pandas_udf("double")
     def run(x: pd.Series) -> pd.Series:
@@ -173,8 +175,8 @@ def score(rows: DataFrame, model: dict) -> DataFrame:
 
 
 def score_texts(documents: DataFrame, model: dict) -> DataFrame:
-    """``documents`` with all columns and ``score``, measured and scored in one
-    pass over the texts."""
+    """``documents`` with all columns and ``score`` (an input's is replaced),
+    measured and scored in one pass over the texts."""
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:

@@ -239,8 +239,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE, held: dict[int, int] | None
 
 
 def score(documents: DataFrame, model: dict) -> DataFrame:
-    """``documents`` with all columns and ``score``, 0 to 1: higher, the text
-    is toxic likelier. A null or empty text scores as one without words."""
+    """``documents`` with all columns and ``score`` (an input's is replaced),
+    0 to 1: higher, the text is toxic likelier. A null or empty text scores as
+    one without words, equal texts score the same; no rows, none."""
     if "share" in model:
         return documents.withColumn("score", F.lit(float(model["share"])))
 

@@ -137,7 +137,7 @@ def test_contamination_equals_brute_force(spark, texts):
         n, hit, found = brute_contamination(dict(rows)[r["doc_id"]], items)
         assert (r["n_words"], r["n_hit"], r["items"]) == (n, hit, found)
         assert r["contaminated"] == (hit > 0 and 20 * hit >= n)
-    shuffled = decontam.judged(decontam.contamination(frame(spark, rows), frame(spark, items, "item_id long, text string"), broadcast_rows=0)).collect()
+    shuffled = decontam.judged(decontam.contamination(frame(spark, rows), frame(spark, items, "item_id long, text string"), broadcast_bytes=0)).collect()
     assert sorted(map(str, shuffled)) == sorted(map(str, got))
 
 
