@@ -2,11 +2,14 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame. All but the last
 return the columns of ``documents``; the last adds each document's place in a
-batch. Further columns and rows with nulls pass as each operator states.
+batch. Further columns pass through, whatever their names (the last stage
+replaces those that it adds); rows with nulls pass as each operator states.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,20 +20,28 @@ from ringside.llm.common import held_out, save, ship, table
 LEAST_QUALITY = 0.5
 
 
+def _beside(docs: DataFrame, added: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work``'s rows with the columns of ``docs``. Those named as ``work``
+    names what it adds are set aside meanwhile."""
+    aside = {c: f"_pipeline_{c}" for c in docs.columns if c.lower() in added}
+    out = work(docs.withColumnsRenamed(aside)).drop(*added)
+    return out.withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns quality from the labels of the documents at hand (held-out rows
     excepted) and drops the documents that score under LEAST_QUALITY."""
     ship(spark)
     rows = save(quality.measured(docs.select("doc_id", "text")), "measured")
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 4, 2)).select("doc_id", F.col("quality").alias("y"))
-    scored = quality.score_texts(docs, quality.train(rows.join(labels, "doc_id")))
-    return scored.filter(F.col("score") >= LEAST_QUALITY).drop("score")
+    model = quality.train(rows.join(labels, "doc_id"))
+    return _beside(docs, ("score",), lambda d: quality.score_texts(d, model).filter(F.col("score") >= LEAST_QUALITY))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the lines of recurring templates; n_chars follows the text."""
-    cleaned = linededup.dedup_lines(docs).drop("n_lines", "n_dropped")
-    return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    counted = lambda d: linededup.dedup_lines(d).withColumn("n_chars", F.char_length("text").cast("long"))
+    return _beside(docs, ("n_lines", "n_dropped"), counted)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
