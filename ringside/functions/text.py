@@ -43,11 +43,16 @@ METHOD_RULES = [("ko", "ko"), ("knockout", "ko"), ("knocked out", "ko"), ("jd",
 
 
 def first_rule(text: Column, rules: list[tuple[str, str]], default: str = "other") -> Column:
-    """The class of the first keyword, in order, that the lower-cased text contains."""
-    low, out = F.lower(text), F.lit(default)
-    for word, label in reversed(rules):
-        out = F.when(F.contains(low, F.lit(word)), label).otherwise(out)
-    return out
+    """The class of the first keyword, in order, that the lower-cased text
+    contains. The text is lower-cased once, not once a keyword."""
+
+    def chosen(low: Column) -> Column:
+        out = F.lit(default)
+        for word, label in reversed(rules):
+            out = F.when(F.contains(low, F.lit(word)), label).otherwise(out)
+        return out
+
+    return F.get(F.transform(F.array(F.lower(text)), chosen), F.lit(0))
 
 
 def result_method(text: Column) -> Column:

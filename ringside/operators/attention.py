@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ringside.functions.numeric import falsy
+
 from .matching import band_join
 
-LIFT_WINDOW_S, CRITICAL_Q = 5.0, 0.70
+LIFT_WINDOW_S, CRITICAL_Q, ACCURACY = 5.0, 0.70, 20_000
 
 
 def stats(points: DataFrame, keys: list[str], t: str, v: str, method: str = "linear") -> DataFrame:
     """baseline (the linear 20th percentile, or the value of lower rank), mean,
     peak and the first time of the peak."""
-    if method == "linear":
-        base = F.percentile(v, 0.2)
-    else:
-        values = F.array_sort(F.collect_list(v))
-        base = F.element_at(values, F.greatest(F.floor(F.size(values) * 0.2), F.lit(1)).cast("int"))
+    base = F.percentile(v, 0.2)
+    if method != "linear":  # the value of that rank, from an ordered pass a key
+        own = Window.partitionBy(*keys)
+        points = points.withColumn("_rank", F.row_number().over(own.orderBy(F.col(v).asc_nulls_last())))
+        at = F.greatest(F.floor(F.count(v).over(own) * 0.2), F.lit(1))
+        points = points.withColumn("_low", F.when(F.col("_rank") == at, F.col(v)))
+        base = F.max("_low")
     first = F.min(F.struct((-F.col(v)).alias("v"), F.col(t).alias("t")))
     return points.groupBy(*keys).agg(base.alias("baseline"), F.avg(v).alias("mean"), F.count(v).alias("n"), F.max(v).alias("peak"), first["t"].alias("peak_t"))
 
@@ -31,8 +35,19 @@ def lift(events: DataFrame, points: DataFrame, base: DataFrame, keys: list[str],
 
 
 def critical_threshold(points: DataFrame, v: str = "value", q: float = CRITICAL_Q) -> DataFrame:
-    """One row: the linear quantile of all values pooled."""
-    return points.agg(F.percentile(v, q).alias("threshold"))
+    """One row: the linear quantile of all values pooled, exactly. A sketch
+    brackets it; only the counts of the values between (a few in ACCURACY of
+    all rows) meet in one task."""
+    near = [max(0.0, q - 3 / ACCURACY), min(1.0, q + 3 / ACCURACY)]
+    bracket = points.agg(F.percentile_approx(v, F.lit(near), ACCURACY).alias("_near"))
+    rows = points.select(F.col(v).alias("v")).filter("v is not null").crossJoin(F.broadcast(bracket))
+    below = rows.agg(F.count_if(F.col("v") < F.col("_near")[0]).alias("below"), F.count("*").alias("n"))
+    inside = rows.filter((F.col("v") >= F.col("_near")[0]) & (F.col("v") <= F.col("_near")[1])).groupBy("v").agg(F.count("*").alias("c"))
+    held = inside.agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("held")).crossJoin(F.broadcast(below))
+    at = q * (F.col("n") - 1)
+    rank = lambda k: F.aggregate("held", F.struct(F.col("below").alias("n"), F.lit(None).cast("double").alias("v")), lambda s, x: F.struct((s["n"] + x["c"]).alias("n"), F.when(s["v"].isNull() & (s["n"] + x["c"] > k), x["v"].cast("double")).otherwise(s["v"]).alias("v")), lambda s: s["v"])
+    lo, hi = rank(F.floor(at)), rank(F.ceil(at))
+    return held.select((lo + (hi - lo) * (at - F.floor(at))).alias("threshold"))
 
 
 def spacing(points: DataFrame, keys: list[str], t: str) -> DataFrame:
@@ -56,3 +71,10 @@ def heat_map(rows: DataFrame, video: str = "video_id") -> DataFrame:
 def clipped(points: DataFrame, start: float, end: float) -> DataFrame:
     """A curve's part in [start, end], moved to begin at 0."""
     return points.filter((F.col("t") >= start) & (F.col("t") <= end)).withColumn("t", F.col("t") - start)
+
+
+def with_baseline(stats_: DataFrame, points: DataFrame, keys: list[str], v: str = "value") -> DataFrame:
+    """Stored statistics whose baseline, where missing or 0, is the points'
+    linear 20th percentile."""
+    own = points.groupBy(*keys).agg(F.percentile(v, 0.2).alias("_base"))
+    return stats_.join(own, keys, "left").withColumn("baseline", falsy(F.col("baseline"), F.col("_base"))).drop("_base")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold
+
 HIT_FACTOR, HIT_RANGE_M, MIN_GAP_S = 4.0, 2.5, 3.0
 
 
@@ -24,17 +28,19 @@ def bursts(df: DataFrame, keys: list[str], order: list[str], t: str, gap: float
 
 def debounced(df: DataFrame, keys: list[str], fields: list[str], t: str, gap: float) -> DataFrame:
     """The rows a greedy pass accepts: the first, and each at least ``gap``
-    after the last accepted one. A fold over each key's sorted rows."""
-    row = F.struct(*fields)
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    kind = f"array<{df.select(row.alias('r')).schema['r'].dataType.simpleString()}>"
-    start = F.struct(F.lit(None).cast(df.schema[t].dataType).alias("last"), F.array().cast(kind).alias("out"))
+    after the last accepted one. One ordered pass a key, linear in its rows."""
+    rows = df.select(*keys, *fields)
+    kinds = dict(rows.dtypes)
 
-    def step(acc: Column, r: Column) -> Column:
-        ok = acc["last"].isNull() | (r[t] - acc["last"] >= gap)
-        return F.struct(F.when(ok, r[t]).otherwise(acc["last"]).alias("last"), F.when(ok, F.concat(acc["out"], F.array(r))).otherwise(acc["out"]).alias("out"))
+    def step(last: list, pdf: pd.DataFrame) -> pd.DataFrame:
+        keep = np.zeros(len(pdf), bool)
+        for i, at in enumerate(pdf[t].tolist()):
+            if at is not None and (not last or at - last[0] >= gap):
+                last[:] = [at]
+                keep[i] = True
+        return pdf.loc[keep]
 
-    return rows.select(*keys, F.explode(F.aggregate("_rows", start, step, lambda acc: acc["out"])).alias("_r")).select(*keys, "_r.*")
+    return fold(rows, keys, list(fields), list, step, ", ".join(f"{c} {kinds[c]}" for c in rows.columns))
 
 
 def sustained(df: DataFrame, keys: list[str], order: list[str], below: Column, least: int, t: str) -> DataFrame:
@@ -101,11 +107,11 @@ def knockouts(meta: DataFrame, mobility: DataFrame, least: int = 100, below: flo
     return known.unionByName(seen)
 
 
-def hazards(frames: DataFrame, per_bot: bool = False) -> DataFrame:
+def hazards(frames: DataFrame, per_bot: bool = False, factor: float = HIT_FACTOR) -> DataFrame:
     """Hazards: a spike beside a wall with the other body far. The debounce
     goes over the first bot's rows and then the second's with one memory (or
     one for each bot), as the fight's sides are visited in order."""
-    spiked = spikes(frames, ["fight_id"], "joint").filter("sep > 3.0")
+    spiked = spikes(frames, ["fight_id"], "joint", factor).filter("sep > 3.0")
     side = lambda n, bot, other, wall: spiked.filter(F.col(wall) < 1.2).select("fight_id", F.lit(n).alias("side"), "t", F.round(F.col("joint") / 2, 2).alias("magnitude"), F.col(other).alias("actor"), F.col(bot).alias("target"))
     rows = side(0, "bot_a", "bot_b", "wall_a").unionByName(side(1, "bot_b", "bot_a", "wall_b"))
     fields = ["side", "t", "magnitude", "actor", "target"]

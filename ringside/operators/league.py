@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringside.functions.numeric import falsy
-from ringside.functions.text import whole_name
 
 from . import attention
-from .matching import band_join
+from .matching import named_in
 
 
 def max_normalised(v: Column) -> Column:
@@ -45,9 +44,13 @@ def media_value(sides: DataFrame, exposure: DataFrame, index: DataFrame) -> Data
 def authorship(events: DataFrame, points: DataFrame, widths: DataFrame, share: float = 0.25) -> DataFrame:
     """(fight_id, bot, credit): attention at each event times its magnitude to
     the actor, a quarter of it to the target. Events without a point near count nothing."""
-    widest = widths.agg(F.max("half_width")).first()[0] or 5.0
-    near = band_join(events.select("fight_id", F.col("t").alias("event_t"), "type", "magnitude", "actor", "target"), points.select("fight_id", F.col("t").alias("at"), "value"), ["fight_id"], "event_t", "at", widest, widest)
-    own = near.join(widths.select("fight_id", "half_width"), "fight_id").filter(F.abs(F.col("at") - F.col("event_t")) <= F.col("half_width"))
+    near = widths.select("fight_id", "half_width")
+    happened = events.select("fight_id", F.col("t").alias("event_t"), "type", "magnitude", "actor", "target").join(near, "fight_id")
+    # Buckets are as wide as each fight's own band.
+    bucket = lambda at: F.floor(at / (2 * F.col("half_width")))
+    happened = happened.withColumn("_b", F.explode(F.sequence(bucket(F.col("event_t") - F.col("half_width")), bucket(F.col("event_t") + F.col("half_width")))))
+    seen = points.select("fight_id", F.col("t").alias("at"), "value").join(near, "fight_id").withColumn("_b", bucket(F.col("at"))).drop("half_width")
+    own = happened.join(seen, ["fight_id", "_b"]).filter(F.abs(F.col("at") - F.col("event_t")) <= F.col("half_width"))
     each = own.groupBy("fight_id", "event_t", "type", "magnitude", "actor", "target").agg(F.avg("value").alias("attention"))
     weight = F.col("attention") * falsy(F.col("magnitude"), F.lit(1.0))
     sides = F.explode(F.array(F.struct(F.col("actor").alias("bot"), weight.alias("credit")), F.struct(F.col("target").alias("bot"), (share * weight).alias("credit"))))
@@ -87,12 +90,12 @@ def sponsor_index(sides: DataFrame, points: DataFrame, events: DataFrame) -> Dat
 def channel_reach(videos: DataFrame, roster: DataFrame) -> DataFrame:
     """One row a named bot from videos (title, views, views_approx, heat_peak)
     and the roster (name): videos, views, their mean, mean heat, index."""
-    reach = videos.join(F.broadcast(roster.select("name")), whole_name(F.col("title"), F.col("name")))
+    reach = named_in(videos, "title", roster.select("name"))
     out = reach.groupBy("name").agg(F.count("*").alias("videos"), F.sum(F.coalesce(falsy(F.col("views"), F.col("views_approx")), F.lit(0))).alias("total_views"), F.avg("heat_peak").alias("heat"))
     index = F.col("total_views") / 1e6 * (1 + F.coalesce("heat", F.lit(0.0)))
     return out.select("name", "videos", "total_views", F.floor(F.col("total_views") / F.col("videos")).alias("avg_views"), F.round("heat", 3).alias("heat_peak"), F.round(index, 2).alias("sponsor_index"))
 
 
 def missing(fights: DataFrame, found: DataFrame, key: str = "fight_id") -> DataFrame:
-    """One row: the sorted keys of ``fights`` that ``found`` lacks."""
-    return fights.join(found.select(key).distinct(), key, "left_anti").agg(F.sort_array(F.collect_list(key)).alias("missing"))
+    """One row for each key of ``fights`` that ``found`` lacks."""
+    return fights.select(key).distinct().join(found.select(key).distinct(), key, "left_anti").select(F.col(key).alias("missing"))

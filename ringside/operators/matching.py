@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ringside.functions.text import whole_name
+
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str, before: float, after: float) -> DataFrame:
     """Pairs with equal keys and rt in [lt - before, lt + after]. Both sides are
@@ -71,3 +73,45 @@ def without_pairs(df: DataFrame, pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Rows whose unordered pair isn't in ``pairs`` (the same two columns)."""
     known = pairs.select(unordered(F.col(a), F.col(b)).alias("_pair")).distinct()
     return df.withColumn("_pair", unordered(F.col(a), F.col(b))).join(known, "_pair", "left_anti").drop("_pair")
+
+
+#: Names that may be broadcast, after a count.
+BROADCAST_NAMES = 200_000
+
+
+def named_in(texts: DataFrame, text: str, names: DataFrame) -> DataFrame:
+    """Rows of ``texts`` with each ``name`` of ``names`` that stands in their
+    text as whole_name has it. A text is cut into its runs of letters, which
+    meet the names' first runs in an equi-join; only these pairs are matched.
+    Names without a letter are tried on every text."""
+    low = F.lower(F.col(text))
+    runs = F.array_distinct(F.concat(F.split(low, "[^a-z]+"), F.array(F.lit(""))))
+    known = names.select("name").distinct().withColumn("_run", F.regexp_extract(F.lower("name"), "[a-z]+", 0))
+    known = F.broadcast(known) if known.count() <= BROADCAST_NAMES else known
+    return texts.withColumn("_run", F.explode(runs)).join(known, "_run").filter(whole_name(F.col(text), F.col("name"))).drop("_run")
+
+
+def enriched(df: DataFrame, name: str, roster: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with the roster's columns by case-folded name (the roster's last
+    name in order wins); rows that it lacks keep NULLs."""
+    key = F.lower(F.trim(F.col(name)))
+    known = latest(roster.filter(F.trim("name") != ""), F.lower(F.trim("name")), F.desc("name"))
+    known = known.select(F.lower(F.trim("name")).alias("_key"), *columns)
+    return df.withColumn("_key", key).join(known, "_key", "left").drop("_key")
+
+
+def matched_truth(truth: DataFrame, found: DataFrame, keys: list[str], tolerance: float = 1.0) -> DataFrame:
+    """(keys, truth_t, found_t): truths in order each take the first unused
+    finding within ``tolerance``; a findings' order is time."""
+    pairs = band_join(truth.select(*keys, F.col("t").alias("truth_t")), found.select(*keys, F.col("t").alias("found_t")), keys, "truth_t", "found_t", tolerance, tolerance)
+    lists = pairs.groupBy(*keys, "truth_t").agg(F.sort_array(F.collect_list("found_t")).alias("near")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("truth_t", "near"))).alias("all"))
+    kind = "struct<used:array<double>,out:array<struct<truth_t:double,found_t:double>>>"
+    start = F.struct(F.array().cast("array<double>").alias("used"), F.array().cast("array<struct<truth_t:double,found_t:double>>").alias("out")).cast(kind)
+
+    def step(s: Column, x: Column) -> Column:
+        free = F.get(F.array_except(x["near"], s["used"]), F.lit(0))
+        one = F.array(F.struct(x["truth_t"].cast("double").alias("truth_t"), free.cast("double").alias("found_t")))
+        grown = F.struct(F.concat(s["used"], F.array(free)).alias("used"), F.concat(s["out"], one).alias("out")).cast(kind)
+        return F.when(free.isNull(), s).otherwise(grown)
+
+    return lists.select(*keys, F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("m")).select(*keys, "m.*")

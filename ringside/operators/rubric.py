@@ -65,3 +65,10 @@ def leaderboard(cards: DataFrame, meta: DataFrame) -> DataFrame:
     rows = cards.alias("c").join(meta.alias("m"), "fight_id").withColumn("official", official).withColumn("ours", F.col("c.winner"))
     rows = rows.withColumn("robbery", robbery(F.col("method"), F.col("official"), F.col("ours"), F.col("margin")))
     return rows.select("fight_id", F.concat_ws(" vs ", "bot_a", "bot_b").alias("bots"), named("ours").alias("our_winner"), named("official").alias("official_winner"), "margin", "robbery").orderBy(F.desc("robbery"), "fight_id")
+
+
+def cheap_card(scores: DataFrame) -> DataFrame:
+    """(fight_id, winner, margin) from an external scorer's points (fight_id,
+    damage_a, damage_b, aggression_a, .. control_b), whole numbers."""
+    a, b = (sum((F.col(f"{k}_{s}").cast("int") for k in ("damage", "aggression", "control")), F.lit(0)) for s in "ab")
+    return scores.select("fight_id", F.when(a >= b, "A").otherwise("B").alias("winner"), F.round(F.abs(a - b) / (DAMAGE + AGGRESSION + CONTROL), 2).alias("margin"))

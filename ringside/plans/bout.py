@@ -22,6 +22,11 @@ class Bout:
     momentum: DataFrame
     scorecards: DataFrame
 
+    def release(self) -> None:
+        """Frees what analyse() keeps in memory."""
+        for kept in (self.frames, self.mobility_10hz, self.events):
+            kept.unpersist()
+
 
 def smoothed_frames(frames: DataFrame) -> DataFrame:
     """Frames with smoothed positions, separation, wall distances, joint change

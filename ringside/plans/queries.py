@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ringside.functions import numeric as N
 from ringside.functions import text as T
-from ringside.operators import attention, cluster, events, grids, kinematics, league, matching, momentum, prebout, rolling, rubric, segments
+from ringside.operators import attention, calibration, cluster, events, exposure, grids, kinematics, league, matching, momentum, overlay, prebout, rolling, rubric, segments
+from ringside.sources import pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -74,12 +75,43 @@ def media_value_orders(spark, sf_dir):
     return out.select("bot", "fights", "screen_s", r6("attn_index", "attn_index"), F.round("media_value", 4).alias("media_value"), "record", r6("perf_score", "perf_score"))
 
 
-@query("""
-SELECT 'actor' AS role, l_partkey AS id, round(sum(l_quantity), 4) AS credit FROM lineitem GROUP BY ALL
-UNION ALL SELECT 'target', l_suppkey, round(sum(l_quantity * 0.25), 4) FROM lineitem GROUP BY ALL""")
+_BOUTS = """p AS (SELECT user_id f, t, value v FROM EV), thr AS (SELECT quantile_cont(v, 0.7) c FROM p),
+w AS (SELECT f, quantile_cont(d, 0.5) sp FROM (SELECT f, lead(t) OVER (PARTITION BY f ORDER BY t) - t d FROM p) GROUP BY 1),
+h AS (SELECT f, count(*) FILTER (v >= c) n, avg(v) FILTER (v >= c) pk FROM p, thr GROUP BY 1),
+x AS (SELECT f, n * coalesce(sp, 0) crit, pk, greatest(5, coalesce(1.5 * sp, 5)) hw FROM h JOIN w USING (f)),
+e AS (SELECT DISTINCT user_id f, t et, value m FROM EV WHERE event_type = 'error'),
+a AS (SELECT e.f, et, m, avg(p.v) att FROM e JOIN x USING (f) JOIN p ON p.f = e.f AND abs(p.t - et) <= hw GROUP BY e.f, et, m),
+cr AS (SELECT f, sum(att * coalesce(nullif(m, 0), 1)) c FROM a GROUP BY 1)"""
+
+
+def _bouts(spark, sf_dir):
+    """Users as bouts of two bots, their events as attention and as hits."""
+    e = ev(spark, sf_dir)
+    f = F.col("user_id")
+    bot = lambda k: F.concat(F.lit("b"), ((f + k) % 20).cast("string"))
+    points = e.select(f.alias("fight_id"), "t", "value")
+    found = e.filter("event_type = 'error'").select(f.alias("fight_id"), "t", F.lit("hit").alias("type"), F.col("value").alias("magnitude"), bot(0).alias("actor"), bot(7).alias("target"))
+    first = F.when(f % 3 == 0, True).when(f % 3 == 1, False)
+    side = lambda k, won: e.select("user_id").distinct().select(f.alias("fight_id"), bot(k).alias("bot"), won.alias("won"), (f % 2 == 0).alias("by_ko"))
+    return side(0, first).unionByName(side(7, ~first)), points, found
+
+
+@query(f"""
+WITH {_BOUTS} SELECT f AS fight_id, 'b' || f % 20 AS bot, round(c, 2) AS credit FROM cr UNION ALL SELECT f, 'b' || (f + 7) % 20, round(0.25 * c, 2) FROM cr""")
 def authorship_credit(spark, sf_dir):
-    sides = F.explode(F.array(F.struct(F.lit("actor").alias("role"), F.col("l_partkey").alias("id"), F.col("l_quantity").alias("c")), F.struct(F.lit("target").alias("role"), F.col("l_suppkey").alias("id"), (F.col("l_quantity") * 0.25).alias("c"))))
-    return tab(spark, sf_dir, "lineitem").select(sides.alias("s")).groupBy("s.role", "s.id").agg(F.round(F.sum("s.c"), 4).alias("credit"))
+    _, points, found = _bouts(spark, sf_dir)
+    return league.authorship(found, points, attention.spacing(points, ["fight_id"], "t")).select("fight_id", "bot", F.round("credit", 2).alias("credit"))
+
+
+@query(f"""
+WITH {_BOUTS}, s AS (SELECT f, 'b' || f % 20 bot, 1.0::DOUBLE share, CASE f % 3 WHEN 0 THEN true WHEN 1 THEN false END won FROM x UNION ALL SELECT f, 'b' || (f + 7) % 20, 0.25::DOUBLE, CASE f % 3 WHEN 0 THEN false WHEN 1 THEN true END FROM x),
+r AS (SELECT bot, count(*) fights, sum(crit) cs, avg(pk) pa, sum(coalesce(share * c, 0)) cred, count(*) FILTER (won) w, count(*) FILTER (won AND f % 2 = 0) k, count(won) d, bool_or(f IN (SELECT f FROM e)) seen FROM s JOIN x USING (f) LEFT JOIN cr USING (f) GROUP BY bot),
+q AS (SELECT *, cs * coalesce(pa, 0) spot, (CASE WHEN d > 0 THEN w / d::DOUBLE ELSE 0 END) * (1 + 0.25 * CASE WHEN w > 0 THEN k / w::DOUBLE ELSE 0 END) perf FROM r),
+m AS (SELECT *, round(coalesce(spot / nullif(max(spot) OVER (), 0), 0), 4) sn, round(coalesce(cred / nullif(max(cred) OVER (), 0), 0), 4) cn, round(coalesce(perf / nullif(max(perf) OVER (), 0), 0), 4) pn FROM q)
+SELECT bot, round(100 * (0.45 * sn + 0.30 * cn + 0.25 * pn), 2) AS sponsor_score, sn AS spotlight, cn AS authorship, pn AS performance, round(cs, 1) AS critical_seconds, round(pa, 4) AS peak_attention, fights,
+  (CASE WHEN seen THEN 1.0::DOUBLE ELSE 0.6 END) * (CASE WHEN pa IS NULL THEN 0.5::DOUBLE ELSE 1 END) AS confidence FROM m""")
+def sponsor_index(spark, sf_dir):
+    return league.sponsor_index(*_bouts(spark, sf_dir))
 
 
 @query("""
@@ -111,7 +143,7 @@ def channel_reach(spark, sf_dir):
     return league.channel_reach(videos, d.select(F.col("source").alias("name")).distinct())
 
 
-@query("SELECT coalesce(list(c_custkey ORDER BY c_custkey), []) AS missing FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS missing FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def anti_report(spark, sf_dir):
     c = tab(spark, sf_dir, "customer").select("c_custkey")
     return league.missing(c, tab(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
@@ -154,8 +186,8 @@ def coverage_gaps(spark, sf_dir):
 
 @query("SELECT user_id, round(avg(CASE WHEN event_type <> 'error' AND value IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage, count(*) FILTER (event_type <> 'error') / 10.0::DOUBLE AS screen_s FROM EV GROUP BY user_id")
 def coverage(spark, sf_dir):
-    wide = F.col("event_type") != "error"
-    return ev(spark, sf_dir).groupBy("user_id").agg(r6(F.avg(F.when(wide & F.col("value").isNotNull(), 1.0).otherwise(0.0)), "coverage"), (F.count_if(wide) / 10.0).alias("screen_s"))
+    found = exposure.coverage(ev(spark, sf_dir), KEY, F.col("event_type") != "error", F.col("value").isNotNull())
+    return found.select("user_id", r6("coverage", "coverage"), "screen_s")
 
 
 _H = ", ".join(f"({r}, {j}, {x!r}::DOUBLE)" for r, row in enumerate(N.savgol_matrix()) for j, x in enumerate(row))
@@ -238,10 +270,7 @@ def central_velocity(spark, sf_dir):
 
 @query("SELECT user_id, list(round(value, 4) ORDER BY t, event_id) FILTER (rn > n - 30) AS trail FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) rn, count(*) OVER (PARTITION BY user_id) n FROM EV) GROUP BY user_id")
 def trail(spark, sf_dir):
-    w = Window.partitionBy(*KEY).orderBy(F.desc("t"), F.desc("event_id"))
-    last = ev(spark, sf_dir).withColumn("rn", F.row_number().over(w)).filter("rn <= 30")
-    rows = last.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("t", "event_id", F.round("value", 4).alias("v")))).alias("r"))
-    return rows.select("user_id", F.transform("r", lambda x: x["v"]).alias("trail"))
+    return overlay.trails(ev(spark, sf_dir), KEY, ORDER, F.round("value", 4))
 
 
 @query("SELECT user_id, floor(t / 3600)::BIGINT AS sec, round(avg(value), 6) AS value FROM EV GROUP BY ALL HAVING count(value) > 0")
@@ -314,14 +343,175 @@ def post_cutoff(spark, sf_dir):
     return events.before_cutoff(e, cut, KEY, "t").select("user_id", "event_id")
 
 
+_FRAMES = """f AS (SELECT user_id u, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 i, value v FROM EV),
+g AS (SELECT u, i, i / 10.0::DOUBLE t, v joint, v * 7 % 5 sep, v % 14.63 ax, v * 3 % 14.63 ay, v * 11 % 14.63 bx, v * 5 % 14.63 bz, v * 2 % 4 - 2 avx, v * 13 % 4 - 2 avy, v * 17 % 4 - 2 bvx, v * 19 % 4 - 2 bvy FROM f),
+d AS (SELECT *, (lead(sep) OVER w - sep) * 10 gr, quantile_cont(joint, 0.5) OVER (PARTITION BY u) base FROM g WINDOW w AS (PARTITION BY u ORDER BY i))"""
+
+
+def _frames(spark, sf_dir):
+    """Users as fights of two bots, their events as frames at 10 Hz."""
+    v = F.col("value")
+    e = ev(spark, sf_dir).withColumn("i", F.row_number().over(Window.partitionBy(*KEY).orderBy(*ORDER)) - 1)
+    cols = {"joint": v, "sep": v * 7 % 5, "ax": v % 14.63, "ay": v * 3 % 14.63, "bx": v * 11 % 14.63, "by": v * 5 % 14.63, "avx": v * 2 % 4 - 2, "avy": v * 13 % 4 - 2, "bvx": v * 17 % 4 - 2, "bvy": v * 19 % 4 - 2}
+    x, y = cols["ax"], cols["ay"]
+    walls = {"wall_a": N.wall_distance(x, y), "wall_b": N.wall_distance(cols["bx"], cols["by"])}
+    return e.select(F.col("user_id").alias("fight_id"), F.lit("A").alias("bot_a"), F.lit("B").alias("bot_b"), "i", (F.col("i") / 10.0).alias("t"), *[c.alias(k) for k, c in (cols | walls).items()])
+
+
+@query(f"""
+WITH RECURSIVE {_FRAMES}, r AS (SELECT *, max(gr) OVER (PARTITION BY u ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) rel FROM d),
+k AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY u ORDER BY i) < 3 THEN 0 ELSE 1 END c FROM r WHERE base > 0 AND joint > 4 * base AND sep < 2.5),
+b AS (SELECT u, n, min(i) - 5 lo, max(i) + 5 hi FROM (SELECT *, sum(c) OVER (PARTITION BY u ORDER BY i) n FROM k) GROUP BY u, n),
+p AS (SELECT b.u, n, arg_min(r.i, (r.sep, r.i)) pk FROM b JOIN r ON r.u = b.u AND r.i BETWEEN lo AND hi WHERE r.sep IS NOT NULL GROUP BY b.u, n),
+h AS (SELECT p.u, a.t, round(greatest(coalesce(a.rel, a.joint / 2), 0.5), 2) m, z.ax, z.ay, z.bx, z.bz, z.avx, z.avy, z.bvx, z.bvy, sqrt((z.bx - z.ax) ** 2 + (z.bz - z.ay) ** 2) gap FROM p JOIN r a ON a.u = p.u AND a.i = pk LEFT JOIN r z ON z.u = p.u AND z.i = pk - 3),
+w AS (SELECT u, t, m, CASE WHEN gap IS NULL OR gap = 0 OR (avx * (bx - ax) + avy * (bz - ay)) / gap >= -(bvx * (bx - ax) + bvy * (bz - ay)) / gap THEN 'A' ELSE 'B' END act, row_number() OVER (PARTITION BY u ORDER BY t, m) rn FROM h),
+q AS (SELECT u, t, m, act, rn, t AS last, true ok FROM w WHERE rn = 1 UNION ALL SELECT w.u, w.t, w.m, w.act, w.rn, CASE WHEN w.t - q.last >= 3 THEN w.t ELSE q.last END, w.t - q.last >= 3 FROM q JOIN w ON w.u = q.u AND w.rn = q.rn + 1)
+SELECT u AS fight_id, t, m AS magnitude, act AS actor, CASE act WHEN 'A' THEN 'B' ELSE 'A' END AS target FROM q WHERE ok""")
+def fight_hits(spark, sf_dir):
+    return events.hits(_frames(spark, sf_dir))
+
+
+@query(f"""
+WITH RECURSIVE {_FRAMES}, k AS (SELECT *, least(ax, ay, 14.63 - ax, 14.63 - ay) wa, least(bx, bz, 14.63 - bx, 14.63 - bz) wb FROM d WHERE base > 0 AND joint > 1.5 * base AND sep > 3),
+o AS (SELECT u, 0 side, t, round((joint / 2)::DECIMAL(18, 6), 2)::DOUBLE m FROM k WHERE wa < 1.2 UNION ALL SELECT u, 1, t, round((joint / 2)::DECIMAL(18, 6), 2)::DOUBLE FROM k WHERE wb < 1.2), w AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY side, t, m) rn FROM o),
+q AS (SELECT *, t AS last, true ok FROM w WHERE rn = 1 UNION ALL SELECT w.*, CASE WHEN w.t - q.last >= 3 THEN w.t ELSE q.last END, w.t - q.last >= 3 FROM q JOIN w ON w.u = q.u AND w.rn = q.rn + 1)
+SELECT u AS fight_id, t, m AS magnitude, CASE side WHEN 0 THEN 'B' ELSE 'A' END AS actor, CASE side WHEN 0 THEN 'A' ELSE 'B' END AS target FROM q WHERE ok""")
+def fight_hazards(spark, sf_dir):
+    return events.hazards(_frames(spark, sf_dir), factor=1.5)
+
+
+@query("""
+WITH m AS (SELECT user_id f, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END bot, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY t, event_id) i, event_id % 2 side, t, value / 100 v FROM EV),
+s AS (SELECT f, CASE side WHEN 0 THEN 'a' ELSE 'b' END bot, i, t, v < 0.4 low FROM m), c AS (SELECT *, CASE WHEN i = 1 OR low = lag(low) OVER w THEN 0 ELSE 1 END c FROM s WINDOW w AS (PARTITION BY f, bot ORDER BY i)),
+g AS (SELECT *, sum(c) OVER (PARTITION BY f, bot ORDER BY i) seg FROM c), r AS (SELECT f, bot, min(t) t FROM (SELECT f, bot, seg, min(t) t FROM g WHERE low GROUP BY ALL HAVING count(*) >= 3) GROUP BY ALL),
+u AS (SELECT DISTINCT user_id f FROM events), j AS (SELECT u.f, CASE WHEN u.f % 4 = 0 THEN 'ko' ELSE 'jd' END method FROM u)
+SELECT f AS fight_id, 99.5::DOUBLE AS t, 'a' AS actor, 'b' AS target FROM j WHERE method = 'ko'
+UNION ALL SELECT f, t, CASE bot WHEN 'a' THEN 'b' ELSE 'a' END, bot FROM (SELECT r.*, row_number() OVER (PARTITION BY f ORDER BY bot) rn FROM r JOIN j USING (f) WHERE method <> 'ko') WHERE rn = 1""")
+def fight_knockouts(spark, sf_dir):
+    e = ev(spark, sf_dir)
+    f = F.col("user_id")
+    ko = f % 4 == 0
+    meta = e.select("user_id").distinct().select(f.alias("fight_id"), F.lit("a").alias("bot_a"), F.lit("b").alias("bot_b"), F.when(ko, "ko").otherwise("jd").alias("method"), F.when(ko, 99.5).alias("time_s"), F.lit("a").alias("winner"))
+    i = F.row_number().over(Window.partitionBy("user_id", F.col("event_id") % 2).orderBy(*ORDER))
+    mobility = e.select(f.alias("fight_id"), F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("bot"), i.alias("i"), "t", (F.col("value") / 100).alias("mobility"))
+    return events.knockouts(meta, mobility, 3, 0.4)
+
+
 @query("""
-WITH e AS (SELECT user_id, t, value, min(t) OVER () t0, max(t) OVER (PARTITION BY user_id) z, value v FROM EV),
-k AS (SELECT user_id, t ko, value v, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, t) rn FROM EV)
-SELECT user_id, round(greatest(0, least(ko + 5 - 45, z - 90)), 4) AS start_t FROM k JOIN (SELECT user_id, max(t) z FROM EV GROUP BY 1) USING (user_id) WHERE rn = 1""")
+WITH e AS (SELECT user_id f, t % 200 t, CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN 'ko' WHEN event_type = 'click' AND user_id % 7 > 0 THEN 'hit' ELSE 'x' END k, value m FROM EV),
+c AS (SELECT f, coalesce(min(t) FILTER (k = 'ko') + 5, arg_min(t, (-m, t)) FILTER (k = 'hit'), 45) c, any_value(f) % 5 * 40.0::DOUBLE d FROM e GROUP BY f),
+s AS (SELECT f, d, CASE WHEN d <= 90 THEN 0.0::DOUBLE ELSE greatest(0, least(c - 45, d - 90)) END s FROM c)
+SELECT f AS fight_id, round(s, 4) AS start_t, round(CASE WHEN d <= 90 THEN d ELSE s + 90 END, 4) AS end_t FROM s""")
 def hero_window(spark, sf_dir):
-    best = F.min(F.struct((-F.col("value")).alias("v"), F.col("t").alias("t")))["t"]
-    rows = ev(spark, sf_dir).groupBy("user_id").agg(best.alias("ko"), F.max("t").alias("z"))
-    return rows.select("user_id", F.round(F.greatest(F.lit(0.0), F.least(F.col("ko") + 5 - 45, F.col("z") - 90)), 4).alias("start_t"))
+    f, kind = F.col("user_id"), F.col("event_type")
+    e = ev(spark, sf_dir)
+    fights = e.select(f.alias("fight_id"), (f % 5 * 40.0).alias("duration_s")).distinct()
+    type_ = F.when((kind == "error") & (f % 3 == 0), "ko").when((kind == "click") & (f % 7 > 0), "hit").otherwise("x")
+    out = overlay.hero_windows(fights, e.select(f.alias("fight_id"), (F.col("t") % 200).alias("t"), type_.alias("type"), F.col("value").alias("magnitude")))
+    return out.select("fight_id", F.round("start_t", 4).alias("start_t"), F.round("end_t", 4).alias("end_t"))
+
+
+@query("""
+SELECT a.user_id, a.event_id AS hit, f.event_id AS frame, floor(14 + 40 * ((f.t - a.t) / 3600) * least(1, coalesce(nullif(a.value, 0), 5) / 10))::INTEGER AS radius
+FROM EV a JOIN EV f ON f.user_id = a.user_id AND f.t >= a.t AND f.t - a.t < 3600 WHERE a.event_type = 'error'""")
+def hit_flashes(spark, sf_dir):
+    e = ev(spark, sf_dir)
+    hits = e.filter("event_type = 'error'").select("user_id", F.col("t").alias("event_t"), F.struct("event_id", "value").alias("magnitude"))
+    hits = hits.select("user_id", "event_t", F.col("magnitude.value").alias("magnitude"), F.col("magnitude.event_id").alias("hit"))
+    found = overlay.hit_flashes(hits, e.select("user_id", "t", F.col("event_id").alias("frame")), KEY, "t", 3600, ["hit"])
+    return found.select("user_id", "hit", "frame", "radius")
+
+
+@query("""
+WITH d AS (SELECT doc_id, n_chars + 1 w, doc_id % 720 + 1 h FROM documents), z AS (SELECT *, least(1280 / w::DOUBLE, 720 / h::DOUBLE) s FROM d), r AS (SELECT *, floor(w * s)::INTEGER nw, floor(h * s)::INTEGER nh FROM z)
+SELECT doc_id, nw AS w, nh AS h, ((1280 - nw) // 2)::INTEGER AS "left", ((720 - nh) // 2)::INTEGER AS top, round(40 + (doc_id % 15) * (640 / 14.63::DOUBLE), 6) AS px FROM r""")
+def letterbox(spark, sf_dir):
+    place = overlay.letterbox(F.col("n_chars") + 1, F.col("doc_id") % 720 + 1)
+    return tab(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in place.items()], r6(overlay.schematic(F.col("doc_id") % 15), "px"))
+
+
+@query("""
+WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 i, greatest(count(*) OVER (PARTITION BY user_id) // 6, 1) st FROM EV)
+SELECT user_id, event_id, (i // st)::INTEGER AS k FROM r WHERE i % st = 0 AND i // st < 8""")
+def strided_sample(spark, sf_dir):
+    return exposure.strided(ev(spark, sf_dir), KEY, ORDER).select("user_id", "event_id", "k")
+
+
+@query("SELECT user_id, arg_min(value, (t, event_id)) AS earliest, arg_max(value, (t, event_id)) AS final FROM EV GROUP BY 1")
+def series_ends(spark, sf_dir):
+    return exposure.ends(ev(spark, sf_dir).withColumn("at", F.struct("t", "event_id")), KEY, "at", "value")
+
+
+@query("""
+WITH a AS (SELECT *, value < 60 low FROM EV), b AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR low = lag(low) OVER w THEN 0 ELSE 1 END c FROM a WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+s AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY t) seg FROM b), r AS (SELECT user_id, min(t) t0 FROM (SELECT user_id, seg, min(t) t FROM s WHERE low GROUP BY 1, 2 HAVING count(*) >= 4) GROUP BY 1)
+SELECT user_id, coalesce(max(t) FILTER (t <= t0 AND value >= 85), any_value(t0)) AS onset FROM EV JOIN r USING (user_id) GROUP BY 1""")
+def decay_onset(spark, sf_dir):
+    return exposure.decay_onset(ev(spark, sf_dir), KEY, "t", "value", 60, 85, 4)
+
+
+@query("SELECT event_id, user_id, CASE WHEN event_type = 'purchase' THEN value * 2 ELSE value END AS value FROM events")
+def replaced_series(spark, sf_dir):
+    e = tab(spark, sf_dir, "events")
+    fresh = e.filter("event_type = 'purchase'").select("event_id", (F.col("value") * 2).alias("value"))
+    return exposure.replaced(e.select("event_id", "user_id", "value"), "value", fresh, "event_id")
+
+
+@query("""
+WITH m AS (SELECT user_id, quantile_cont(value / 100, 0.5) b FROM events WHERE event_type = 'view' GROUP BY 1), u AS (SELECT DISTINCT user_id FROM events)
+SELECT user_id, round(coalesce(b, 1), 6) AS band, coalesce(b, 1) < 0.48 AS elevated FROM u LEFT JOIN m USING (user_id)""")
+def median_band(spark, sf_dir):
+    e = tab(spark, sf_dir, "events")
+    members = e.filter("event_type = 'view'").select("user_id", (F.col("value") / 100).alias("frac"))
+    return cluster.with_bands(e.select("user_id").distinct(), members, KEY).select("user_id", r6("band", "band"), "elevated")
+
+
+@query("SELECT user_id AS fight_id, event_id AS shot_idx, value > 20 AND event_id % 3 = user_id % 2 AS wide FROM events")
+def demoted_shots(spark, sf_dir):
+    e = tab(spark, sf_dir, "events").select(F.col("user_id").alias("fight_id"), F.col("event_id").alias("shot_idx"), (F.col("value") > 20).alias("wide"))
+    members = e.filter("wide").select("fight_id", "shot_idx", (F.col("shot_idx") % 3).alias("cluster"))
+    kept = e.select("fight_id").distinct().select("fight_id", (F.col("fight_id") % 2).alias("cluster"))
+    return cluster.demoted(e, members, kept)
+
+
+@query("""
+WITH m AS (SELECT vec_id, label, embedding::DOUBLE[] e, list_avg(embedding::DOUBLE[]) a FROM embeddings), c AS (SELECT label, list_transform(e, lambda x: x - a) u FROM m), n AS (SELECT label, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) u FROM c),
+k AS (SELECT label, i, avg(u[i]) x FROM n, (SELECT unnest(range(1, 65)) i) GROUP BY ALL), z AS (SELECT label, sqrt(sum(x * x)) d FROM k GROUP BY 1)
+SELECT label, i::INTEGER - 1 AS i, round(x / d, 6) AS x FROM k JOIN z USING (label)""")
+def mean_signature(spark, sf_dir):
+    v = tab(spark, sf_dir, "embeddings").select("label", cluster.unit(F.transform("embedding", lambda x: x.cast("double"))).alias("u"))
+    out = cluster.mean_signature(v, ["label"], "u").select("label", F.posexplode("signature").alias("i", "x"))
+    return out.select("label", "i", r6("x", "x"))
+
+
+@query("SELECT s_suppkey, n_regionkey AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def roster_enrich(spark, sf_dir):
+    n = tab(spark, sf_dir, "nation")
+    named = tab(spark, sf_dir, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat(F.lit(" "), F.lower("n_name")).alias("name"))
+    return matching.enriched(named, "name", n.select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")), "region").select("s_suppkey", "region")
+
+
+@query("""
+WITH m AS (SELECT list_sort(list(c_acctbal))[count(*) // 2 + 1] m FROM customer)
+SELECT c_custkey, (c_acctbal > 1.5 * m AND c_custkey % 10 < 5) OR (c_acctbal < 0.67 * m AND c_custkey % 10 > 5) AS labelled FROM customer, m""")
+def outlier_labels(spark, sf_dir):
+    c = tab(spark, sf_dir, "customer").withColumn("score", F.col("c_custkey") % 10 / 10)
+    return overlay.outliers(c, "c_acctbal", "score").select("c_custkey", "labelled")
+
+
+@query("SELECT event_id, round(2.5 + 6 * value / greatest(1, max(value) OVER (PARTITION BY user_id)), 6) AS radius FROM events")
+def marker_radius(spark, sf_dir):
+    return overlay.marker_radius(tab(spark, sf_dir, "events"), KEY, "value").select("event_id", r6("radius", "radius"))
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) rn FROM EV) WHERE rn = 1")
+def first_seen(spark, sf_dir):
+    return pages.first_seen(ev(spark, sf_dir), F.struct("user_id", "event_type"), "t", "event_id").select("user_id", "event_type", "event_id")
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::VARCHAR AS v FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+def json_walk(spark, sf_dir):
+    return tab(spark, sf_dir, "events").select("event_id", F.explode(pages.walked(F.col("props"), "k")).alias("v"))
 
 
 # --- join shapes ------------------------------------------------------------------------
@@ -532,9 +722,18 @@ def heat_blur(spark, sf_dir):
     return out.select("gx", "gy", r6(F.sqrt(F.col("n") / F.col("max_n")), "heat"))
 
 
-@query()
+@query("""
+WITH RECURSIVE m AS (SELECT vec_id, label, embedding::DOUBLE[] e, list_avg(embedding::DOUBLE[]) a FROM embeddings), c AS (SELECT vec_id, label, list_transform(e, lambda x: x - a) u FROM m),
+v AS (SELECT vec_id, label, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) u, row_number() OVER (PARTITION BY label ORDER BY vec_id) rn FROM c),
+s AS (SELECT label, 0::BIGINT rn, []::DOUBLE[][] c, []::INTEGER[] n, NULL::BIGINT vec_id, NULL::INTEGER k FROM (SELECT DISTINCT label FROM v)
+UNION ALL SELECT v.label, v.rn, CASE WHEN b = 0 THEN list_append(s.c, v.u) ELSE list_transform(s.c, lambda x, i: CASE WHEN i = b THEN list_transform(m, lambda y: y / sqrt(list_dot_product(m, m))) ELSE x END) END,
+  CASE WHEN b = 0 THEN list_append(s.n, 1) ELSE list_transform(s.n, lambda x, i: CASE WHEN i = b THEN x + 1 ELSE x END) END, v.vec_id, (CASE WHEN b = 0 THEN len(s.c) ELSE b - 1 END)::INTEGER
+  FROM s JOIN v ON v.label = s.label AND v.rn = s.rn + 1, LATERAL (SELECT list_transform(s.c, lambda x: list_dot_product(x, v.u)) d), LATERAL (SELECT CASE WHEN len(d) > 0 AND list_max(d) > 0.35 THEN list_position(d, list_max(d)) ELSE 0 END b),
+  LATERAL (SELECT CASE WHEN b > 0 THEN list_transform(v.u, lambda y, i: s.c[b][i] * (s.n[b] / (s.n[b] + 1)) + y * (1 / (s.n[b] + 1))) END m))
+SELECT label, vec_id, k AS cluster FROM s WHERE vec_id IS NOT NULL""")
 def greedy_cluster(spark, sf_dir):
-    return cluster.greedy(tab(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.35)
+    v = tab(spark, sf_dir, "embeddings").select("label", "vec_id", cluster.unit(F.transform("embedding", lambda x: x.cast("double"))).alias("u"))
+    return cluster.greedy(v, "label", "vec_id", "u", 0.35)
 
 
 @query("""
@@ -562,6 +761,36 @@ def homography(spark, sf_dir):
     return tab(spark, sf_dir, "events").select("event_id", r6(px, "px"), r6(py, "py"), r6(back[0], "bx"), r6(back[1], "byy"))
 
 
+@query("""
+WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) rn, value x, value * 7 % 50 y FROM EV) SELECT user_id, 0.0::DOUBLE AS error_m, 1.2::DOUBLE AS h0, 0.9::DOUBLE AS h4 FROM r WHERE rn <= 6 GROUP BY 1 HAVING count(*) >= 5""")
+def homography_fit(spark, sf_dir):
+    """Fits to the first six events of each user, projected by a known homography."""
+    h = [F.lit(v) for v in (1.2, 0.1, 3.0, -0.2, 0.9, 1.0, 0.001, 0.002, 1.0)]
+    rn = F.row_number().over(Window.partitionBy(*KEY).orderBy(*ORDER))
+    p = ev(spark, sf_dir).select("user_id", rn.alias("rn"), F.col("value").alias("ix"), (F.col("value") * 7 % 50).alias("iy")).filter("rn <= 6")
+    enough = p.groupBy("user_id").agg(F.count("*").alias("n")).filter("n >= 5")
+    x, y = N.project(h, F.col("ix"), F.col("iy"))
+    out = calibration.fitted(p.join(enough, "user_id").select("user_id", "ix", "iy", x.alias("fx"), y.alias("fy")), KEY)
+    return out.select("user_id", F.round("error_m", 4).alias("error_m"), F.round(F.col("h")[0], 3).alias("h0"), F.round(F.col("h")[4], 3).alias("h4"))
+
+
+@query("""
+WITH s AS (SELECT user_id, t a, t + 7200 z, event_id shot FROM EV WHERE event_type = 'signup'), m AS (SELECT *, lead(a) OVER (PARTITION BY user_id ORDER BY a, shot) n FROM s), i AS (SELECT user_id, a, least(z, coalesce(n, z)) z, shot FROM m),
+j AS (SELECT e.user_id, e.event_id, e.value v, max(i.shot) shot FROM EV e LEFT JOIN i ON i.user_id = e.user_id AND e.t >= i.a AND e.t < i.z GROUP BY ALL), p AS (SELECT *, v + 1 cx, v * 3 % 50 + 2 cy, CASE WHEN shot % 3 < 2 THEN shot % 3 + 1 END k FROM j)
+SELECT user_id, event_id, round((1.2 * cx + 0.1 * cy + 3 * k) / (0.001 * cx + 1), 6) AS x, round((0.9 * cy + 1) / (0.001 * cx + 1 + 0 * k), 6) AS y FROM p""")
+def track_frames(spark, sf_dir):
+    """Boxes to floor positions: angle 2 has no homography and leaves gaps."""
+    e = ev(spark, sf_dir)
+    w = Window.partitionBy("fight_id").orderBy("start_t", "shot_idx")
+    shots = e.filter("event_type = 'signup'").select(F.col("user_id").alias("fight_id"), F.col("t").alias("start_t"), F.col("event_id").alias("shot_idx"), F.lit(True).alias("wide"))
+    shots = shots.withColumn("end_t", F.least(F.col("start_t") + 7200, F.coalesce(F.lead("start_t").over(w), F.col("start_t") + 7200)))
+    boxes = e.select(F.col("user_id").alias("fight_id"), F.col("event_id").alias("i"), "t", F.lit("a").alias("bot"), F.col("value").alias("bx"), (F.col("value") * 3 % 50).alias("by"), F.lit(2.0).alias("bw"), F.lit(4.0).alias("bh"))
+    angles = shots.select("fight_id", "shot_idx", (F.col("shot_idx") % 3).alias("angle_id"))
+    h = F.array(*[F.lit(v) if isinstance(v, float) else v for v in (1.2, 0.1, 3.0 * (F.col("k") + 1), 0.0, 0.9, 1.0, 0.001, 0.0, 1.0)])
+    known = shots.select("fight_id").distinct().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select("fight_id", F.col("k").cast("bigint").alias("angle_id"), h.alias("h"))
+    return calibration.tracked(boxes, shots, angles, known).select(F.col("fight_id").alias("user_id"), F.col("i").alias("event_id"), r6("x", "x"), r6("y", "y"))
+
+
 # --- pre-contest model -----------------------------------------------------------------------
 
 
@@ -573,17 +802,18 @@ def history_prior(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE f AS (SELECT p_brand league, o_orderkey fight, l_suppkey % 4 a, (l_suppkey + 1 + l_partkey % 3) % 4 b, CASE WHEN l_quantity > 25 THEN 1.0::DOUBLE ELSE 0 END y FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1),
-o AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY fight, a, b, y) rn FROM f),
-s AS (SELECT league, 0::BIGINT rn, [1500, 1500, 1500, 1500]::DOUBLE[] r, [0, 0, 0, 0]::INTEGER[] g, 0::DOUBLE w, 0::DOUBLE n, NULL::BIGINT fight, NULL::DOUBLE p FROM (SELECT DISTINCT league FROM o)
-UNION ALL SELECT o.league, o.rn, list_transform(s.r, lambda x, i: CASE i WHEN o.a + 1 THEN x + (CASE WHEN s.g[i] < 10 THEN 40 ELSE 24 END) * (o.y - e) WHEN o.b + 1 THEN x + (CASE WHEN s.g[i] < 10 THEN 40 ELSE 24 END) * (e - o.y) ELSE x END),
-  list_transform(s.g, lambda x, i: CASE WHEN i = o.a + 1 OR i = o.b + 1 THEN x + 1 ELSE x END), s.w + o.y + (1 - o.y), s.n + 2, o.fight, (1 - s.n / (s.n + 8)) * e + s.n / (s.n + 8) * (s.w + 2) / (s.n + 4)
-  FROM s JOIN o ON o.league = s.league AND o.rn = s.rn + 1, LATERAL (SELECT 1 / (1 + 10 ** (-(s.r[o.a + 1] - s.r[o.b + 1]) / 400)) e))
+WITH RECURSIVE k AS (SELECT count(*) k FROM supplier), f AS (SELECT p_brand league, l_orderkey * 10 + l_linenumber fight, l_suppkey + 1 a, (l_suppkey + 1 + l_partkey % 3) % k + 1 b, CASE WHEN l_quantity > 25 THEN 1.0::DOUBLE ELSE 0 END y FROM k, lineitem JOIN part ON p_partkey = l_partkey),
+o AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY fight) rn FROM f),
+s AS (SELECT league, 0::BIGINT rn, list_transform(range(0, k), lambda x: 1500::DOUBLE) r, list_transform(range(0, k), lambda x: 0) g, 0::DOUBLE w, 0::DOUBLE n, NULL::BIGINT fight, NULL::DOUBLE p FROM (SELECT DISTINCT league FROM o), k
+UNION ALL SELECT o.league, o.rn, list_transform(s.r, lambda x, i: CASE i WHEN o.a THEN x + (CASE WHEN s.g[i] < 10 THEN 40 ELSE 24 END) * (o.y - e) WHEN o.b THEN x + (CASE WHEN s.g[i] < 10 THEN 40 ELSE 24 END) * (e - o.y) ELSE x END),
+  list_transform(s.g, lambda x, i: CASE WHEN i = o.a OR i = o.b THEN x + 1 ELSE x END), s.w + o.y + (1 - o.y), s.n + 2, o.fight, (1 - s.n / (s.n + 8)) * e + s.n / (s.n + 8) * (s.w + 2) / (s.n + 4)
+  FROM s JOIN o ON o.league = s.league AND o.rn = s.rn + 1, LATERAL (SELECT 1 / (1 + 10 ** (-(s.r[o.a] - s.r[o.b]) / 400)) e))
 SELECT league, fight::VARCHAR AS fight_id, round(p, 6) AS p FROM s WHERE fight IS NOT NULL""")
 def elo_fold(spark, sf_dir):
-    li = tab(spark, sf_dir, "lineitem").filter("l_linenumber = 1").join(tab(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("league")), "l_partkey")
-    a, b = F.col("l_suppkey") % 4, (F.col("l_suppkey") + 1 + F.col("l_partkey") % 3) % 4
-    fights = li.join(tab(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").select("league", F.col("l_orderkey").alias("fight_id"), F.lit(1).alias("episode"), a.cast("string").alias("bot_a"), b.cast("string").alias("bot_b"), F.when(F.col("l_quantity") > 25, a).otherwise(b).cast("string").alias("winner"))
+    bots = tab(spark, sf_dir, "supplier").agg(F.count("*").alias("bots"))
+    li = tab(spark, sf_dir, "lineitem").join(tab(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("league")), "l_partkey").crossJoin(F.broadcast(bots))
+    a, b = F.col("l_suppkey"), (F.col("l_suppkey") + 1 + F.col("l_partkey") % 3) % F.col("bots")
+    fights = li.select("league", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fight_id"), F.lit(1).alias("episode"), a.cast("string").alias("bot_a"), b.cast("string").alias("bot_b"), F.when(F.col("l_quantity") > 25, a).otherwise(b).cast("string").alias("winner"))
     none = spark.createDataFrame([], "bot string, rating double"), spark.createDataFrame([], "bot string, class string")
     return prebout.walk_forward(fights, *none).select("league", "fight_id", r6("p", "p"))
 
@@ -604,7 +834,7 @@ def classify_keywords(spark, sf_dir):
 WITH n(name) AS (VALUES ('the'), ('der'), ('que'), ('les'), ('idiot'), ('St.')) SELECT name, count(*) AS docs FROM documents JOIN n ON regexp_matches(lower(text), '(^|[^A-Za-z])' || replace(lower(name), '.', '\\.') || '([^A-Za-z]|$)') GROUP BY 1""")
 def name_match(spark, sf_dir):
     names = spark.createDataFrame([(x,) for x in ("the", "der", "que", "les", "idiot", "St.")], "name string")
-    return tab(spark, sf_dir, "documents").join(F.broadcast(names), T.whole_name(F.col("text"), F.col("name"))).groupBy("name").agg(F.count("*").alias("docs"))
+    return matching.named_in(tab(spark, sf_dir, "documents").select("text"), "text", names).groupBy("name").agg(F.count("*").alias("docs"))
 
 
 @query("""
