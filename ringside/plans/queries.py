@@ -803,7 +803,7 @@ def history_prior(spark, sf_dir):
 
 @query("""
 WITH RECURSIVE k AS (SELECT count(*) k FROM supplier), f AS (SELECT p_brand league, l_orderkey * 10 + l_linenumber fight, l_suppkey + 1 a, (l_suppkey + 1 + l_partkey % 3) % k + 1 b, CASE WHEN l_quantity > 25 THEN 1.0::DOUBLE ELSE 0 END y FROM k, lineitem JOIN part ON p_partkey = l_partkey),
-o AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY fight) rn FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY fight, (a - 1)::VARCHAR, (b - 1)::VARCHAR, y) rn FROM f),
 s AS (SELECT league, 0::BIGINT rn, list_transform(range(0, k), lambda x: 1500::DOUBLE) r, list_transform(range(0, k), lambda x: 0) g, 0::DOUBLE w, 0::DOUBLE n, NULL::BIGINT fight, NULL::DOUBLE p FROM (SELECT DISTINCT league FROM o), k
 UNION ALL SELECT o.league, o.rn, list_transform(s.r, lambda x, i: CASE i WHEN o.a THEN x + (CASE WHEN s.g[i] < 10 THEN 40 ELSE 24 END) * (o.y - e) WHEN o.b THEN x + (CASE WHEN s.g[i] < 10 THEN 40 ELSE 24 END) * (e - o.y) ELSE x END),
   list_transform(s.g, lambda x, i: CASE WHEN i = o.a OR i = o.b THEN x + 1 ELSE x END), s.w + o.y + (1 - o.y), s.n + 2, o.fight, (1 - s.n / (s.n + 8)) * e + s.n / (s.n + 8) * (s.w + 2) / (s.n + 4)
