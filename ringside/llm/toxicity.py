@@ -3,19 +3,29 @@
 Words are compared by the gap-weighted subsequence kernel: two words share
 every three-letter subsequence of up to SPAN letters, weighted by DECAY for
 each letter spanned, so gapped letters, other endings and inserted characters
-keep most of the value. A text's value at a landmark is its best word's. The
-landmarks are the words that mark toxic sample texts most, and ordinary words.
-Their own kernel matrix whitens the values (Nystroem), and a squared-hinge SVM
-separates them; a fitted sigmoid turns its margin into a score.
+keep most of the value; accents are taken off first. Texts are sets of words:
+one part of a text's features is its best word's value at each landmark, the
+other the sum of all words' values by the text's size, which tells a stem that
+keeps coming back from one that is there once. Powers of the kernel (BEST,
+EACH), which are kernels too, sharpen both.
+
+Landmarks are words and beginnings of words that mark toxic sample texts, chosen
+one after the other by how many texts they mark that earlier ones don't, so
+that rarer ways and languages of insult have theirs, and ordinary words. The
+landmarks' own kernel matrices whiten the values (Nystroem), and a
+squared-hinge SVM separates them; a sigmoid, fitted on margins of models that
+haven't seen the text, turns its margin into a score.
 
 The SVM is fitted on at most SAMPLE labelled texts of each class. Word counts for
-the choice of landmarks are Spark aggregations, and only landmarks and the
-sample's kernel values reach the driver. Scoring is one pass without a shuffle.
+the choice of landmarks are Spark aggregations; what reaches the driver is POOL
+candidates, and a row of bits and one of kernel values for each sample text.
+Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -25,21 +35,26 @@ from pyspark.sql import functions as F
 from .common import save
 
 SAMPLE = 3_000
-TOXIC_WORDS, PLAIN_WORDS = 96, 32
+TOXIC_WORDS, PLAIN_WORDS, POOL = 96, 32, 2_000
+COVER, LEAST_RATIO = 3, 8.0
+BEST, EACH = 4, 8
 SPAN, DECAY = 5, 0.7
 WIDTH = 24  # longer tokens are read in windows of this many bytes, half overlapping
 CACHE = 300_000
 
 _DROP = bytes(b for b in range(128) if not (chr(b).isalpha() or chr(b) in " \t\n\r\x0b\x0c"))
 _CODES = np.array([b - 96 if 97 <= b <= 122 else 27 + b % 5 if b >= 128 else 0 for b in range(256)], np.int64)
+_ACCENTS = re.compile(rb"[\xcc\xcd][\x80-\xbf]")  # combining marks, in UTF-8
 _SPACED = re.compile(rb"(?<!\S)(?:[a-z] ){2,}[a-z](?!\S)")
 
 
 def words(text: str | None) -> set[bytes]:
-    """A text's distinct words: lower-cased bytes without digits and marks, so
-    characters inserted into a word vanish; single letters in a row are one
-    word; long tokens come as overlapping windows."""
-    raw = (text or "").encode("utf-8", "surrogatepass").lower().translate(None, _DROP)
+    """A text's distinct words: lower-cased bytes without accents, digits and
+    marks, so characters inserted into a word vanish; single letters in a row
+    are one word; long tokens come as overlapping windows."""
+    low = (text or "").lower()
+    raw = low.encode() if low.isascii() else _ACCENTS.sub(b"", unicodedata.normalize("NFKD", low).encode("utf-8", "surrogatepass"))
+    raw = raw.translate(None, _DROP)
     raw = _SPACED.sub(lambda m: m[0].replace(b" ", b""), raw)
     out = set()
     for w in set(raw.split()):
@@ -113,17 +128,21 @@ class Kernel:
             self.used += len(near)
 
     def texts(self, batch: list[str | None]) -> np.ndarray:
-        """A row for each text: its best word's value at each landmark."""
+        """A row for each text: its best word's value at each landmark to the
+        power of BEST, and all words' values to the power of EACH, summed, by the
+        root of their number."""
         if len(self.rows) > CACHE:
             self.rows.clear()
             self.used = 1
         each = [words(t) for t in batch]
         self.learn(list(set().union(*each).difference(self.rows)) if each else [])
-        out = np.zeros((len(batch), self.size), np.float32)
+        out = np.zeros((len(batch), 2 * self.size), np.float32)
         for i, found in enumerate(each):
-            at = {self.rows[w] for w in found}
+            at = [k for w in found if (k := self.rows[w])]
             if at:
-                out[i] = self.values[list(at)].max(axis=0)
+                values = self.values[at]
+                out[i, : self.size] = values.max(axis=0) ** BEST
+                out[i, self.size :] = (values**EACH).sum(axis=0) / np.sqrt(len(found) + 20)
         return out
 
 
@@ -138,26 +157,60 @@ def kernel(landmarks: list[bytes]) -> Kernel:
     return _KERNELS[key]
 
 
-def _landmarks(sample: DataFrame) -> tuple[list[bytes], int]:
-    """The words that mark toxic texts most, and the commonest others, and
-    how many are the former, from a table (text, y). Counts are aggregated by word."""
+def _candidates(text: str | None) -> set[bytes]:
+    """A text's words and their beginnings of 4 to 8 bytes."""
+    out = set()
+    for w in words(text):
+        if len(w) > 2:
+            out.add(w)
+            out.update(w[:k] for k in range(4, min(len(w), 9)))
+    return out
+
+
+def _landmarks(sample: DataFrame) -> list[bytes]:
+    """The landmarks, from a table (text, y): toxic ones first. Counts are
+    aggregated by word; ties go by the word."""
 
     def run(batches):
         for pdf in batches:
-            rows = [(w, y) for t, y in zip(pdf["text"], pdf["y"], strict=True) for w in words(t) if len(w) > 2]
+            rows = [(w, y) for t, y in zip(pdf["text"], pdf["y"], strict=True) for w in _candidates(t)]
             yield pd.DataFrame(rows, columns=["word", "y"])
 
-    counts = sample.mapInPandas(run, "word binary, y int").groupBy("word").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
+    counts = save(sample.mapInPandas(run, "word binary, y int").groupBy("word").agg(F.sum("y").alias("toxic"), F.count("*").alias("n")), "words")
     toxic, n = sample.filter("y = 1").count(), sample.count()
-    share = lambda k, total: (F.col(k) + 0.5) / (total + 1.0)
-    z = (share("toxic", toxic) - (F.col("n") - F.col("toxic") + 0.5) / (n - toxic + 1.0)) * F.sqrt(F.col("n"))
-    ranked = counts.withColumn("z", z).withColumn("ratio", share("toxic", toxic) / ((F.col("n") - F.col("toxic") + 0.5) / (n - toxic + 1.0)))
-    marks = ranked.filter("ratio > 4").orderBy(F.desc("z"), "word").limit(TOXIC_WORDS).collect()
-    plain = ranked.filter("ratio < 1.2").orderBy(F.desc("n"), "word").limit(PLAIN_WORDS).collect()
-    return [bytes(r["word"]) for r in [*marks, *plain]], len(marks)
+    ratio = (F.col("toxic") + 0.5) / (toxic + 1.0) / ((F.col("n") - F.col("toxic") + 0.5) / (n - toxic + 1.0))
+    ranked = counts.withColumn("ratio", ratio)
+    worth = F.col("toxic") * F.least(F.lit(1.0), F.col("ratio") / 100)
+    pool = [bytes(r["word"]) for r in ranked.filter((F.col("toxic") >= 3) & (F.col("ratio") > LEAST_RATIO)).orderBy(worth.desc(), "word").limit(POOL).collect()]
+    plain = [bytes(r["word"]) for r in ranked.filter("ratio < 1.2").orderBy(F.desc("n"), "word").limit(PLAIN_WORDS).collect()]
+    if not pool:
+        return []
+    at = {w: i for i, w in enumerate(pool)}
+
+    def bits(batches):
+        for pdf in batches:
+            held = np.zeros((len(pdf), len(pool)), bool)
+            for i, t in enumerate(pdf["text"]):
+                held[i, [at[w] for w in _candidates(t) if w in at]] = True
+            yield pd.DataFrame({"bits": [x.tobytes() for x in np.packbits(held, axis=1)], "y": pdf["y"]})
+
+    got = sample.mapInPandas(bits, "bits binary, y int").toPandas()
+    held = np.unpackbits(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), -1), axis=1)[:, : len(pool)].astype(np.float32)
+    y = got["y"].to_numpy()
+    need, clean = np.where(y == 1, float(COVER), 0.0), held[y == 0].sum(axis=0)
+    marks: list[int] = []
+    while len(marks) < TOXIC_WORDS:
+        gain = np.minimum(need, 1) @ held - 2 * clean
+        gain[marks] = -np.inf
+        best = int(gain.argmax())
+        if gain[best] < 2 and marks:
+            break
+        marks.append(best)
+        need = np.maximum(need - held[:, best], 0)
+    return [*(pool[k] for k in marks), *(w for w in plain if w not in at)]
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> np.ndarray:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 0.01) -> np.ndarray:
     """Squared-hinge SVM by Newton steps; the last entry is the bias."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     s = 2.0 * y - 1
@@ -174,11 +227,10 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> n
     return w
 
 
-def _widened(x: np.ndarray, toxic: int) -> np.ndarray:
-    """Adds the best value at any toxic landmark, plain and sharpened: one
-    certain insult weighs as much as several landmarks' faint echoes."""
-    best = x[:, :toxic].max(axis=1, keepdims=True) if toxic else np.zeros((len(x), 1))
-    return np.concatenate([x, best, best**8], axis=1)
+def _whitening(gram: np.ndarray) -> np.ndarray:
+    """The inverse root of a kernel matrix."""
+    value, vector = np.linalg.eigh((gram + gram.T) / 2 + 1e-3 * np.eye(len(gram)))
+    return vector @ np.diag(np.maximum(value, 1e-3) ** -0.5) @ vector.T
 
 
 def _sigmoid(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -213,7 +265,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, held: dict[int, int] | None
     taken = save(parts[0].unionByName(parts[1]).repartition(16), "sample")
     if taken.select("y").distinct().count() < 2:
         return {"share": held[1] / (held[0] + held[1])}
-    marks, toxic = _landmarks(taken)
+    marks = _landmarks(taken)
     if not marks:
         return {"share": held[1] / (held[0] + held[1])}
 
@@ -222,20 +274,30 @@ def train(labelled: DataFrame, sample: int = SAMPLE, held: dict[int, int] | None
             got = kernel(marks).texts(pdf["text"].tolist())
             yield pd.DataFrame({"x": list(got.astype(np.float64)), "y": pdf["y"]})
 
+    # In an order of their own, so that the folds below are the same in every run.
     got = taken.mapInPandas(run, "x array<double>, y int").toPandas()
     x, y = np.stack(got["x"].to_numpy()), got["y"].to_numpy()
+    order = np.lexsort((*x.T[::-1], y))
+    x, y = x[order], y[order]
     own = kernel(marks)
-    own.learn(marks)
+    own.learn([m for m in marks if m not in own.rows])
     gram = np.array([own.values[own.rows[m]] for m in marks], np.float64)
-    value, vector = np.linalg.eigh((gram + gram.T) / 2 + 1e-3 * np.eye(len(marks)))
-    white = vector @ np.diag(np.maximum(value, 1e-3) ** -0.5) @ vector.T
-    white = np.block([[white, np.zeros((len(marks), 2))], [np.zeros((2, len(marks))), np.eye(2)]])
-    x = _widened(x, toxic)
-    weight = np.where(y == 1, held[1] / (y == 1).sum(), held[0] / (y == 0).sum())
-    weight = np.sqrt(weight / weight.mean())  # between balanced and as frequent as they are
-    w = _svm(x @ white, y, weight)
-    a, b = _sigmoid(np.concatenate([x @ white, np.ones((len(x), 1))], axis=1) @ w, y, weight)
-    return {"marks": marks, "toxic": toxic, "w": white @ w[:-1], "bias": float(w[-1]), "a": a, "b": b}
+    n = len(marks)
+    white = np.zeros((2 * n, 2 * n))
+    white[:n, :n], white[n:, n:] = _whitening(gram**BEST), _whitening(gram**EACH)
+    z = x @ white
+    mean, scale = z.mean(axis=0), z.std(axis=0) + 1e-6
+    z = (z - mean) / scale
+    weight = np.where(y == 1, held[1] / (y == 1).sum(), held[0] / (y == 0).sum())  # as frequent as they are
+    weight = weight * np.where(y == 1, (held[0] / held[1]) ** 0.75, 1.0)  # and most of the way to balanced
+    weight = weight / weight.mean()
+    with_one = lambda v: np.concatenate([v, np.ones((len(v), 1))], axis=1)
+    w, margin, fold = _svm(z, y, weight), np.zeros(len(y)), np.arange(len(y)) % 5
+    for k in range(5):
+        rest = fold != k
+        margin[~rest] = with_one(z[~rest]) @ (_svm(z[rest], y[rest], weight[rest]) if len(np.unique(y[rest])) == 2 else w)
+    a, b = _sigmoid(margin, y, weight)
+    return {"marks": marks, "w": white @ (w[:-1] / scale), "bias": float(w[-1] - (mean / scale) @ w[:-1]), "a": a, "b": b}
 
 
 def score(documents: DataFrame, model: dict) -> DataFrame:
@@ -250,7 +312,7 @@ def score(documents: DataFrame, model: dict) -> DataFrame:
         own = kernel(model["marks"])
         out = []
         for lo in range(0, len(texts), 256):
-            x = _widened(own.texts(texts.iloc[lo : lo + 256].tolist()).astype(np.float64), model["toxic"])
+            x = own.texts(texts.iloc[lo : lo + 256].tolist()).astype(np.float64)
             out.append(1 / (1 + np.exp(-(model["a"] * np.clip(x @ model["w"] + model["bias"], -4, 4) + model["b"]))))
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
