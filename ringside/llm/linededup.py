@@ -120,7 +120,7 @@ def dedup_lines(documents: DataFrame, **options) -> DataFrame:
     """
     gone = templates(documents, **options).groupBy("doc_id", "fp").agg(F.collect_set("line_no").alias("_lines_gone")).select(F.col("doc_id").alias("_lines_id"), F.col("fp").alias("_lines_fp"), "_lines_gone")
     same = F.col("doc_id").eqNullSafe(F.col("_lines_id")) & (F.xxhash64("text") == F.col("_lines_fp"))
-    cols = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
+    cols = [c for c in documents.columns if c.lower() not in ("n_lines", "n_dropped")]
     joined = documents.select(*cols).join(gone, same, "left")
     rest = F.filter(F.split("text", "\n", -1), lambda s, i: ~F.array_contains("_lines_gone", i))
     text = F.when(F.col("_lines_gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))

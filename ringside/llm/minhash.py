@@ -45,10 +45,10 @@ TREES = 4
 BRANCH = 2
 SMALL = 256
 DEPTH = 4
-TASK = 2048
-SET_BYTES = 32 << 20
+TASK = 1024
+SET_BYTES = 16 << 20
 PIVOTS = 4
-PAIRS_AT_ONCE = 1 << 18
+PAIRS_AT_ONCE = 1 << 17
 COLUMNS = 4096
 LEAST_EQUAL = 34
 BROADCAST_ROWS = 200_000
@@ -66,12 +66,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHashes(dict):
-    """64-bit word hashes, kept while there are 300 000 or fewer."""
+    """64-bit word hashes, kept while there are 200 000 or fewer."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -120,17 +120,14 @@ def sketches(documents: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            sets = [shingles(t, size) for t in pdf["text"]]
-            yield pd.DataFrame(
-                {
-                    "row": pdf["row"],
-                    "doc_id": pdf["doc_id"],
-                    "fp": pdf["fp"],
-                    "n_shingles": np.array([len(s) for s in sets], np.int64),
-                    "cls": pd.array([_digest(s) if len(s) else None for s in sets], dtype="Int64"),
-                    "sig": [minwise(s).tobytes() if len(s) else None for s in sets],
-                }
-            )
+            n, cls, sig = [], [], []
+            for text in pdf["text"]:  # one set at a time
+                found = shingles(text, size)
+                n.append(len(found))
+                cls.append(_digest(found) if len(found) else None)
+                sig.append(minwise(found).tobytes() if len(found) else None)
+            out = {"row": pdf["row"], "doc_id": pdf["doc_id"], "fp": pdf["fp"]}
+            yield pd.DataFrame(out | {"n_shingles": np.array(n, np.int64), "cls": pd.array(cls, dtype="Int64"), "sig": sig})
 
     return _named_rows(documents).mapInPandas(run, "row string, doc_id string, fp long, n_shingles long, cls long, sig binary")
 
@@ -185,6 +182,18 @@ def _grow(rows: DataFrame, depth: int) -> DataFrame:
 EDGE = "key long, a long, b long"
 
 
+def _few_nodes(pdf: pd.DataFrame):
+    """Parts of a table of whole nodes with few pairs, or one node, each."""
+    key = pdf["key"].to_numpy()
+    begin = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+    upto = np.cumsum(np.diff(begin) ** 2)
+    k = 0
+    while k < len(upto):
+        after = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + PAIRS_AT_ONCE, side="right")))
+        yield pdf.iloc[begin[k] : begin[after]]
+        k = after
+
+
 def _whole_nodes(batches):
     """Batches sorted by key, cut so that a node is never split."""
     held: list[pd.DataFrame] = []
@@ -194,11 +203,11 @@ def _whole_nodes(batches):
         key = pdf["key"].to_numpy()
         tail = int(np.flatnonzero(key == key[-1])[0])
         if tail:
-            yield pd.concat([*held, pdf.iloc[:tail]]) if held else pdf.iloc[:tail]
+            yield from _few_nodes(pd.concat([*held, pdf.iloc[:tail]]) if held else pdf.iloc[:tail])
             held = []
         held.append(pdf.iloc[tail:])
     if held:
-        yield pd.concat(held)
+        yield from _few_nodes(pd.concat(held))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -232,9 +241,9 @@ def _likely(pdf: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, np
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[lo:hi]) - after[lo:hi], after[lo:hi])
         ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (root[i] != root[j])
         i, j = i[ok], j[ok]
-        equal = (est[i] == est[j]).sum(axis=1)
+        equal = (est[i] == est[j]).sum(axis=1, dtype=np.int16)
         ok = equal >= LEAST_EQUAL
-        out.append((i[ok], j[ok], equal[ok]))
+        out.append((i[ok].astype(np.int32), j[ok].astype(np.int32), equal[ok]))
         lo = hi
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 

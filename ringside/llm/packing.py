@@ -80,7 +80,7 @@ def pack(documents: DataFrame, length: Column | None = None, buckets: int = BUCK
     new = ("n_tokens", "bucket", "boundary", "batch", "slot", "padding")
     count = F.coalesce((length if length is not None else piece_count(F.col("text"))).cast("long"), F.lit(0).cast("long"))
     # Exploding the one value keeps it a column: a projection would be inlined into each use and count again.
-    docs = documents.select(*[c for c in documents.columns if c not in new], F.explode_outer(F.array(count)).alias("n_tokens"))
+    docs = documents.select(*[c for c in documents.columns if c.lower() not in new], F.explode_outer(F.array(count)).alias("n_tokens"))
     bins = docs.groupBy(bin_of(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("longest"), F.count("*").alias("n"))
     histogram = sorted((r["longest"], r["n"]) for r in bins.collect())
     if not histogram:
@@ -103,4 +103,4 @@ def pack(documents: DataFrame, length: Column | None = None, buckets: int = BUCK
     docs = docs.withColumn("_pack_rank", F.row_number().over(alone) - 1).join(offsets, ["bucket", "_pack_shard"])
     rank = F.col("_pack_rank") + F.col("_pack_offset")
     docs = docs.withColumn("batch", F.floor(rank / F.col("_pack_room"))).withColumn("slot", F.pmod(rank, F.col("_pack_room")).cast("int")).withColumn("padding", F.col("boundary") - F.col("n_tokens"))
-    return docs.select(*[c for c in documents.columns if c not in new], *new)
+    return docs.select(*[c for c in documents.columns if c.lower() not in new], *new)

@@ -153,32 +153,34 @@ def segments(documents: DataFrame) -> DataFrame:
 
 
 def _contexts(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """(owner, owner_fp, seq, left, right): CONTEXT bytes before and behind
-    those chunks of owners at which segments begin or end."""
-    asked = found.select("owner", "owner_fp", F.explode(F.array("owner_first", "owner_last")).alias("seq"))
-    asked = asked.distinct().groupBy("owner", "owner_fp").agg(F.collect_list("seq").alias("seqs"))
-    texts = _keyed(documents).join(_few(save(asked, "asked")), (F.col("doc_id") == F.col("owner")) & (F.col("fp") == F.col("owner_fp"))).select("owner", "owner_fp", "seqs", "text")
+    """(owner, owner_fp, seq, side, bytes): CONTEXT bytes before (side 0) those
+    chunks of owners at which segments begin and behind (1) those at which they end."""
+    ends = F.array(F.struct(F.col("owner_first").alias("seq"), F.lit(0).alias("side")), F.struct(F.col("owner_last").alias("seq"), F.lit(1).alias("side")))
+    asked = found.select("owner", "owner_fp", F.explode(ends).alias("at")).distinct().groupBy("owner", "owner_fp").agg(F.collect_list("at.seq").alias("seqs"), F.collect_list("at.side").alias("sides"))
+    texts = _keyed(documents).join(save(asked, "asked"), (F.col("doc_id") == F.col("owner")) & (F.col("fp") == F.col("owner_fp"))).select("owner", "owner_fp", "seqs", "sides", "text")
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for owner, fp, seqs, text in zip(*(pdf[c] for c in ("owner", "owner_fp", "seqs", "text")), strict=True):
+            for owner, fp, seqs, sides, text in zip(*(pdf[c] for c in ("owner", "owner_fp", "seqs", "sides", "text")), strict=True):
                 raw = _raw(text)
                 ends = chunk_ends(raw)
-                for seq in seqs:
+                for seq, side in zip(seqs, sides, strict=True):
                     a, b = int(ends[seq - 1]) if seq else 0, int(ends[seq])
-                    rows.append((owner, fp, seq, raw[max(0, a - CONTEXT) : a].tobytes(), raw[b : b + CONTEXT].tobytes()))
-            yield pd.DataFrame(rows, columns=["owner", "owner_fp", "seq", "left", "right"])
+                    rows.append((owner, fp, seq, side, (raw[b : b + CONTEXT] if side else raw[max(0, a - CONTEXT) : a]).tobytes()))
+            yield pd.DataFrame(rows, columns=["owner", "owner_fp", "seq", "side", "bytes"])
 
-    return texts.mapInPandas(run, "owner long, owner_fp long, seq int, left binary, right binary").dropDuplicates(["owner", "owner_fp", "seq"])
+    return texts.mapInPandas(run, "owner long, owner_fp long, seq int, side int, bytes binary")
 
 
 def grown(documents: DataFrame) -> DataFrame:
     """The segments with the owner's bytes to their left and right."""
     found = save(segments(documents), "segments")
-    around = _few(save(_contexts(documents, found), "contexts"))
-    for at, side in (("owner_first", "left"), ("owner_last", "right")):
-        found = found.join(around.select("owner", "owner_fp", F.col("seq").alias(at), side), ["owner", "owner_fp", at])
+    around = save(_contexts(documents, found), "contexts")
+    for side, (at, name) in enumerate((("owner_first", "left"), ("owner_last", "right"))):
+        # Repeated rows give the same bytes more than once.
+        own = around.filter(F.col("side") == side).dropDuplicates(["owner", "owner_fp", "seq"]).select("owner", "owner_fp", F.col("seq").alias(at), F.col("bytes").alias(name))
+        found = found.join(own, ["owner", "owner_fp", at])
     return found
 
 
@@ -242,7 +244,7 @@ def dedup_substrings(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     """
     ship(documents.sparkSession)
     new = ("n_removed", "spans", "owners")
-    cols = [c for c in documents.columns if c not in new]
+    cols = [c for c in documents.columns if c.lower() not in new]
     found = grown(documents).groupBy(F.col("doc_id").alias("_sub_id"), F.col("fp").alias("_sub_fp")).agg(F.collect_list(F.struct("first", "last", "owner", "left", "right")).alias("_sub_r"))
     found = save(found, "found")
     rows = documents.select(*cols).join(found, (F.col("doc_id") == F.col("_sub_id")) & (F.xxhash64("text") == F.col("_sub_fp")), "left").drop("_sub_id", "_sub_fp")

@@ -189,6 +189,78 @@ def test_a_template_of_a_hot_leaf_needs_no_share_of_it(spark):
     assert got == {i: int(i % 20 == 0) for i in range(600)}
 
 
+def brute_lines(rows, order, least=20, share=0.1):
+    """Which lines go, by the docstring's rules in plain Python; ``order`` has
+    the hashes of a line and of its leaf, by which votes are chosen."""
+    from collections import Counter, defaultdict
+    from math import ceil, log
+
+    masked = lambda t: "<*>" if re.search("[0-9]", t) else t
+    lines = []
+    for d, t in {(d, t) for d, t in rows if t is not None}:
+        lines += [((d, t), i, x, (len(x.split()), *map(masked, x.split()[:3]))) for i, x in enumerate(t.split("\n")) if x.strip()]
+    docs = defaultdict(set)
+    for doc, _, _, leaf in lines:
+        docs[leaf].add(doc)
+    hot = {leaf for leaf, x in docs.items() if len(x) >= least}
+    votes = {}
+    for doc in {x[0] for x in lines}:
+        mine = [x for x in lines if x[0] == doc]
+        own, shared = [x[2] for x in mine if x[3] not in hot], [x[3] for x in mine if x[3] in hot]
+        more = sum(len(x) for x in own) - sum(len(x[2]) for x in mine if x[3] in hot)
+        shared = [order[x[2]][1] for x in mine if x[3] in hot]
+        votes[doc] = ("leaf", min(shared)) if more < 0 and shared else ("line", min(order[x][0] for x in own) if own else "")
+    voted = lambda leaf: {votes[x[0]] for x in lines if x[3] == leaf}
+    hot = {leaf for leaf in hot if len(voted(leaf)) >= least}
+    kept = [x for x in lines if x[3] in hot]
+    totals, counts = Counter(x[3] for x in kept), Counter()
+    for _, _, x, leaf in kept:
+        counts.update((leaf, i, masked(t)) for i, t in enumerate(x.split()))
+    found = defaultdict(set)
+    spots = []
+    for doc, i, x, leaf in kept:
+        last = max(1, ceil(round(log(totals[leaf] / least) / log(1 / share), 9)))
+        for level in range(1, last + 1):
+            bar = max(least, ceil(round(totals[leaf] * share**level, 9)))
+            shape = [t if t != "<*>" and counts[leaf, k, t] >= bar else "<*>" for k, t in enumerate(map(masked, x.split()))]
+            if 2 * sum(t != "<*>" for t in shape) >= len(shape):
+                found[" ".join(shape)].add(votes[doc])
+                spots.append((doc, i, " ".join(shape)))
+    return {(doc, i) for doc, i, shape in spots if len(found[shape]) >= least}
+
+
+def test_lines_dropped_equal_brute_force(spark):
+    rng = np.random.default_rng(31)
+    footer = [prose(7, rng) for _ in range(5)]
+    shared = [prose(int(rng.integers(3, 9)), rng) for _ in range(6)]
+    rows = []
+    for i in range(150):
+        body = [prose(int(rng.integers(4, 14)), rng) for _ in range(int(rng.integers(8, 13)))]
+        body += [x for x in shared if rng.random() < 0.25] + [f"Entry {i} seen at {i * 3}:{i} by node {int(rng.integers(9))}"] * int(rng.random() < 0.4)
+        rows.append((i, "\n".join([*rng.permutation(body), *(footer if i % 3 == 0 else [])])))
+    rows += [(500 + i, rows[1][1]) for i in range(30)] + [rows[0], (None, rows[2][1]), (900, None), (901, ""), (902, "\n\n")]
+    hashed = linededup._lines(frame(spark, rows)).select("line", F.xxhash64("line").alias("hash"), "leaf").distinct().collect()
+    gone = brute_lines(rows, {r["line"]: (r["hash"], r["leaf"]) for r in hashed})
+    assert any(t.split("\n")[i] in footer[1:4] for (_, t), i in gone)
+    for r in linededup.dedup_lines(frame(spark, rows)).collect():
+        for t in {t for d, t in rows if d == r["doc_id"]}:
+            want = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if ((r["doc_id"], t), i) not in gone)
+            if r["text"] == want:
+                break
+        else:
+            raise AssertionError(r["doc_id"])
+
+
+def test_a_hundred_times_larger_leaf_drops_the_same_lines(spark):
+    rng = np.random.default_rng(32)
+    said = [f"on day {i} the gate was opened by hand" for i in range(30)]
+    quiet = [(i, f"{prose(12, rng)}\n{x}\n{prose(11, rng)}") for i, x in enumerate(said)]
+    loud = [(1000 + i, f"{prose(12, rng)}\non day {i} {prose(7, rng)}\n{prose(11, rng)}") for i in range(3000)]
+    for rows in (quiet, quiet + loud):
+        got = {r["doc_id"]: r["n_dropped"] for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+        assert all(got[i] == 1 for i in range(30)) and not any(n for d, n in got.items() if d >= 1000)
+
+
 # --- packing --------------------------------------------------------------------
 
 
@@ -401,6 +473,24 @@ def test_links_inside_a_large_family_under_the_bar_are_found(spark):
     assert got == brute_groups(rows, 2, 80)
 
 
+def test_groups_of_the_test_data_equal_an_exact_join(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op7_near_duplicates"](spark, "/root/testdata/sf0.01").collect()}
+    # Words end at ASCII white space, which str.split of bytes does too.
+    assert got == brute_groups([(r["doc_id"], r["text"]) for r in docs.collect()], 2, 80)
+
+
+def test_groups_of_rows_without_ids_and_repeated_rows(spark):
+    rng = np.random.default_rng(33)
+    a, b = prose(60, rng), prose(60, rng)
+    near = lambda t: t + " end"
+    rows = [(None, a), (None, near(a)), (5, near(near(a))), (5, near(near(a))), (None, b), (None, near(b)), (7, None), (None, ""), (8, "")]
+    got = [(r["doc_id"], r["component_id"]) for r in minhash.groups(frame(spark, rows)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(None, 5)] * 2 + [(5, 5)] * 2 + [(None, None)] * 3 + [(7, 7), (8, 8)]))
+    out = minhash.drop_near_duplicates(frame(spark, [(d, t, 1, "s") for d, t in rows], "doc_id long, text string, root int, cls string"))
+    assert out.columns == ["doc_id", "text", "root", "cls"] and out.filter("doc_id = 5").count() == 2
+
+
 def test_one_of_each_group_stays(spark, docs):
     out = minhash.drop_near_duplicates(docs)
     assert out.columns == docs.columns

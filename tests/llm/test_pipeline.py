@@ -2,6 +2,7 @@
 
 import corpus_pipeline as P
 import numpy as np
+from pyspark.sql import functions as F
 from test_ops import brute_contamination, brute_groups
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +48,18 @@ def test_empty_tables_pass(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_keep_further_columns_whatever_their_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    named = "score x n_lines n_dropped spans n_removed _gone _id fp root items text_ key N_TOKENS".split()
+    wide = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in named])
+    odd = spark.createDataFrame([(None, None, None, None, None, *["v"] * len(named)), (None, "one two", "en", "s", 7, *["v"] * len(named)), (10**9, "", "en", "s", 0, *["v"] * len(named))], wide.schema)
+    wide = wide.unionByName(odd).unionByName(wide.limit(1))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns, name
+        for r in out.filter("doc_id < 1000000").collect():
+            assert all(r[c] == f"{c}:{r['doc_id']}" for c in named), name
+    packed = P.STAGES[-1][1](spark, wide, SF)
+    assert packed.count() == wide.count() and set(named) - {"N_TOKENS"} <= set(packed.columns)
