@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ringside.llm import decontam, linededup, minhash, packing, quality
 from ringside.llm.common import held_out, save, ship, table
 
-#: Documents that score lower are rejected.
-LEAST_QUALITY = 0.5
+#: Documents that score lower are rejected; the bar of the quality query's prediction.
+LEAST_QUALITY = 0.7
 
 
 def _beside(docs: DataFrame, added: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
