@@ -26,6 +26,17 @@ PALETTE = ["#D4AF37", "#1E6FD9", "#2FBF71", "#C0392B", "#9B59B6", "#E67E22", "#1
 MANIFEST = "fight_id STRING, episode INT, bots ARRAY<STRING>, role STRING, synthetic BOOLEAN, yt_id STRING, fight_start_s STRING, fight_end_s STRING, winner STRING, method STRING, time_s STRING"
 
 
+# How the pages are written. A season's heading ends in a record,
+# an opponent has a prefix and may have a seed, a robot's card is a link, and
+# the weapon stands behind its label; some links are to the list itself.
+SEASON_RECORD = r"\s+\d+-\d+$"
+OPPONENT_PREFIX, OPPONENT_SEED = r"^(?i:vs)\.\s*", r"\s*\(\d+\)\s*$"
+CARD_LINK = r'(?is)href="[^"]*/robots?/[a-z0-9-]+/?"[^>]*>([^<]{2,40})<'
+WEAPON_LABEL = r"(?i)weapon(?:\s+type)?\s*:?\s*(?:<[^>]*>\s*)*([^<]{3,60})"
+CARD_CHARS = 1500
+LIST_LINKS = ("", "robots", "the robots", "meet the robots")
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """The hand-edited YAML registry: a few dozen rows, read on the driver
     through Spark's text reader, so any path Spark knows will do."""
@@ -72,7 +83,7 @@ def roster_classes(spark: SparkSession, path: str) -> DataFrame:
     the last of repeated names counts."""
     rows = spark.read.csv(path, header=True, schema="name STRING, weapon_class STRING, weapon_text STRING, record STRING")
     cls = F.coalesce(F.nullif(F.trim("weapon_class"), F.lit("")), F.lit("other"))
-    named = rows.select(F.lower(F.trim("name")).alias("bot"), cls.alias("class"), F.monotonically_increasing_id().alias("_n")).filter("bot <> ''")
+    named = rows.select(F.lower(F.trim("name")).alias("bot"), cls.alias("class"), F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("_n")).filter("bot <> ''")
     return named.groupBy("bot").agg(F.max_by("class", "_n").alias("class"))
 
 
@@ -113,26 +124,26 @@ def history_rows(rows: DataFrame, bot: Column) -> DataFrame:
     versus = F.lower(c[1]).startswith("vs.")
     df = rows.filter(F.size("cells") == 3).withColumn("_vs", versus).withColumn("_any", F.max(versus).over(w)).filter("_any")
     banner = (c[0] == c[1]) & (c[1] == c[2]) & (c[0] != "") & ~F.col("_vs")
-    season = F.when(banner & (F.upper(c[0]) != F.upper(bot)), F.regexp_replace(c[0], r"\s+\d+-\d+$", ""))
+    season = F.when(banner & (F.upper(c[0]) != F.upper(bot)), F.regexp_replace(c[0], SEASON_RECORD, ""))
     ordered = w.orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("season", F.last(season, ignorenulls=True).over(ordered)).filter("_vs")
-    opponent = F.trim(F.regexp_replace(F.regexp_replace(c[1], r"^(?i:vs)\.\s*", ""), r"\s*\(\d+\)\s*$", ""))
+    opponent = F.trim(F.regexp_replace(F.regexp_replace(c[1], OPPONENT_PREFIX, ""), OPPONENT_SEED, ""))
     out = df.select("page", bot.alias("bot"), "season", F.nullif(c[0], F.lit("")).alias("stage"), opponent.alias("opponent"), F.lower(c[2]).startswith("w").alias("won"), result_method(c[2]).alias("method"), c[2].alias("result_text"))
     return out.filter("opponent <> ''")
 
 
 def roster_cards(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, name, weapon_text, weapon_class): cards that link to a robot, the
-    first of each name; the weapon is looked for in the next 1500 characters."""
+    first of each name; the weapon is looked for in the next CARD_CHARS characters."""
     from ringside.functions.text import WEAPON_RULES
 
-    card = r'(?is)href="[^"]*/robots?/[a-z0-9-]+/?"[^>]*>([^<]{2,40})<'
-    names = F.regexp_extract_all(F.col(html), F.lit(card), F.lit(1))
-    after = F.slice(F.split(html, card, -1), 2, 1_000_000)
+    names = F.regexp_extract_all(F.col(html), F.lit(CARD_LINK), F.lit(1))
+    parts = F.split(html, CARD_LINK, -1)
+    after = F.slice(parts, F.lit(2), F.size(parts))
     both = pages.select(key, F.posexplode(F.arrays_zip(names.alias("name"), after.alias("after"))).alias("at", "c"))
     name = F.trim(F.regexp_replace("c.name", r"\s+", " "))
-    weapon = F.trim(F.regexp_extract(F.substring("c.after", 1, 1500), r"(?i)weapon(?:\s+type)?\s*:?\s*(?:<[^>]*>\s*)*([^<]{3,60})", 1))
-    rows = both.select(key, "at", name.alias("name"), weapon.alias("weapon_text")).filter(~F.lower("name").isin("", "robots", "the robots", "meet the robots"))
+    weapon = F.trim(F.regexp_extract(F.substring("c.after", 1, CARD_CHARS), WEAPON_LABEL, 1))
+    rows = both.select(key, "at", name.alias("name"), weapon.alias("weapon_text")).filter(~F.lower("name").isin(*LIST_LINKS))
     first = F.row_number().over(Window.partitionBy(key, F.lower("name")).orderBy("at"))
     cls = first_rule(F.when(F.col("weapon_text") != "", F.col("weapon_text")).otherwise(F.col("name")), WEAPON_RULES)
     return rows.withColumn("_rn", first).filter("_rn = 1").select(key, "name", "weapon_text", cls.alias("weapon_class"))

@@ -1,7 +1,14 @@
-"""Streaming forms of the causal operators: the same results, row by row."""
+"""Streaming forms of the causal operators: the same results, row by row.
+
+Stateful forms keep a small state a key for as long as the stream runs. They
+take a micro-batch's rows in order of time; a row that comes in a later batch
+than its successors is late, and each form says what becomes of it.
+"""
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +37,8 @@ def interval_sums(stream: DataFrame, keys: list[str], ts: str, v: str, span: str
 
 def debounced(stream: DataFrame, key: str, t: str, gap: float) -> DataFrame:
     """The greedy debounce: state is each key's last accepted time. Rows of a
-    batch are taken in order of t; a row at or before the last accepted one is
-    not accepted."""
+    batch are taken in order of t; a late row at or before the last accepted
+    one is not accepted."""
     kinds = dict(stream.dtypes)
 
     def run(k, batches, state: GroupState):
@@ -50,7 +57,8 @@ def debounced(stream: DataFrame, key: str, t: str, gap: float) -> DataFrame:
 
 
 def rolling_mean(stream: DataFrame, key: str, t: str, v: str, rows: int = 100) -> DataFrame:
-    """The trailing mean of ``rows`` rows: state is the last rows' values."""
+    """The trailing mean of ``rows`` rows: state is the last rows' values. A
+    late row counts where it arrives."""
     kinds = dict(stream.dtypes)
 
     def run(k, batches, state: GroupState):
@@ -64,6 +72,55 @@ def rolling_mean(stream: DataFrame, key: str, t: str, v: str, rows: int = 100) -
     return stream.select(key, F.col(t).cast("double").alias(t), F.col(v).cast("double").alias(v)).groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {t} double, roll double", "past array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def filled(stream: DataFrame, key: str, sec: str, v: str, fill: float) -> DataFrame:
+    """The dense forward fill: from second 0 on, each second up to the last one
+    seen, with the value last known. A late second is left out: its row was
+    filled already."""
+    kinds = dict(stream.dtypes)
+
+    def run(k, batches, state: GroupState):
+        at, value = state.get if state.exists else (-1, fill)
+        rows = pd.concat(list(batches)).sort_values(sec)
+        secs, values = [], []
+        for s, x in zip(rows[sec].tolist(), rows[v].tolist(), strict=True):
+            if s <= at:
+                continue
+            secs += range(at + 1, s + 1)
+            values += [value] * (s - at - 1)
+            value = value if pd.isna(x) else float(x)
+            values.append(value)
+            at = s
+        state.update((int(at), float(value)))
+        yield pd.DataFrame({key: [k[0]] * len(secs), sec: secs, v: values})
+
+    rows = stream.select(key, F.col(sec).cast("long").alias(sec), F.col(v).cast("double").alias(v))
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {sec} long, {v} double", "at long, value double", "append", GroupStateTimeout.NoTimeout)
+
+
+def walk_forward(stream: DataFrame) -> DataFrame:
+    """Each fight's P(bot_a wins) before its result, from fights (league,
+    fight_id, bot_a, bot_b, winner) that arrive in order; the state of a league
+    is its ratings. A late fight is rated when it arrives."""
+    from ringside.operators.prebout import RATING, League
+
+    def run(k, batches, state: GroupState):
+        league = League()
+        if state.exists:
+            league.rating, league.games, met = json.loads(state.get[0])
+            league.met = {tuple(pair): tuple(v) for pair, v in met}
+        out = []
+        for r in pd.concat(list(batches)).sort_values("fight_id").itertuples(index=False):
+            a, b, y = r.bot_a.lower(), r.bot_b.lower(), float(r.winner == r.bot_a)
+            e, p = league.forecast(a, b, ("other", "other"), (RATING, RATING))
+            league.learn(a, b, ("other", "other"), (RATING, RATING), e, y)
+            out.append((k[0], str(r.fight_id), p, y))
+        state.update((json.dumps([league.rating, league.games, [[pair, v] for pair, v in league.met.items()]]),))
+        yield pd.DataFrame(out, columns=["league", "fight_id", "p", "y"])
+
+    rows = stream.select("league", "fight_id", "bot_a", "bot_b", "winner")
+    return rows.groupBy("league").applyInPandasWithState(run, "league string, fight_id string, p double, y double", "league string", "append", GroupStateTimeout.NoTimeout)
+
+
 def drained(result: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all there is, into a memory table (tests, replays of
     small streams)."""
