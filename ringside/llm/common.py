@@ -2,33 +2,23 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ringside.shipping import ship
+
+__all__ = ["held_out", "lower_ascii", "save", "shared_dir", "ship", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
-_SHIPPED: set[str] = set()
 _OWN: dict[str, str] = {}
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once a session."""
-    context = spark.sparkContext
-    if context.applicationId not in _SHIPPED:
-        package = Path(__file__).resolve().parents[1]
-        into = os.path.join(tempfile.mkdtemp(prefix="ringside-"), package.name)
-        context.addPyFile(shutil.make_archive(into, "zip", package.parent, package.name))
-        _SHIPPED.add(context.applicationId)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,12 +31,17 @@ def lower_ascii(text: Column) -> Column:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where the session names none (tests in local mode)."""
+    temporary one where a local session names none (tests). On a cluster there
+    is no such folder to fall back to."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found and context.applicationId not in _OWN:
+    if found:
+        return found
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _OWN:
         _OWN[context.applicationId] = tempfile.mkdtemp(prefix="ringside-")
-    return found or _OWN[context.applicationId]
+    return _OWN[context.applicationId]
 
 
 def save(df: DataFrame, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, ship
 
 SAMPLE = 20_000
 FEATURES = (
@@ -63,6 +63,7 @@ def measured(documents: DataFrame) -> DataFrame:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([measure(t) for t in texts])
 
+    ship(documents.sparkSession)
     return documents.withColumn("x", run("text")).drop("text")
 
 
@@ -171,6 +172,7 @@ def score(rows: DataFrame, model: dict) -> DataFrame:
     def run(x: pd.Series) -> pd.Series:
         return pd.Series(predict(model, np.stack(x.to_numpy())) if len(x) else np.zeros(0))
 
+    ship(rows.sparkSession)
     return rows.withColumn("score", run("x"))
 
 
@@ -182,4 +184,5 @@ def score_texts(documents: DataFrame, model: dict) -> DataFrame:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(predict(model, np.array([measure(t) for t in texts])) if len(texts) else np.zeros(0))
 
+    ship(documents.sparkSession)
     return documents.withColumn("score", run("text"))

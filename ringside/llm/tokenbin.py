@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, ship
 
 BLOCK = 128
 PERCENTILE = 0.9
@@ -304,6 +304,7 @@ def write_ids(documents: DataFrame, tokenizer: str | None = None, end_id: int =
     rows that share a doc_id follow in the order of their texts. A text
     longer than a segment gets a segment of its own. No rows: no segments.
     """
+    ship(documents.sparkSession)
     path = tokenizer or default_tokenizer()
 
     def run(batches):
@@ -348,6 +349,7 @@ def read_ids(segments: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     """Reads the segments: doc_id, start (ids of all documents before it),
     n_tokens, ids_crc32 (over the ids as little-endian u32). The segments'
     starts are broadcast while there are ``broadcast_rows`` of them or fewer."""
+    ship(segments.sparkSession)
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
     sums = segments.groupBy("shard").agg(F.sum(total).alias("n"))
     # One row a shard: as many as the write had partitions.

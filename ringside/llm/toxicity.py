@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, ship
 
 SAMPLE = 3_000
 TOXIC_WORDS, PLAIN_WORDS, POOL = 96, 32, 2_000
@@ -256,6 +256,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, held: dict[int, int] | None
     those with the least hashes. ``held``: the classes' sizes, where the table
     is a sample already. Rows without a label are left out. With one class
     alone, or none, the model gives every text the share of ones seen (none: 0)."""
+    ship(labelled.sparkSession)
     rows = labelled.filter("y is not null").select(F.coalesce("text", F.lit("")).alias("text"), F.col("y").cast("int"))
     order = F.xxhash64("text")
     parts = [rows.filter(F.col("y") == y).orderBy(order).limit(sample) for y in (0, 1)]
@@ -307,6 +308,8 @@ def score(documents: DataFrame, model: dict) -> DataFrame:
     if "share" in model:
         return documents.withColumn("score", F.lit(float(model["share"])))
 
+    ship(documents.sparkSession)
+
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
         own = kernel(model["marks"])

@@ -1,7 +1,6 @@
 """The corpus operators against brute force on small tables, with nulls, empty
 and long texts, ties, repeated rows, empty tables and clashing columns."""
 
-import hashlib
 import re
 import zlib
 
