@@ -52,11 +52,10 @@ SELECT user_id, fights, round(screen_s, 6) AS screen_s, round(attn_index, 6) AS
   wins || '-' || losses AS record, round(CASE WHEN wins + losses > 0 THEN wins / (wins + losses)::DOUBLE ELSE 0 END, 6) AS perf_score FROM e""")
 def league_value(spark, sf_dir):
     e = ev(spark, sf_dir)
-    index = attention.stats(e, KEY, "t", "value").select("user_id", (F.col("mean") / F.col("baseline")).alias("attn_index"))
-    rows = e.groupBy("user_id").agg(F.count("*").alias("fights"), F.sum("value").alias("screen_s"), F.count_if(F.col("event_type") == "purchase").alias("wins"), F.count_if(F.col("event_type") == "error").alias("losses"))
+    index = F.avg("value") / F.percentile("value", 0.2)
+    out = e.groupBy("user_id").agg(F.count("*").alias("fights"), F.sum("value").alias("screen_s"), index.alias("attn_index"), F.count_if(F.col("event_type") == "purchase").alias("wins"), F.count_if(F.col("event_type") == "error").alias("losses"))
     decided = F.col("wins") + F.col("losses")
     record = F.concat_ws("-", F.col("wins").cast("string"), F.col("losses").cast("string"))
-    out = rows.join(index, "user_id")
     return out.select("user_id", "fights", r6("screen_s", "screen_s"), r6("attn_index", "attn_index"), r6(F.col("screen_s") * F.col("attn_index"), "media_value"), record.alias("record"), r6(F.when(decided > 0, F.col("wins") / decided).otherwise(0.0), "perf_score"))
 
 
