@@ -66,12 +66,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHashes(dict):
-    """64-bit word hashes, kept while there are 200 000 or fewer."""
+    """64-bit word hashes, kept while there are 100 000 or fewer."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -303,6 +303,17 @@ def test_batches_keep_the_budget_and_every_row(spark, docs):
     assert docs.columns[:2] == packing.pack(docs).columns[:2] and "score" in packing.pack(docs).columns
 
 
+def test_binning_costs_little_padding(spark):
+    rng = np.random.default_rng(41)
+    lengths = np.minimum(rng.lognormal(6.5, 1.2, 2000), 60_000).astype(int)
+    docs = frame(spark, [(i, int(n)) for i, n in enumerate(lengths)], "doc_id long, n long")
+    got = sum(r["padding"] for r in packing.pack(docs, F.col("n")).collect())
+    x, c = np.unique(lengths, return_counts=True)
+    ends = np.array(packing.boundaries(x.tolist(), c.tolist()))
+    best = (ends[np.searchsorted(ends, lengths)] - lengths).sum()
+    assert best <= got <= best + lengths.sum() / packing.FINE
+
+
 # --- token output -----------------------------------------------------------------
 
 
