@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus stages that work on the documents tables.
+"""Training-data operators: corpus stages that work on the documents tables.
 
 Nothing outside this subpackage imports it.
 """

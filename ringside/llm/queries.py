@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, linededup, minhash, packing, quality, secrets, substring, tokenbin, toxicity
+from . import alignment, decontam, fingerprints, linededup, minhash, packing, quality, secrets, substring, tokenbin, toxicity
 from .common import held_out, save, table
 
 
@@ -83,9 +83,17 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    found = save(found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"), "pair_a", "pair_b", "pair_n"), "aligned")
+    counts = save(alignment.pair_counts(found), "counts")
+    return alignment.scored(found, counts).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_decontamination, op3_line_dedup, op4_packing, op5_token_output, op6_substring_dedup, op7_near_duplicates, op8_toxicity, op9_secrets, op10_quality)
+    for f in (op1_fingerprints, op2_decontamination, op3_line_dedup, op4_packing, op5_token_output, op6_substring_dedup, op7_near_duplicates, op8_toxicity, op9_secrets, op10_quality, op11_alignment)
 }
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
