@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontam, fingerprints, linededup, minhash, packing, quality, secrets, substring, tokenbin, toxicity
+from . import alignment, decontam, fingerprints, linededup, minhash, packing, quality, secrets, substring, suffixes, tokenbin, toxicity
 from .common import held_out, save, table
 
 
@@ -91,9 +91,14 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.scored(found, counts).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.dedup_suffixes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_decontamination, op3_line_dedup, op4_packing, op5_token_output, op6_substring_dedup, op7_near_duplicates, op8_toxicity, op9_secrets, op10_quality, op11_alignment)
+    for f in (op1_fingerprints, op2_decontamination, op3_line_dedup, op4_packing, op5_token_output, op6_substring_dedup, op7_near_duplicates, op8_toxicity, op9_secrets, op10_quality, op11_alignment, op12_suffix_dedup)
 }
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
