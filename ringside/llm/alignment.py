@@ -24,16 +24,18 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .common import save, ship
 
-WORDS = 300_000
-#: Characters of text that a task aligns before it gives rows on.
-PART = 1 << 20
+#: Words that a worker keeps aligned, in two generations each.
+WORDS = 150_000
+#: Bytes of text that a task aligns before it gives rows on.
+PART = 1 << 19
 BROADCAST_ROWS = 1_000_000
 ADDED = "n_a long, n_b long, n_groups long, n_links long, groups string, pair_a array<int>, pair_b array<int>, pair_n array<int>"
 
@@ -53,8 +55,8 @@ def slices(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     at_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1)))  # noqa: B905
     at_b = dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1)))  # noqa: B905
     common = sorted(at_a.keys() & at_b.keys())
-    upto = ([f(e) for e in common] for f in (at_a.__getitem__, at_b.__getitem__))
-    return np.array(common, np.int64), *(np.array(x, np.int64) for x in upto)
+    upto = (np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (at_a, at_b))
+    return np.array(common, np.int64), *upto
 
 
 def links(ends_a: np.ndarray, ends_b: np.ndarray, common: np.ndarray, upto_a: np.ndarray, upto_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,9 +89,12 @@ class Aligner:
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         of_a = [self.bytes_a.get(i, b"") for i in range(max(self.bytes_a) + 1)]
         self.length_a, self.length_b = (np.array([len(t) for t in x], np.int64) for x in (of_a, self.bytes_b))
-        self.shown = [str(i) for i in range(max(len(of_a), len(self.bytes_b)))]
+        shown = [str(i) for i in range(max(len(of_a), len(self.bytes_b)))]
+        # An id before a comma, before the bar, and before a semicolon.
+        self.shown, self.n_shown = np.array([x + mark for mark in ",|;" for x in shown], object), len(shown)
         self.by_word = not any(b" " in t.lstrip(b" ") for t in self.bytes_b)
         self.words: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -101,8 +106,7 @@ class Aligner:
         return of_a, self.b.encode(texts, num_threads=1)
 
     def _aligned(self, parts: list[str], ids_a: list[int], ids_b: list[int]) -> list[tuple] | None:
-        """(n_a, n_b, n_groups, groups, link pairs as bytes) of each of
-        ``parts``, whose ids are those of all, each behind a space. None where
+        """(sizes, groups, link pairs as bytes) of each of ``parts``, whose ids are those of all, each behind a space. None where
         the tokens don't give back the bytes, or no group ends with a part."""
         raw = [b" " + p.encode("utf-8", "surrogatepass") for p in parts]
         whole = b"".join(raw)
@@ -117,18 +121,27 @@ class Aligner:
             return None
         link_a, link_b, upto = links(ends_a, ends_b, common, upto_a, upto_b)
         pairs = (a[link_a] << 32 | b[link_b]).tobytes()
-        shown_a, shown_b = [self.shown[i] for i in ids_a], [self.shown[i] for i in ids_b]
-        groups, x, y = [], 0, 0
-        for to_x, to_y in zip(upto_a.tolist(), upto_b.tolist(), strict=True):
-            groups.append(f"{shown_a[x] if to_x == x + 1 else ','.join(shown_a[x:to_x])}|{shown_b[y] if to_y == y + 1 else ','.join(shown_b[y:to_y])}")
-            x, y = to_x, to_y
-        counts = np.stack([upto_a[at], upto_b[at], at + 1, 8 * upto[at]], axis=1).tolist()
-        out, (x, y, g, p) = [], (0, 0, 0, 0)
-        for to_x, to_y, to_g, to_p in counts:
-            out.append((to_x - x, to_y - y, to_g - g, ";".join(groups[g:to_g]), pairs[p:to_p]))
-            x, y, g, p = to_x, to_y, to_g, to_p
+        shown = self._shown(a, b, upto_a, upto_b)
+        n_a, n_b, n_groups = (np.diff(x, prepend=0).tolist() for x in (upto_a[at], upto_b[at], at + 1))
+        # The three numbers as one, so that a text's are added up at once.
+        sizes = [x << 80 | y << 40 | z for x, y, z in zip(n_a, n_b, n_groups, strict=True)]
+        out, x, p = [], 0, 0
+        for n, to_x, to_p in zip(sizes, (upto_a[at] + upto_b[at]).tolist(), (8 * upto[at]).tolist(), strict=True):
+            out.append((n, "".join(shown[x:to_x]), pairs[p:to_p]))
+            x, p = to_x, to_p
         return out
 
+    def _shown(self, a: np.ndarray, b: np.ndarray, upto_a: np.ndarray, upto_b: np.ndarray) -> list[str]:
+        """The ids of all groups in the order in which they are written, each
+        with the mark behind it."""
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[upto_a - 1] = last_b[upto_b - 1] = True
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        code = np.empty(len(a) + len(b), np.int64)
+        code[np.arange(len(a)) + np.concatenate([[0], upto_b])[group_a]] = a + self.n_shown * last_a
+        code[np.arange(len(b)) + upto_a[group_b]] = b + 2 * self.n_shown * last_b
+        return self.shown[code].tolist()
+
     def _learn(self, new: list[str]) -> None:
         """Aligns new words, many as one text. None stands for a word whose
         texts are aligned whole."""
@@ -147,11 +160,14 @@ class Aligner:
     def align(self, texts: list[str | None]) -> list[tuple]:
         """A row of ADDED for each text."""
         if len(self.words) > WORDS:
-            self.words.clear()
+            self.words, self.older = {}, self.words
         split = [t.split(" ") if t and self.by_word else [] for t in texts]
         known = self.words
-        self._learn(list(set().union(*split).difference(known)))
-        found = [[known[w] for w in words] for words in split]
+        new = set().union(*split).difference(known)
+        again = new & self.older.keys()
+        known.update({w: self.older[w] for w in again})
+        self._learn(list(new - again))
+        found = [list(map(known.__getitem__, words)) for words in split]
         again = [k for k, (t, parts) in enumerate(zip(texts, found, strict=True)) if t and (not parts or None in parts)]
         for k, x, y in zip(again, *self.ids([texts[k] for k in again]), strict=True):
             found[k] = self._aligned([texts[k]], x, y) or []
@@ -159,9 +175,12 @@ class Aligner:
 
     @staticmethod
     def _row(parts: list[tuple]) -> tuple:
-        pairs, n = np.unique(np.frombuffer(b"".join([p[4] for p in parts]), np.int64), return_counts=True)
-        n_a, n_b, n_groups = (sum([p[k] for p in parts]) for k in range(3))
-        return n_a, n_b, n_groups, int(n.sum()), ";".join([p[3] for p in parts]), (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), n.astype(np.int32)
+        if not parts:
+            return 0, 0, 0, 0, "", *(np.zeros(0, np.int32) for _ in range(3))
+        sizes, shown, linked = zip(*parts, strict=True)
+        size, low = sum(sizes), (1 << 40) - 1
+        pairs, n = np.unique(np.frombuffer(b"".join(linked), np.int64), return_counts=True)
+        return size >> 80, size >> 40 & low, size & low, int(n.sum()), "".join(shown)[:-1], (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), n.astype(np.int32)
 
 
 def byte_letters() -> dict[str, int]:
@@ -203,15 +222,15 @@ def align(documents: DataFrame, tokenizers: tuple[str, str] | None = None) -> Da
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            lo = held = 0
-            for k, t in enumerate(texts, 1):
-                held += len(t or "")
-                if held >= PART or k == len(texts):
-                    rows = zip(*aligner(*paths).align(texts[lo:k]), strict=True)
-                    new = [pa.array(values, kind) for values, kind in zip(rows, schema.types, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*batch.slice(lo, k - lo).columns, *new], names=[*batch.schema.names, *schema.names])
-                    lo, held = k, 0
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < len(size):
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + PART, "right")))
+                part = batch.slice(lo, hi - lo)
+                rows = zip(*aligner(*paths).align(part.column(at).to_pylist()), strict=True)
+                new = [pa.array(values, kind) for values, kind in zip(rows, schema.types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*batch.schema.names, *schema.names])
+                lo = hi
 
     return base.mapInArrow(run, StructType([*base.schema.fields, *added.fields]))
 
