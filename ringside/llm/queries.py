@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontam, fingerprints, linededup, minhash, packing, quality, secrets, substring, suffixes, tokenbin, toxicity
+from . import alignment, decontam, fingerprints, linededup, minhash, packing, phrases, quality, secrets, substring, suffixes, tokenbin, toxicity
 from .common import held_out, save, table
 
 
@@ -96,9 +96,13 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_decontamination, op3_line_dedup, op4_packing, op5_token_output, op6_substring_dedup, op7_near_duplicates, op8_toxicity, op9_secrets, op10_quality, op11_alignment, op12_suffix_dedup)
+    for f in (op1_fingerprints, op2_decontamination, op3_line_dedup, op4_packing, op5_token_output, op6_substring_dedup, op7_near_duplicates, op8_toxicity, op9_secrets, op10_quality, op11_alignment, op12_suffix_dedup, op13_collocations)
 }
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -112,4 +116,17 @@ n AS (SELECT doc_id, count(DISTINCT place) n_hit FROM (SELECT doc_id, unnest(ran
 s AS (SELECT doc_id, count(DISTINCT item) n_items, string_agg(DISTINCT item, ',' ORDER BY item) items FROM h GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)""",
+    "op13_collocations": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) piece FROM d)),
+g AS (SELECT lang, m, array_to_string(w[k : k + m - 1], ' ') phrase, w[k] w1, w[k + m - 1] w9, array_to_string(w[k : k + m - 2], ' ') head, array_to_string(w[k + 1 : k + m - 1], ' ') rest
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) k FROM p, (VALUES (1), (2), (3)) x(m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, any_value(w1) w1, any_value(w9) w9, any_value(head) head, any_value(rest) rest, count(*) a FROM g GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(len(w))::BIGINT n FROM p GROUP BY 1),
+c AS (SELECT lang, phrase, m, a, 1 k, w1 x, rest y FROM f WHERE m > 1 UNION ALL SELECT lang, phrase, m, a, 2, head, w9 FROM f WHERE m = 3),
+s AS (SELECT c.*, u.a l, v.a r, (1000000::HUGEINT * c.a * c.a) // (u.a::HUGEINT * v.a) score FROM c JOIN f u ON u.lang = c.lang AND u.phrase = c.x JOIN f v ON v.lang = c.lang AND v.phrase = c.y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, part, max(a) longer FROM (SELECT lang, head part, a FROM f WHERE m = 3 UNION ALL SELECT lang, rest, a FROM f WHERE m = 3) GROUP BY 1, 2),
+r AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, phrase) "rank" FROM b LEFT JOIN o ON o.lang = b.lang AND o.part = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * b.a)
+SELECT lang, "rank", phrase, a, l, r, n, score::BIGINT AS score FROM r JOIN n USING (lang) WHERE "rank" <= 2000""",
 }
