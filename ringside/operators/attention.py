@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ringside.functions.numeric import falsy
 
 from .matching import band_join
+from .selection import quantile
 
-LIFT_WINDOW_S, CRITICAL_Q, ACCURACY = 5.0, 0.70, 20_000
+LIFT_WINDOW_S, CRITICAL_Q = 5.0, 0.70
 
 
 def stats(points: DataFrame, keys: list[str], t: str, v: str, method: str = "linear") -> DataFrame:
@@ -35,19 +36,10 @@ def lift(events: DataFrame, points: DataFrame, base: DataFrame, keys: list[str],
 
 
 def critical_threshold(points: DataFrame, v: str = "value", q: float = CRITICAL_Q) -> DataFrame:
-    """One row: the linear quantile of all values pooled, exactly. A sketch
-    brackets it; only the counts of the values between (a few in ACCURACY of
-    all rows) meet in one task."""
-    near = [max(0.0, q - 3 / ACCURACY), min(1.0, q + 3 / ACCURACY)]
-    bracket = points.agg(F.percentile_approx(v, F.lit(near), ACCURACY).alias("_near"))
-    rows = points.select(F.col(v).alias("v")).filter("v is not null").crossJoin(F.broadcast(bracket))
-    below = rows.agg(F.count_if(F.col("v") < F.col("_near")[0]).alias("below"), F.count("*").alias("n"))
-    inside = rows.filter((F.col("v") >= F.col("_near")[0]) & (F.col("v") <= F.col("_near")[1])).groupBy("v").agg(F.count("*").alias("c"))
-    held = inside.agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("held")).crossJoin(F.broadcast(below))
-    at = q * (F.col("n") - 1)
-    rank = lambda k: F.aggregate("held", F.struct(F.col("below").alias("n"), F.lit(None).cast("double").alias("v")), lambda s, x: F.struct((s["n"] + x["c"]).alias("n"), F.when(s["v"].isNull() & (s["n"] + x["c"] > k), x["v"].cast("double")).otherwise(s["v"]).alias("v")), lambda s: s["v"])
-    lo, hi = rank(F.floor(at)), rank(F.ceil(at))
-    return held.select((lo + (hi - lo) * (at - F.floor(at))).alias("threshold"))
+    """One row: the linear quantile of all values pooled, exactly; NULL
+    without any. The value is selected now, pass by pass."""
+    found = quantile(points, v, q)
+    return points.sparkSession.range(1).select(F.lit(found).cast("double").alias("threshold"))
 
 
 def spacing(points: DataFrame, keys: list[str], t: str) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import fold
+from ringside.saving import save
 
 HIT_FACTOR, HIT_RANGE_M, MIN_GAP_S = 4.0, 2.5, 3.0
 
@@ -26,21 +24,83 @@ def bursts(df: DataFrame, keys: list[str], order: list[str], t: str, gap: float
     return df.withColumn("_begin", begin).withColumn("burst", F.sum("_begin").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_begin")
 
 
-def debounced(df: DataFrame, keys: list[str], fields: list[str], t: str, gap: float) -> DataFrame:
-    """The rows a greedy pass accepts: the first, and each at least ``gap``
-    after the last accepted one. One ordered pass a key, linear in its rows."""
-    rows = df.select(*keys, *fields)
-    kinds = dict(rows.dtypes)
+#: Rows of a burst that are folded as one array.
+SHORT = 256
 
-    def step(last: list, pdf: pd.DataFrame) -> pd.DataFrame:
-        keep = np.zeros(len(pdf), bool)
-        for i, at in enumerate(pdf[t].tolist()):
-            if at is not None and (not last or at - last[0] >= gap):
-                last[:] = [at]
-                keep[i] = True
-        return pdf.loc[keep]
 
-    return fold(rows, keys, list(fields), list, step, ", ".join(f"{c} {kinds[c]}" for c in rows.columns))
+def debounced(df: DataFrame, keys: list[str], fields: list[str], t: str, gap: float) -> DataFrame:
+    """The rows a greedy pass accepts: the first, and each at least ``gap``
+    after the last accepted one. ``t`` is the first of ``fields``, which give
+    the order; rows without it go.
+
+    A row ``gap`` after the one before it is accepted whatever came earlier, and
+    those less than ``gap`` after such a head are not, so only the rest, the
+    open rows, is written and decided, burst by burst. Up to SHORT of them are
+    folded as an array; in longer bursts each points to the first that is
+    ``gap`` later, and those that the head reaches are found by doubling the
+    pointers, however many a key has."""
+    if fields[0] != t:
+        raise ValueError("t must come first in the order; see debounced_in_turn")
+    order = Window.partitionBy(*keys).orderBy(*fields)
+    rows = df.select(*keys, *fields).filter(F.col(t).isNotNull())
+    rows = rows.withColumn("_head", F.coalesce(F.col(t) - F.lag(t).over(order) >= gap, F.lit(True)))
+    rows = rows.withColumn("_from", F.last(F.when(F.col("_head"), F.col(t)), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = save(rows.filter(F.col("_head") | (F.col(t) - F.col("_from") >= gap)), "debounced")
+    out = rows.filter("_head").select(*keys, *fields)
+    open_, burst = rows.filter("not _head"), [*keys, "_from"]
+    most = open_.groupBy(*burst).count().agg(F.max("count")).first()[0]
+    if not most:
+        return out
+    many = open_.withColumn("_n", F.count("*").over(Window.partitionBy(*burst)))
+    if most <= SHORT:
+        many = open_.withColumn("_n", F.lit(1))
+    lists = many.filter(F.col("_n") <= SHORT).groupBy(*burst).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_r"))
+    # The first open row is accepted: its head is gap or more before it.
+    step = lambda kept, r: F.when(r[t] - F.element_at(kept, -1)[t] >= gap, F.concat(kept, F.array(r))).otherwise(kept)
+    folded = lists.select(*keys, F.explode(F.aggregate(F.slice("_r", 2, SHORT), F.slice("_r", 1, 1), step)).alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in fields])
+    out = out.unionByName(folded)
+    if most > SHORT:
+        long = many.filter(F.col("_n") > SHORT).withColumn("_at", F.row_number().over(Window.partitionBy(*burst).orderBy(*fields)))
+        out = out.unionByName(_reached(save(long, "bursts"), burst, t, gap).select(*keys, *fields))
+    return out
+
+
+def _reached(rows: DataFrame, burst: list[str], t: str, gap: float) -> DataFrame:
+    """The rows of bursts (numbered by _at) that the first one reaches by steps
+    of at least ``gap``."""
+    at = rows.select(*burst, F.col(t).alias("_t"), F.lit(0).alias("_ask"), "_at")
+    asks = rows.select(*burst, (F.col(t) + gap).alias("_t"), F.lit(1).alias("_ask"), "_at")
+    seen = Window.partitionBy(*burst).orderBy(F.desc("_t"), "_ask", F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
+    to = F.last(F.when(F.col("_ask") == 0, F.col("_at")), ignorenulls=True).over(seen)
+    steps = at.unionByName(asks).withColumn("_to", to).filter("_ask = 1 and _to is not null").select(*burst, "_at", "_to")
+    steps = save(steps, "steps")
+    found = rows.filter("_at = 1").select(*burst, "_at")
+    while steps.limit(1).count():
+        found = save(found.unionByName(found.join(steps, [*burst, "_at"]).select(*burst, F.col("_to").alias("_at"))), "found")
+        # Steps of twice the length.
+        after = steps.select(*burst, F.col("_at").alias("_to"), F.col("_to").alias("_then"))
+        steps = save(steps.join(after, [*burst, "_to"]).select(*burst, "_at", F.col("_then").alias("_to")), "steps")
+    return rows.join(found, [*burst, "_at"], "left_semi")
+
+
+def debounced_in_turn(df: DataFrame, keys: list[str], turn: str, turns: list, fields: list[str], t: str, gap: float) -> DataFrame:
+    """``debounced`` over a key's rows of each of ``turns`` one after the other
+    with one memory: a turn's rows count from ``gap`` after the last that the
+    turns before it accepted."""
+    out = []
+    for value in turns:
+        rows = df.filter(F.col(turn) == value).select(*keys, turn, *fields)
+        if out:
+            last = out[0]
+            for more in out[1:]:
+                last = last.unionByName(more)
+            last = last.groupBy(*keys).agg(F.max(t).alias("_last"))
+            rows = rows.join(last, keys, "left").filter(F.col("_last").isNull() | (F.col(t) - F.col("_last") >= gap)).drop("_last")
+        out.append(debounced(rows, keys, fields, t, gap).withColumn(turn, F.lit(value)))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def sustained(df: DataFrame, keys: list[str], order: list[str], below: Column, least: int, t: str) -> DataFrame:
@@ -114,8 +174,10 @@ def hazards(frames: DataFrame, per_bot: bool = False, factor: float = HIT_FACTOR
     spiked = spikes(frames, ["fight_id"], "joint", factor).filter("sep > 3.0")
     side = lambda n, bot, other, wall: spiked.filter(F.col(wall) < 1.2).select("fight_id", F.lit(n).alias("side"), "t", F.round(F.col("joint") / 2, 2).alias("magnitude"), F.col(other).alias("actor"), F.col(bot).alias("target"))
     rows = side(0, "bot_a", "bot_b", "wall_a").unionByName(side(1, "bot_b", "bot_a", "wall_b"))
-    fields = ["side", "t", "magnitude", "actor", "target"]
-    return debounced(rows, ["fight_id", "side"] if per_bot else ["fight_id"], fields[1:] if per_bot else fields, "t", MIN_GAP_S).drop("side")
+    fields = ["t", "magnitude", "actor", "target"]
+    if per_bot:
+        return debounced(rows, ["fight_id", "side"], fields, "t", MIN_GAP_S).drop("side")
+    return debounced_in_turn(rows, ["fight_id"], "side", [0, 1], fields, "t", MIN_GAP_S).drop("side")
 
 
 def merged(found_hits: DataFrame, found_hazards: DataFrame, kos: DataFrame) -> DataFrame:

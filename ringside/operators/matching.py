@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringside.functions.text import whole_name
 
+from .folds import fold
+
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str, before: float, after: float) -> DataFrame:
     """Pairs with equal keys and rt in [lt - before, lt + after]. Both sides are
@@ -29,15 +34,16 @@ def interval_sums(events: DataFrame, keys: list[str], t: str, v: str, span: int)
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str, value: str) -> DataFrame:
     """Left rows with the right row of equal keys that is nearest in t (the
-    earlier on ties), from the last right row before and the first after: one
-    shuffle and a sort for both sides, and no pairs."""
+    earlier on ties; of right rows at one time that of the greatest value).
+
+    Two as-of passes in opposed orders over both sides, dealt by key once: each
+    carries the last right row it has seen, so a row costs the same in a key of
+    any length, and no pairs are made."""
     a = left.withColumn("_at", F.col(lt)).withColumn("_side", F.lit(1))
-    b = right.select(*keys, F.col(rt).alias("_at"), F.struct(F.col(rt).alias("t"), F.col(value).alias("v")).alias("_r"), F.lit(0).alias("_side"))
+    b = right.groupBy(*keys, F.col(rt).alias("_at")).agg(F.max(value).alias("_v")).select(*keys, "_at", F.struct(F.col("_at").alias("t"), F.col("_v").alias("v")).alias("_r"), F.lit(0).alias("_side"))
     both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_at", "_side")
-    prior = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    later = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("_p", prior).withColumn("_n", later).filter("_side = 1")
+    seen = lambda *order: F.last("_r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("_p", seen("_at", "_side")).withColumn("_n", seen(F.desc("_at"), "_side")).filter("_side = 1")
     take = F.when(F.col("_n").isNull() | (F.col(lt) - F.col("_p.t") <= F.col("_n.t") - F.col(lt)), F.col("_p")).otherwise(F.col("_n"))
     return found.withColumn("_t", take).select(*left.columns, F.col("_t.t").alias("near_t"), F.col("_t.v").alias("near_value"))
 
@@ -102,16 +108,30 @@ def enriched(df: DataFrame, name: str, roster: DataFrame, *columns: str) -> Data
 
 def matched_truth(truth: DataFrame, found: DataFrame, keys: list[str], tolerance: float = 1.0) -> DataFrame:
     """(keys, truth_t, found_t): truths in order each take the first unused
-    finding within ``tolerance``; a findings' order is time."""
-    pairs = band_join(truth.select(*keys, F.col("t").alias("truth_t")), found.select(*keys, F.col("t").alias("found_t")), keys, "truth_t", "found_t", tolerance, tolerance)
-    lists = pairs.groupBy(*keys, "truth_t").agg(F.sort_array(F.collect_list("found_t")).alias("near")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("truth_t", "near"))).alias("all"))
-    kind = "struct<used:array<double>,out:array<struct<truth_t:double,found_t:double>>>"
-    start = F.struct(F.array().cast("array<double>").alias("used"), F.array().cast("array<struct<truth_t:double,found_t:double>>").alias("out")).cast(kind)
-
-    def step(s: Column, x: Column) -> Column:
-        free = F.get(F.array_except(x["near"], s["used"]), F.lit(0))
-        one = F.array(F.struct(x["truth_t"].cast("double").alias("truth_t"), free.cast("double").alias("found_t")))
-        grown = F.struct(F.concat(s["used"], F.array(free)).alias("used"), F.concat(s["out"], one).alias("out")).cast(kind)
-        return F.when(free.isNull(), s).otherwise(grown)
-
-    return lists.select(*keys, F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("m")).select(*keys, "m.*")
+    finding within ``tolerance``; a findings' order is time. NULL times match
+    nothing.
+
+    One merge pass a key over both sides in order of time: a finding goes to
+    the first truth that waits for one, else it waits itself; what is more than
+    ``tolerance`` old is forgotten, so the state is what stands within it."""
+    side = lambda df, n: df.select(*keys, F.col("t").cast("double").alias("t"), F.lit(n).alias("side")).filter("t is not null")
+    both = side(truth, 0).unionByName(side(found, 1))
+    kinds = dict(both.dtypes)
+
+    def step(waiting: tuple[deque, deque], pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, pairs = [], []
+        for i, (t, own) in enumerate(zip(pdf["t"].tolist(), pdf["side"].tolist(), strict=True)):
+            other = waiting[1 - own]
+            for queue in waiting:
+                while queue and t - queue[0] > tolerance:
+                    queue.popleft()
+            if other:
+                rows.append(i)
+                pairs.append((other.popleft(), t)[:: 1 if own else -1])
+            else:
+                waiting[own].append(t)
+        out = pdf.iloc[rows][keys].reset_index(drop=True)
+        return out.assign(truth_t=[p[0] for p in pairs], found_t=[p[1] for p in pairs])
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "truth_t double", "found_t double"])
+    return fold(both, keys, ["t", "side"], lambda: (deque(), deque()), step, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ringside.functions.numeric import FLOOR_M
 
 from .matching import band_join
+from .selection import order_values
 
 # Fixed values of the overlay.
 HERO_S, KO_CUSHION_S, FLASH_S = 90.0, 5.0, 0.4
@@ -69,12 +70,12 @@ def trails(df: DataFrame, keys: list[str], order: list[str], value: Column, rows
 def outliers(df: DataFrame, value: str, score: str) -> DataFrame:
     """Adds ``labelled``: rows whose value is far over the middle one with a
     low score, or far under it with a high one; all rows of four or fewer. The
-    middle is the element at half the count, found by rank."""
-    facts = df.agg(F.count("*").alias("n"))
-    ranked = df.groupBy(value).agg(F.count("*").alias("c"))
-    # A row a distinct value: the values' counts are few beside the rows.
-    upto = ranked.select(F.col(value).alias("v"), F.sum("c").over(Window.orderBy(value)).alias("upto")).crossJoin(F.broadcast(facts))
-    middle = upto.filter(F.col("upto") > F.floor(F.col("n") / 2)).agg(F.min("v").alias("_mid"), F.max("n").alias("_n"))
-    high, low = F.col(value) > 1.5 * F.col("_mid"), F.col(value) < 0.67 * F.col("_mid")
-    odd = (F.col("_n") <= 4) | (high & (F.col(score) < 0.5)) | (low & (F.col(score) > 0.5))
-    return df.crossJoin(F.broadcast(middle)).withColumn("labelled", F.coalesce(odd, F.lit(False))).drop("_mid", "_n")
+    middle is the element at half the count, selected now, pass by pass."""
+    n, found = order_values(df.select(F.col(value).cast("double").alias("v")), "v", lambda n: [n // 2])
+    total = n if n > 4 else df.count()
+    if total <= 4:
+        return df.withColumn("labelled", F.lit(True))
+    if not found:
+        return df.withColumn("labelled", F.lit(False))
+    high, low = F.col(value) > 1.5 * found[0], F.col(value) < 0.67 * found[0]
+    return df.withColumn("labelled", F.coalesce((high & (F.col(score) < 0.5)) | (low & (F.col(score) > 0.5)), F.lit(False)))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringside.functions.numeric import clip
 
+from .folds import fold
+
 WINDOW = 100
 MIN_FILL = 0.5
 
@@ -20,16 +27,42 @@ def rolling_mean(v: Column, w) -> Column:
     return F.avg(v).over(w)
 
 
-def rolling_percentile(v: Column, w, q: float, rows: int = WINDOW, min_fill: float = MIN_FILL) -> Column:
-    """Linear percentile of a trailing window, NULL under min_fill * rows values."""
-    return F.when(F.count(v).over(w) >= rows * min_fill, F.percentile(v, q).over(w))
+def moving_percentile(df: DataFrame, keys: list[str], order: list[str], v: str, out: str, q: float, rows: int = WINDOW, min_fill: float = MIN_FILL) -> DataFrame:
+    """``df`` with ``out`` added: the linear percentile of a trailing window of
+    ``rows`` rows, NULL under min_fill * rows values.
+
+    One ordered pass a key. The window's values are held sorted: a row's value
+    goes in at its place and the one that leaves is taken out, so a row costs a
+    binary search and not a sort of its window."""
+    least = max(1, math.ceil(rows * min_fill))
+    picked = df.drop(out).withColumn("_v", F.col(v).cast("double"))
+    kinds = dict(picked.dtypes)
+
+    def step(state: tuple[deque, list], pdf: pd.DataFrame) -> pd.DataFrame:
+        window, held = state
+        got = []
+        for x in pdf["_v"].tolist():
+            if len(window) == rows and (gone := window.popleft()) == gone:
+                del held[bisect_left(held, gone)]
+            window.append(x)
+            if x == x:  # NULLs come as NaN
+                insort(held, x)
+            if len(held) < least:
+                got.append(None)
+                continue
+            at = q * (len(held) - 1)
+            lo = held[int(at)]
+            got.append(lo + (held[min(int(at) + 1, len(held) - 1)] - lo) * (at - int(at)))
+        return pdf.drop(columns="_v").assign(**{out: pd.Series(got, index=pdf.index, dtype="float64")})
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in picked.columns if c != "_v"), f"`{out}` double"])
+    return fold(picked, keys, list(order), lambda: (deque(), []), step, schema)
 
 
 def mobility(df: DataFrame, keys: list[str], order: list[str], v: str, index: str, rows: int = WINDOW, base: tuple[int, int] = (100, 600), q: float = 0.9) -> DataFrame:
     """Adds ``roll`` (trailing percentile) and ``mobility``: roll over its own
     median on the base rows, held to [0, 1.5]; NULL without a positive base."""
-    w = trailing(keys, order, rows)
-    df = df.withColumn("roll", rolling_percentile(F.col(v), w, q, rows))
+    df = moving_percentile(df, keys, order, v, "roll", q, rows)
     inside = (F.col(index) >= base[0]) & (F.col(index) < base[1])
     median = F.percentile(F.when(inside, F.col("roll")), 0.5).over(Window.partitionBy(*keys))
     df = df.withColumn("_base", median)

@@ -223,8 +223,8 @@ def rolling_mean(spark, sf_dir):
 SELECT user_id, event_id, round(CASE WHEN count(value) OVER w >= 10 THEN quantile_cont(value, 0.9) OVER w END, 6) AS p90
 FROM EV WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS 19 PRECEDING)""")
 def rolling_p90_minfill(spark, sf_dir):
-    w = rolling.trailing(KEY, ORDER, 20)
-    return ev(spark, sf_dir).select("user_id", "event_id", r6(rolling.rolling_percentile(F.col("value"), w, 0.9, 20), "p90"))
+    rows = rolling.moving_percentile(ev(spark, sf_dir).select("user_id", "t", "event_id", "value"), KEY, ORDER, "value", "p90", 0.9, 20)
+    return rows.select("user_id", "event_id", r6("p90", "p90"))
 
 
 @query("""
@@ -331,7 +331,7 @@ SELECT o.user_id, o.event_id, o.side, CASE WHEN o.t - f.last >= 3600 THEN o.t EL
 SELECT user_id, side, event_id FROM f WHERE ok""")
 def hazard_fold(spark, sf_dir):
     e = ev(spark, sf_dir).filter("event_type in ('error', 'purchase')").withColumn("side", F.when(F.col("event_type") == "error", 0).otherwise(1))
-    return events.debounced(e, KEY, ["side", "t", "event_id"], "t", 3600).select("user_id", "side", "event_id")
+    return events.debounced_in_turn(e, KEY, "side", [0, 1], ["t", "event_id"], "t", 3600).select("user_id", "side", "event_id")
 
 
 @query("""

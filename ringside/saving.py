@@ -1,0 +1,36 @@
+"""Written tables in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a temporary folder where a local session names
+    none (tests). On a cluster there is no such folder to fall back to."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="ringside-")
+    return _OWN[context.applicationId]
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table into the shared folder and reads it back.
+
+    This cuts the lineage: later stages, and retries after a lost executor,
+    start from the committed files.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/ringside-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -149,6 +149,19 @@ def test_truths_take_each_finding_once(spark):
     found = frame(spark, [(1, 1.2), (1, 2.4), (1, 30.0)], "k int, t double")
     got = sorted((r["truth_t"], r["found_t"]) for r in matching.matched_truth(truth, found, ["k"]).collect())
     assert got == [(1.0, 1.2), (1.5, 2.4)]
+    rng = np.random.default_rng(9)
+    rows = {k: [np.round(rng.uniform(0, 60, 80), 1).tolist() for _ in range(2)] for k in range(4)}
+    sides = [frame(spark, [(k, t) for k in rows for t in rows[k][s]] + [(9, 1.0), (0, None)], "k int, t double") for s in (0, 1)]
+    want = []
+    for k, (truths, findings) in rows.items():
+        free = sorted(findings)
+        for t in sorted(truths):
+            near = next((f for f in free if abs(f - t) <= 0.5), None)
+            if near is not None:
+                free.remove(near)
+                want.append((k, t, near))
+    got = matching.matched_truth(*sides, ["k"], 0.5).collect()
+    assert sorted(map(tuple, got)) == sorted([*want, (9, 1.0, 1.0)])
 
 
 def test_small_operators(spark):

@@ -3,12 +3,13 @@
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ringside.functions import numeric as N
 from ringside.functions import text as T
-from ringside.operators import attention, cluster, events, grids, league, matching, momentum, prebout, rolling, segments
+from ringside.operators import attention, cluster, events, grids, league, matching, momentum, overlay, prebout, rolling, segments, selection
 from ringside.sources import corpora
 
 
@@ -234,10 +235,28 @@ def test_blur_keeps_mass_with_mirrored_edges(spark):
 
 def test_rolling_percentile_needs_half_its_rows(spark):
     rows = frame(spark, [(1, i, float(i)) for i in range(20)], "k int, i int, v double")
-    got = [r[0] for r in rows.orderBy("i").select(rolling.rolling_percentile(F.col("v"), rolling.trailing(["k"], ["i"], 10), 0.9, 10)).collect()]
+    got = [r["p"] for r in rolling.moving_percentile(rows, ["k"], ["i"], "v", "p", 0.9, 10).orderBy("i").collect()]
     assert got[:4] == [None] * 4 and got[4] == pytest.approx(3.6) and got[19] == pytest.approx(18.1)
 
 
+def test_moving_percentile_equals_numpy_over_gaps_ties_and_batches(spark):
+    rng = np.random.default_rng(7)
+    v = rng.integers(0, 9, 700).astype(float)
+    v[rng.random(700) < 0.3] = np.nan
+    rows = frame(spark, [(k, i, None if np.isnan(x) else float(x), None if i % 3 else i) for k in (1, 2) for i, x in enumerate(v)], "k int, i int, v double, note long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = rolling.moving_percentile(rows, ["k"], ["i"], "v", "p", 0.3, 40, 0.6).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 1400
+    for r in got:
+        part = v[max(0, r["i"] - 39) : r["i"] + 1]
+        part = part[~np.isnan(part)]
+        assert r["p"] == (pytest.approx(np.quantile(part, 0.3)) if len(part) >= 24 else None)
+        assert r["note"] == (None if r["i"] % 3 else r["i"])
+
+
 def test_channel_reach(spark):
     videos = frame(spark, [("Red vs Blue", 0, 1000, 0.5), ("red again", 3000, 1, None), ("Bored", 9, 9, 0.1)], "title string, views long, views_approx long, heat_peak double")
     got = {r["name"]: (r["videos"], r["total_views"], r["avg_views"]) for r in league.channel_reach(videos, frame(spark, [("Red",), ("Blue",), ("Gold",)], "name string")).collect()}
@@ -256,3 +275,68 @@ def test_manifest_history_and_cards(spark, tmp_path):
     assert [(r["season"], r["stage"], r["opponent"], r["won"], r["method"]) for r in rows] == [("Season 2", "Final", "Blue", True, "ko")]
     found = {r["name"]: r["weapon_class"] for r in corpora.roster_cards(pages, "page", "html").collect()}
     assert found == {"Red One": "hammer", "Blue": "other"}
+
+
+def greedy(times, gap, last=None):
+    out = []
+    for t in times:
+        if last is None or t - last >= gap:
+            last = t
+            out.append(t)
+    return out
+
+
+def test_debounce_of_long_and_short_bursts_equals_a_greedy_pass(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    times = {1: np.sort(rng.uniform(0, 400, 900)).round(1), 2: np.arange(700) * 0.5, 3: np.array([5.0]), 4: np.sort(rng.uniform(0, 9000, 300)), 5: np.repeat([1.0, 4.0, 7.0], 3)}
+    rows = frame(spark, [(k, float(t), i) for k, ts in times.items() for i, t in enumerate(ts)] + [(5, None, 0)], "k int, t double, i int")
+    for short in (events.SHORT, 20):
+        monkeypatch.setattr(events, "SHORT", short)
+        got = events.debounced(rows, ["k"], ["t", "i"], "t", 3.0).collect()
+        for k, ts in times.items():
+            assert sorted(r["t"] for r in got if r["k"] == k) == greedy(ts.tolist(), 3.0)
+    assert events.debounced(rows.limit(0), ["k"], ["t", "i"], "t", 3.0).count() == 0
+
+
+def test_turns_share_one_memory(spark):
+    sides = {0: [1.0, 2.0, 9.0], 1: [0.0, 10.0, 12.5, 14.0, 16.0]}
+    rows = frame(spark, [("f", s, t) for s, ts in sides.items() for t in ts] + [("g", 1, 0.0)], "k string, side int, t double")
+    got = events.debounced_in_turn(rows, ["k"], "side", [0, 1], ["t"], "t", 3.0).collect()
+    first = greedy(sides[0], 3.0)
+    want = [("f", 0, t) for t in first] + [("f", 1, t) for t in greedy(sides[1], 3.0, first[-1])] + [("g", 1, 0.0)]
+    assert sorted((r["k"], r["side"], r["t"]) for r in got) == sorted(want)
+
+
+def test_nearest_is_linear_in_a_hot_key_and_exact(spark):
+    rng = np.random.default_rng(5)
+    right = sorted({float(x) for x in rng.integers(0, 10**6, 60_000)})
+    left = [float(x) for x in rng.integers(-1000, 10**6 + 1000, 60_000)]
+    a = frame(spark, [(1, x) for x in left] + [(2, 5.0)], "k int, t double")
+    b = frame(spark, [(1, x, x * 2) for x in right] + [(1, right[0], -1.0), (3, 1.0, 1.0)], "k int, rt double, v double")
+    got = matching.nearest(a, b, ["k"], "t", "rt", "v").collect()
+    assert len(got) == len(left) + 1
+    at = np.array(right)
+    for r in got:
+        if r["k"] == 2:
+            assert r["near_t"] is None
+            continue
+        i = int(np.searchsorted(at, r["t"]))
+        near = min(at[max(0, i - 1) : i + 1], key=lambda x: (abs(x - r["t"]), x))
+        assert (r["near_t"], r["near_value"]) == (near, near * 2)
+
+
+def test_order_values_narrow_down_pass_by_pass(spark):
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(float(x),) for x in np.concatenate([rng.normal(size=9000).round(3), np.zeros(4000)])] + [(None,)], "v double").repartition(4)
+    values = sorted(r["v"] for r in rows.dropna().collect())
+    for ranks in ([0], [len(values) - 1], [6500, 6501], [len(values) // 3]):
+        n, got = selection.order_values(rows, "v", lambda n, ranks=ranks: ranks, few=50, accuracy=100)
+        assert n == len(values) and got == [values[k] for k in ranks]
+    assert selection.order_values(rows.filter("v is null"), "v", lambda n: [0]) == (0, [])
+
+
+def test_outliers_of_few_rows_and_of_none(spark):
+    rows = frame(spark, [(float(v), 0.4 if v > 50 else 0.6) for v in (1, 10, 11, 12, 100)], "v double, s double")
+    assert sorted(r["v"] for r in overlay.outliers(rows, "v", "s").filter("labelled").collect()) == [1.0, 100.0]
+    assert overlay.outliers(rows.limit(4), "v", "s").filter("labelled").count() == 4
+    assert overlay.outliers(frame(spark, [(None, 0.1)] * 6, "v double, s double"), "v", "s").filter("labelled").count() == 0
