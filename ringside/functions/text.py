@@ -83,7 +83,43 @@ def whole_name(text: Column, name: Column) -> Column:
 
 def stripped_html(html: Column) -> Column:
     """The text of an HTML string: tags out, white space squeezed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", " "), r"\s+", " "))
+    return squeezed(F.regexp_replace(html, "<[^>]*>", " "))
+
+
+#: White space of all scripts, control characters that separate included.
+SPACES = r"[\s\x1c-\x1f\x85\p{Z}]+"
+
+
+def squeezed(text: Column) -> Column:
+    """A text with single spaces between its words and none around them."""
+    return F.trim(F.regexp_replace(text, SPACES, " "))
+
+
+def stripped(text: Column) -> Column:
+    """A text without white space around it."""
+    return F.regexp_replace(text, rf"^{SPACES}|{SPACES}\z", "")
+
+
+def marks(text: Column, pattern: str) -> Column:
+    """Where a pattern stands in a text: an array of (start, stop) in
+    characters, summed up once over the lengths of the marks and of what is
+    between them."""
+    lengths = lambda xs: F.transform(xs, lambda x: F.char_length(x))
+    both = F.arrays_zip(lengths(F.split(text, pattern, -1)).alias("gap"), lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("own"))
+    kind = "struct<at:int,out:array<struct<start:int,stop:int>>>"
+
+    def step(s: Column, x: Column) -> Column:
+        start = s["at"] + x["gap"]
+        one = F.array(F.struct(start.alias("start"), (start + x["own"]).alias("stop")))
+        return F.when(x["own"].isNull(), s).otherwise(F.struct((start + x["own"]).alias("at"), F.concat(s["out"], one).alias("out")).cast(kind))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out")).cast(kind)
+    return F.aggregate(both, begin, step, lambda s: s["out"])
+
+
+def between(text: Column, start: Column, stop: Column) -> Column:
+    """The characters from ``start`` up to ``stop``."""
+    return F.substring(text, start + 1, F.greatest(stop - start, F.lit(0)))
 
 
 def links(html: Column) -> Column:

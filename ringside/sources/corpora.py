@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ringside.functions.text import first_rule, palette_index, result_method, stripped_html
+from ringside.functions.text import SPACES, between, first_rule, marks, palette_index, result_method, squeezed, stripped, stripped_html
 
 # Known colours, and the palette of all others.
 KNOWN_COLORS = {
@@ -26,14 +26,12 @@ PALETTE = ["#D4AF37", "#1E6FD9", "#2FBF71", "#C0392B", "#9B59B6", "#E67E22", "#1
 MANIFEST = "fight_id STRING, episode INT, bots ARRAY<STRING>, role STRING, synthetic BOOLEAN, yt_id STRING, fight_start_s STRING, fight_end_s STRING, winner STRING, method STRING, time_s STRING"
 
 
-# How the pages are written. A season's heading ends in a record,
-# an opponent has a prefix and may have a seed, a robot's card is a link, and
-# the weapon stands behind its label; some links are to the list itself.
-SEASON_RECORD = r"\s+\d+-\d+$"
-OPPONENT_PREFIX, OPPONENT_SEED = r"^(?i:vs)\.\s*", r"\s*\(\d+\)\s*$"
-CARD_LINK = r'(?is)href="[^"]*/robots?/[a-z0-9-]+/?"[^>]*>([^<]{2,40})<'
-WEAPON_LABEL = r"(?i)weapon(?:\s+type)?\s*:?\s*(?:<[^>]*>\s*)*([^<]{3,60})"
-CARD_CHARS = 1500
+# How the pages are written. A card links to a robot's page, whose
+# address ends in ROBOT_PAGE, with a name of NAME_CHARS characters; the weapon
+# stands, in WEAPON_CHARS characters, behind its label in the next CARD_CHARS;
+# some links are to the list itself. A tag and its text have ADDRESS_CHARS at most.
+ROBOT_PAGE = "(?i)/robots?/[a-z0-9-]+/?$"
+NAME_CHARS, WEAPON_CHARS, CARD_CHARS, ADDRESS_CHARS = (2, 40), (3, 60), 1500, 4000
 LIST_LINKS = ("", "robots", "the robots", "meet the robots")
 
 
@@ -120,14 +118,20 @@ def history_rows(rows: DataFrame, bot: Column) -> DataFrame:
     equal cells sets the season (the bot's own name doesn't), without its
     trailing record; prefixes and seeds go from opponents."""
     w = Window.partitionBy("page", "table_no")
-    c = [F.trim(F.get("cells", F.lit(k))) for k in range(3)]
+    c = [stripped(F.get("cells", F.lit(k))) for k in range(3)]
     versus = F.lower(c[1]).startswith("vs.")
-    df = rows.filter(F.size("cells") == 3).withColumn("_vs", versus).withColumn("_any", F.max(versus).over(w)).filter("_any")
+    df = rows.filter(F.size("cells") == 3).withColumn("_c1", c[1]).withColumn("_vs", versus).withColumn("_any", F.max(versus).over(w)).filter("_any")
     banner = (c[0] == c[1]) & (c[1] == c[2]) & (c[0] != "") & ~F.col("_vs")
-    season = F.when(banner & (F.upper(c[0]) != F.upper(bot)), F.regexp_replace(c[0], SEASON_RECORD, ""))
+    # A season may end in its record, wins and losses.
+    heading = squeezed(c[0])
+    record = F.substring_index(heading, " ", -1).rlike("^[0-9]+-[0-9]+$") & heading.contains(" ")
+    name = F.when(record, F.array_join(F.slice(F.split(heading, " "), F.lit(1), F.size(F.split(heading, " ")) - 1), " ")).otherwise(c[0])
+    season = F.when(banner & (F.upper(c[0]) != F.upper(bot)), name)
     ordered = w.orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("season", F.last(season, ignorenulls=True).over(ordered)).filter("_vs")
-    opponent = F.trim(F.regexp_replace(F.regexp_replace(c[1], OPPONENT_PREFIX, ""), OPPONENT_SEED, ""))
+    # Behind "vs." stands the opponent, and perhaps its seed in brackets.
+    named = stripped(F.expr("substring(_c1, 4)"))
+    opponent = stripped(F.regexp_replace(named, "[(][0-9]+[)]$", ""))
     out = df.select("page", bot.alias("bot"), "season", F.nullif(c[0], F.lit("")).alias("stage"), opponent.alias("opponent"), F.lower(c[2]).startswith("w").alias("won"), result_method(c[2]).alias("method"), c[2].alias("result_text"))
     return out.filter("opponent <> ''")
 
@@ -137,18 +141,45 @@ def roster_cards(pages: DataFrame, key: str, html: str) -> DataFrame:
     first of each name; the weapon is looked for in the next CARD_CHARS characters."""
     from ringside.functions.text import WEAPON_RULES
 
-    names = F.regexp_extract_all(F.col(html), F.lit(CARD_LINK), F.lit(1))
-    parts = F.split(html, CARD_LINK, -1)
-    after = F.slice(parts, F.lit(2), F.size(parts))
-    both = pages.select(key, F.posexplode(F.arrays_zip(names.alias("name"), after.alias("after"))).alias("at", "c"))
-    name = F.trim(F.regexp_replace("c.name", r"\s+", " "))
-    weapon = F.trim(F.regexp_extract(F.substring("c.after", 1, CARD_CHARS), WEAPON_LABEL, 1))
-    rows = both.select(key, "at", name.alias("name"), weapon.alias("weapon_text")).filter(~F.lower("name").isin(*LIST_LINKS))
+    text = F.col(html)
+
+    def card(link: Column) -> Column:
+        # The address, the rest of the tag, and the name, up to the next tag.
+        after = between(text, link["stop"], link["stop"] + ADDRESS_CHARS)
+        url = F.substring_index(after, '"', 1)
+        tail = F.get(F.split(after, '"', 2), F.lit(1))
+        tag = F.substring_index(tail, ">", 1)
+        shown = F.get(F.split(tail, ">", 2), F.lit(1))
+        name = F.substring_index(shown, "<", 1)
+        whole = url.rlike(ROBOT_PAGE) & shown.contains("<") & F.char_length(name).between(*NAME_CHARS)
+        end = link["stop"] + F.char_length(url) + F.char_length(tag) + F.char_length(name) + 3
+        return F.struct(F.coalesce(whole, F.lit(False)).alias("is_card"), name.alias("name"), end.alias("end"))
+
+    cards = F.filter(F.transform(marks(text, '(?i)href="'), card), lambda c: c["is_card"])
+    both = pages.select(key, F.posexplode(F.transform(cards, lambda c: F.struct(c["name"].alias("name"), between(text, c["end"], c["end"] + CARD_CHARS).alias("after")))).alias("at", "c"))
+    rows = both.select(key, "at", squeezed(F.col("c.name")).alias("name"), weapon_after(F.col("c.after")).alias("weapon_text")).filter(~F.lower("name").isin(*LIST_LINKS))
     first = F.row_number().over(Window.partitionBy(key, F.lower("name")).orderBy("at"))
     cls = first_rule(F.when(F.col("weapon_text") != "", F.col("weapon_text")).otherwise(F.col("name")), WEAPON_RULES)
     return rows.withColumn("_rn", first).filter("_rn = 1").select(key, "name", "weapon_text", cls.alias("weapon_class"))
 
 
+def weapon_after(html: Column) -> Column:
+    """The text behind the first "weapon" label, or "weapon type", that has
+    one: past a colon and any tags, up to the next tag. '' without one."""
+    tag = "\u0001"
+    plain = F.regexp_replace(html, "<[^>]*>", tag)
+    least, most = WEAPON_CHARS
+
+    def value(label: Column) -> Column:
+        rest = between(plain, label["stop"], label["stop"] + CARD_CHARS)
+        for skip in (rf"^{SPACES}(?i:type)", rf"^{SPACES}", "^:", rf"^(?:{SPACES}|{tag})+"):
+            rest = F.regexp_replace(rest, skip, "")
+        return F.left(F.regexp_extract(rest, f"^[^<{tag}]*", 0), F.lit(most))
+
+    found = F.filter(F.transform(marks(plain, "(?i)weapon"), value), lambda v: F.char_length(v) >= least)
+    return stripped(F.coalesce(F.get(found, F.lit(0)), F.lit("")))
+
+
 def cached(urls: DataFrame, cache: DataFrame) -> DataFrame:
     """Requests (url) beside what a content-addressed cache (key, body) has."""
     return urls.withColumn("key", F.sha2(F.col("url").cast("binary"), 256)).join(cache, "key", "left").withColumn("cached", F.col("body").isNotNull())
