@@ -12,9 +12,12 @@ recurs across documents are dropped.
 A line of copied documents recurs as well; dropping it would empty every copy.
 So a template counts as recurring only when ``min_docs`` different votes have
 it, and copies share a vote. A document votes with the least hash of its own
-lines, those whose leaves recur nowhere else. Where lines of recurring leaves
-are more than half of its text, it may be a near copy, and it votes with the
-least of those leaves, which copies have in common however they were edited.
+lines, those whose leaves recur nowhere else. Where these are less than OWN of
+its text, it counts as a near copy and votes with the least of its recurring
+leaves, which copies have in common however they were edited. (Two copies with
+a share s of own lines are alike by (1 - s) / (1 + s): 0.8 for a ninth, 0.6 for
+OWN, so OWN leaves room below the bar of near duplicates, and short pages under
+one boilerplate are documents of their own down to a quarter of own text.)
 The leaves that fail this already are left out before any token is compared.
 """
 
@@ -29,6 +32,7 @@ LEAD = 3
 MIN_DOCS = 20
 SHARE = 0.1
 CONSTANT = 0.5
+OWN = 0.25
 BROADCAST_ROWS = 100_000
 VARIABLE = r"\S*[0-9]\S*"
 
@@ -67,7 +71,7 @@ def _votes(brief: DataFrame, hot: DataFrame) -> DataFrame:
     found = flagged.groupBy("doc").agg(
         F.min(F.when(own, F.col("hash"))).alias("own"),
         F.min(F.when(~own, F.col("leaf"))).alias("shared"),
-        F.sum(F.when(own, F.col("length")).otherwise(-F.col("length"))).alias("more"),
+        F.sum(F.when(own, (1 - OWN) * F.col("length")).otherwise(-OWN * F.col("length"))).alias("more"),
     )
     return found.filter("shared is not null").select("doc", F.when(F.col("more") < 0, F.col("shared")).otherwise(F.col("own")).alias("vote"))
 

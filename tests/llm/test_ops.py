@@ -188,6 +188,19 @@ def test_a_template_of_a_hot_leaf_needs_no_share_of_it(spark):
     assert got == {i: int(i % 20 == 0) for i in range(600)}
 
 
+def test_a_footer_goes_from_short_and_long_pages_and_copies_keep_theirs(spark):
+    rng = np.random.default_rng(41)
+    footer = [prose(8, rng) for _ in range(5)]
+    for own in (20, 80):
+        rows = [(i, "\n".join([prose(own // 2, rng), prose(own - own // 2, rng), *footer])) for i in range(200)]
+        rows += [(500 + i, "\n".join([rows[0][1], "one more line"])) for i in range(30)]
+        got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+        assert all(got[d] == "\n".join(x for x in t.split("\n") if x not in footer) for d, t in rows)
+    family = [prose(12, rng) for _ in range(16)]
+    rows = [(i, "\n".join([*family[: i % 16], prose(12, rng), *family[i % 16 + 1 :]])) for i in range(100)]
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(frame(spark, rows)).collect()} == dict(rows)
+
+
 def brute_lines(rows, order, least=20, share=0.1):
     """Which lines go, by the docstring's rules in plain Python; ``order`` has
     the hashes of a line and of its leaf, by which votes are chosen."""
@@ -206,7 +219,7 @@ def brute_lines(rows, order, least=20, share=0.1):
     for doc in {x[0] for x in lines}:
         mine = [x for x in lines if x[0] == doc]
         own, shared = [x[2] for x in mine if x[3] not in hot], [x[3] for x in mine if x[3] in hot]
-        more = sum(len(x) for x in own) - sum(len(x[2]) for x in mine if x[3] in hot)
+        more = 3 * sum(len(x) for x in own) - sum(len(x[2]) for x in mine if x[3] in hot)
         shared = [order[x[2]][1] for x in mine if x[3] in hot]
         votes[doc] = ("leaf", min(shared)) if more < 0 and shared else ("line", min(order[x][0] for x in own) if own else "")
     voted = lambda leaf: {votes[x[0]] for x in lines if x[3] == leaf}
