@@ -79,74 +79,109 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(common / F.size(both))
 
 
+#: Quantile ranges of doc_id, at most as many parts of each, and the rows that a part should have.
 RANGES, STEP, BUCKET = 256, 16, 256
+KEY = ["b", "seg", "slice"]
 
 
-def _buckets(docs: DataFrame) -> tuple[Column, Column] | None:
-    """The range and the bucket of doc_id, both ascending with it. RANGES
-    quantile bounds make ranges of like sizes for any ids; a range is cut into
-    equal steps of doc_id, BUCKET rows in each on average. None: no ids."""
-    fractions = F.lit([i / RANGES for i in range(1, RANGES)])
-    facts = docs.agg(F.percentile_approx("doc_id", fractions, 100 * RANGES).alias("at"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("n")).first()
+def _many(bounds: Column, doc_id: Column) -> Column:
+    return F.size(F.filter(bounds, lambda x: x <= doc_id))
+
+
+def _in_ranges(docs: DataFrame, few: float) -> tuple[DataFrame, int] | None:
+    """``docs`` with ``part``, the quantile range of doc_id, and ``b``, its part
+    by the range's own quantiles, both ascending with it, whatever gaps the ids
+    have; and the rows that one id may have before it is split. None: no ids."""
+    facts = docs.agg(F.percentile_approx("doc_id", F.lit([i / RANGES for i in range(1, RANGES)]), 100 * RANGES).alias("at"), F.count("doc_id").alias("n")).first()
     if not facts["n"]:
         return None
     bounds = sorted(facts["at"])
-    many = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col("doc_id")))
     literal = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    coarse = many(literal(bounds[STEP - 1 :: STEP])) * STEP
-    part = coarse + many(F.slice(literal(bounds), coarse + 1, F.lit(STEP - 1)))
-    low, high = (F.element_at(literal(x), part + 1).cast("double") for x in ([facts["lo"], *bounds], [*bounds, facts["hi"]]))
-    steps = max(1, -(-facts["n"] // (RANGES * BUCKET)))
-    inside = F.floor((F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * steps)
-    return part, part.cast("long") * (steps + 1) + F.least(F.greatest(inside, F.lit(0)), F.lit(steps))
-
-
-def with_next(documents: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
-    """doc_id, text, b, salt, ghost: every row, dealt by ranges of doc_id into
-    buckets b, and at the end of each bucket a ghost of the row that follows
-    it (after the last row: the first), so that lead() inside a bucket finds
-    the next document of the whole table. Only buckets' least ids are
-    gathered, range by range, and then one row a range; no window spans the
-    table. Rows that share a doc_id are in one bucket.
-    """
+    coarse = _many(literal(bounds[STEP - 1 :: STEP]), F.col("doc_id")) * STEP
+    docs = docs.withColumn("part", coarse + _many(F.slice(literal(bounds), coarse + 1, F.lit(STEP - 1)), F.col("doc_id")))
+    steps = min(RANGES, -(-facts["n"] // (RANGES * BUCKET)))
+    if steps == 1:
+        docs = docs.withColumn("b", F.col("part").cast("long"))
+    else:
+        # RANGES rows of RANGES ids at most.
+        inner = docs.filter("part is not null").groupBy("part").agg(F.percentile_approx("doc_id", F.lit([i / steps for i in range(1, steps)]), 100 * steps).alias("_inner"))
+        docs = docs.join(F.broadcast(inner), "part", "left").withColumn("b", F.col("part").cast("long") * steps + _many(F.array_sort("_inner"), F.col("doc_id"))).drop("_inner")
+    return docs, max(int(few * BUCKET), -(-facts["n"] // RANGES**2))
+
+
+def with_next(documents: DataFrame, broadcast_rows: int = 200_000, few: float = 4) -> tuple[DataFrame, bool]:
+    """Whether an id was split, and doc_id, text, b, seg, slice, salt, k, copies, ghost: every row, dealt by
+    ranges of doc_id into buckets (b, seg, slice), and at the end of each bucket
+    a ghost of the row that follows it (after the last row: the first), so that
+    lead() inside a bucket finds the next document of the whole table. Only
+    buckets' least keys are gathered, range by range, and then one row a range;
+    no window spans the table.
+
+    A doc_id of more than ``few`` buckets' rows is split: its equal rows are
+    counted (``copies``), the others follow each other by their texts' hashes
+    (k), and slices of these hashes are buckets of their own. There are at most
+    RANGES * RANGES such ids."""
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = _buckets(docs)
-    part, bucket = found or (F.lit(None).cast("int"), F.lit(None).cast("long"))
-    docs = docs.withColumn("b", bucket).withColumn("salt", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(4096))).otherwise(F.lit(0)))
+    docs = docs.withColumn("salt", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(4096))).otherwise(F.lit(0)))
+    found = _in_ranges(docs, few)
+    plain = [F.lit(0).alias("seg"), F.lit(0).cast("long").alias("slice"), F.lit(0).cast("long").alias("k"), F.lit(1).cast("long").alias("copies")]
     if not found:
-        return docs.withColumn("ghost", F.lit(False))
-    firsts = docs.filter("doc_id is not null").groupBy(part.alias("part"), "b").agg(F.min("doc_id").alias("first"))
-    tops = {r["part"]: r["top"] for r in firsts.groupBy("part").agg(F.max("b").alias("top")).collect()}  # RANGES rows at most
+        return docs.select("doc_id", "text", "salt", F.lit(None).cast("long").alias("b"), *plain, F.lit(False).alias("ghost")), False
+    docs, most = found
+    hot = docs.filter("doc_id is not null").groupBy("doc_id", "part", "b").agg(F.count("*").alias("rows")).filter(F.col("rows") > most)
+    split = bool(hot.limit(1).count())
+    if not split:
+        docs = docs.select("doc_id", "text", "salt", "part", "b", *plain)
+    else:
+        hots = hot.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("doc_id", "rows"))).alias("_hot"))
+        docs = docs.join(F.broadcast(hots), "b", "left")
+        own = F.filter("_hot", lambda h: h["doc_id"] == F.col("doc_id"))
+        below = F.coalesce(F.size(F.filter("_hot", lambda h: h["doc_id"] < F.col("doc_id"))), F.lit(0))
+        docs = docs.withColumn("_own", F.get(own, F.lit(0))["rows"]).withColumn("seg", 2 * below + F.col("_own").isNotNull().cast("int"))
+        base = ["doc_id", "text", "salt", "part", "b", "seg"]
+        single = docs.filter("_own is null").select(*base, *plain[1:])
+        counted = docs.filter("_own is not null").withColumn("k", F.xxhash64("text")).groupBy(*base, "k", "_own").agg(F.count("*").alias("copies"))
+        at = (F.col("k").cast("double") + 2.0**63) / 2.0**64 * F.ceil(F.col("_own") / most)
+        docs = single.unionByName(counted.select(*base, F.floor(at).alias("slice"), "k", "copies"))
+    firsts = docs.filter("doc_id is not null").groupBy("part", *KEY).agg(F.min(F.struct("doc_id", "k")).alias("first"))
+    tops = {r["part"]: r["top"] for r in firsts.groupBy("part").agg(F.max(F.struct(*KEY)).alias("top")).collect()}  # RANGES rows at most
     parts = sorted(tops)
-    before = F.create_map(*[F.lit(x) for p, q in zip(parts, [parts[-1], *parts]) for x in (p, tops[q])])
-    prior = F.coalesce(F.lag("b").over(Window.partitionBy("part").orderBy("b")), before[F.col("part")])
-    firsts = firsts.select("first", prior.alias("to"))
+    as_key = lambda t: F.struct(F.lit(t["b"]).cast("long").alias("b"), F.lit(t["seg"]).alias("seg"), F.lit(t["slice"]).cast("long").alias("slice"))
+    before = F.create_map(*[x for p, q in zip(parts, [parts[-1], *parts]) for x in (F.lit(p), as_key(tops[q]))])
+    prior = F.coalesce(F.lag(F.struct(*KEY)).over(Window.partitionBy("part").orderBy(*KEY)), before[F.col("part")])
+    firsts = firsts.select(F.col("first.doc_id").alias("_id"), F.col("first.k").alias("_k"), prior.alias("_to"))
     if firsts.count() <= broadcast_rows:
         firsts = F.broadcast(firsts)
-    ghosts = docs.join(firsts, docs["doc_id"] == firsts["first"]).select("doc_id", "text", F.col("to").alias("b"), "salt", F.lit(True).alias("ghost"))
-    return docs.withColumn("ghost", F.lit(False)).unionByName(ghosts)
+    ghosts = docs.join(firsts, (F.col("doc_id") == F.col("_id")) & (F.col("k") == F.col("_k")))
+    cols = ["doc_id", "text", "salt", "k", "copies"]
+    ghosts = ghosts.select(*cols, "_to.*", F.lit(True).alias("ghost"))
+    return docs.select(*cols, *KEY, F.lit(False).alias("ghost")).unionByName(ghosts), split
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
+def fingerprints(documents: DataFrame, **options) -> DataFrame:
     """One row for each row of ``documents``: doc_id, text, edited (the last
     quarter of the text's code points replaced by the first as many, or all,
     of the next document's), the sketches of both and of the next text, and
     matched, the anchors that text and edited have at the same place.
 
     A null text is empty. Rows follow each other by doc_id, those that share
-    one by their texts. A row without doc_id has no next document (an empty
+    one by their texts (by their texts' hashes where very many do). A row without doc_id has no next document (an empty
     one). Equal texts have equal sketches; an empty text has an empty one.
     Repeated rows are rows of their own, and follow each other. Long texts are
     rows like others; other columns are ignored; no rows, none.
     """
-    rows = with_next(documents)
-    order = Window.partitionBy("b", "salt").orderBy("ghost", "doc_id", "text")
+    rows, split = with_next(documents, **options)
+    order = Window.partitionBy(*KEY, "salt").orderBy("ghost", "doc_id", "k", "text")
     known = F.col("doc_id").isNotNull()
-    rows = rows.withColumn("next", F.when(known, F.lead("text").over(order)))
+    rows = _with_anchors(rows, "text", "own", never_none=True).withColumn("_placed", placed(F.col("own"))).withColumn("own", sketch(F.col("own")))
+    rows = rows.withColumn("next", F.when(known, F.lead("text").over(order))).withColumn("next_own", F.when(known, F.lead("own").over(order))).filter(~F.col("ghost"))
+    if split:  # all but the last of equal rows that were counted are followed by their like
+        rows = rows.select("*", F.posexplode(F.array(F.lit(1).cast("long"), F.col("copies") - 1)).alias("_like", "_times")).filter("_times > 0")
+        rows = rows.withColumns({"next": F.when(F.col("_like") == 1, F.col("text")).otherwise(F.col("next")), "next_own": F.when(F.col("_like") == 1, F.col("own")).otherwise(F.col("next_own"))})
     n = F.char_length("text")
     q = F.floor(n / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - q), F.coalesce(F.substring("next", F.lit(1), q), F.lit("")))).drop("next")
-    rows = _with_anchors(rows, "text", "own", never_none=True).withColumn("_placed", placed(F.col("own"))).withColumn("own", sketch(F.col("own")))
-    rows = rows.withColumn("next_own", F.when(known, F.lead("own").over(order))).filter(~F.col("ghost"))
     rows = _with_anchors(rows, "edited", "other", never_none=True).withColumn("matched", F.size(F.array_intersect("_placed", placed(F.col("other")))).cast("long")).withColumn("other", sketch(F.col("other")))
+    if split:
+        rows = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_copy"))
     return rows.select("doc_id", "text", "edited", "own", "other", F.coalesce("next_own", F.array().cast("array<bigint>")).alias("next_own"), "matched")

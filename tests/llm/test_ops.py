@@ -107,6 +107,29 @@ def test_next_documents_of_hashed_repeated_and_missing_ids(spark):
     assert fingerprints.fingerprints(frame(spark, [])).count() == 0
 
 
+def test_hot_ids_and_gaps_make_no_large_bucket(spark):
+    rng = np.random.default_rng(22)
+    texts = [prose(int(rng.integers(1, 9)), rng) for _ in range(300)]
+    ids = [*range(40), *range(10**9, 10**9 + 60), *(-(1 << 60) + 7 * i for i in range(50))]
+    rows = [(d, prose(6, rng)) for d in ids] + [(20, t) for t in texts] + [(10**9 + 5, "the same few words here")] * 400 + [(10**9 + 5, "another")]
+    docs = frame(spark, rows).repartition(5)
+    dealt, split = fingerprints.with_next(docs, few=0.2)  # over 51 rows of one id
+    assert split
+    sizes = [r["count"] for r in dealt.filter("not ghost").groupBy(*fingerprints.KEY).count().collect()]
+    assert sum(sizes) == len(set(rows)) + len([r for r in rows if r[0] not in (20, 10**9 + 5)]) - len({r for r in rows if r[0] not in (20, 10**9 + 5)})
+    assert max(sizes) <= 4 * 51
+    got = fingerprints.fingerprints(docs, few=0.2).collect()
+    assert len(got) == len(rows)
+    hashed = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    hot = {20, 10**9 + 5}
+    order = sorted(rows, key=lambda r: (r[0], hashed[r[1]] if r[0] in hot else 0, r[1]))
+    want = sorted((d, t, t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]) for (d, t), (_, nxt) in zip(order, [*order[1:], order[0]], strict=True))
+    assert sorted((r["doc_id"], r["text"], r["edited"]) for r in got) == want
+    gaps = frame(spark, [(i if i < 60_000 else 10**15 + i, "t") for i in range(70_000)])
+    dealt, split = fingerprints.with_next(gaps)
+    assert not split and max(r["count"] for r in dealt.filter("not ghost").groupBy(*fingerprints.KEY).count().collect()) <= 2 * fingerprints.BUCKET
+
+
 # --- decontamination ----------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
