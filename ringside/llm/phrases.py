@@ -42,6 +42,8 @@ BROADCAST_ROWS = 500_000
 
 #: 0: part of a word, 1: blank, 2: end of a piece.
 _KIND = np.zeros(256, np.uint8)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _KIND[list(b" \t")] = 1
 _KIND[list(b".,;:!?\x0a\x0b\x0c\x0d")] = 2
 
@@ -52,11 +54,12 @@ _KIND[list(b".,;:!?\x0a\x0b\x0c\x0d")] = 2
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of some texts, A-Z lower-cased, and whether each goes on the
     piece of the word before it."""
-    lower = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
-    at = np.frombuffer(lower.buffers()[1], np.int64, len(lower) + 1, 8 * lower.offset)
+    full = pc.fill_null(texts, "")
+    wide = np.dtype(np.int64 if pa.types.is_large_string(full.type) else np.int32)
+    at = np.frombuffer(full.buffers()[1], wide, len(full) + 1, wide.itemsize * full.offset).astype(np.int64) if len(full) else np.zeros(1, np.int64)
     if at[0] == at[-1]:
         return pa.array([], pa.large_string()), np.zeros(0, bool)
-    raw = np.frombuffer(lower.buffers()[2], np.uint8)[at[0] : at[-1]]
+    raw = _LOWER[np.frombuffer(full.buffers()[2], np.uint8)[at[0] : at[-1]]]
     at = at - at[0]
     kind = _KIND[raw]
     inside = kind == 0
@@ -257,7 +260,7 @@ def phrase_counts(documents: DataFrame, words: DataFrame, total: int, min_count:
                     held.append(packed)
                     odd = np.flatnonzero(inside & ~in_all) if not own.whole else []
                     if len(odd):
-                        texts_ = pc.binary_join_element_wise(*(found.take(pa.array(odd + j)) for j in range(k)), " ").value_counts()
+                        texts_ = pc.binary_join_element_wise(*(found.take(pa.array(odd + j)) for j in range(k)), pa.scalar(" ", pa.large_string())).value_counts()
                         text, n = texts_.flatten()
                         yield rows(None, None, [lang] * len(n), text.cast(pa.string()), np.full(len(n), k, np.int32), n.cast(pa.int64()))
                 if sum(map(len, held)) >= shard:

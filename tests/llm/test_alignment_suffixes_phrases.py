@@ -215,7 +215,7 @@ def brute_collocations(rows, least=10, top=2000):
         for (at, p), a in f.items():
             if at != lang or len(p) < 2 or a < least:
                 continue
-            if len(p) == 2 and any(q[1][:2] == p or q[1][1:] == p for q, b in f.items() if q[0] == lang and len(q[1]) == 3 and 2 * b >= a):
+            if len(p) == 2 and any(q[1][:2] == p or q[1][1:] == p for q, b in f.items() if q[0] == lang and len(q[1]) == 3 and b >= least and 2 * b >= a):
                 continue
             score, _, l, r = min((1000000 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k, f[lang, p[:k]], f[lang, p[k:]]) for k in range(1, len(p)))
             mine.append((-score, -a, " ".join(p).encode(), l, r))
@@ -260,6 +260,8 @@ def test_scores_are_exact_beyond_64_bits(spark):
 
 def test_words_are_those_of_a_plain_search(speech):
     texts = [t for _, t in speech]
+    for part in (pa.array(texts)[:0], pa.array([None, ""]), pa.array(["Cut off", "Ab, c"])[1:]):  # a slice without nulls shares its buffers
+        assert phrases.words_of(part)[0].to_pylist() == ([] if len(part) != 1 else ["ab", "c"])
     words, goes_on = phrases.words_of(pa.array(["cut off", *texts])[1:])
     want, follows = [], []
     for t in texts:
