@@ -32,10 +32,10 @@ from .common import save, ship
 MIN_COUNT = 10
 WITHIN = 50
 TOP = 2000
-SHARD = 1 << 22
+SHARD = 1 << 20
 #: Phrases (with repeats) that a range of quotients gets.
-RANGE = 1 << 22
-PART = 1 << 22
+RANGE = 1 << 20
+PART = 1 << 20
 DICTIONARY = 500_000
 LONG = 64
 BROADCAST_ROWS = 500_000
