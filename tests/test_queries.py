@@ -1,6 +1,7 @@
 """Every registered query against its SQL, and the streaming forms."""
 
 import math
+import time
 
 import duckdb
 import pytest
@@ -94,7 +95,50 @@ def test_streamed_fill_and_elo_equal_batch(spark, tmp_path):
     assert sorted((r["k"], r["sec"], r["value"]) for r in got) == [(1, 0, 0.5), (1, 1, 0.5), (1, 2, 5.0), (1, 3, 5.0), (1, 4, 5.0), (1, 5, 7.0), (2, 0, 1.0)]
     batch = rolling.filled(spark.createDataFrame(points, "k int, sec long, value double"), ["k"], 0.5).collect()
     assert sorted((r["k"], r["sec"], r["value"]) for r in batch) == sorted((r["k"], r["sec"], r["value"]) for r in got)
-    none = spark.createDataFrame([], "bot string, rating double"), spark.createDataFrame([], "bot string, class string")
-    want = prebout.walk_forward(spark.createDataFrame(fights, "league string, fight_id string, bot_a string, bot_b string, winner string").withColumn("episode", F.lit(1)), *none)
-    live = twins.drained(twins.walk_forward(read("fights")), "elo")
+    priors = spark.createDataFrame([("a", 1600.0), ("c", 1450.0)], "bot string, rating double")
+    classes = spark.createDataFrame([("a", "spinner"), ("b", "flipper"), ("d", "spinner")], "bot string, class string")
+    want = prebout.walk_forward(spark.createDataFrame(fights, "league string, fight_id string, bot_a string, bot_b string, winner string").withColumn("episode", F.lit(1)), priors, classes)
+    live = twins.drained(twins.walk_forward(read("fights"), priors, classes), "elo")
     assert {r["fight_id"]: r["p"] for r in live.collect()} == pytest.approx({r["fight_id"]: r["p"] for r in want.collect()})
+
+
+def in_files(spark, path, batches, schema):
+    """A stream of one micro-batch for each of ``batches``."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(path / f"part={i}"))
+        time.sleep(0.05)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(path))
+
+
+def ran(result, name, mode="append"):
+    q = result.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q, result.sparkSession.table(name)
+
+
+def test_elo_state_goes_from_batch_to_batch(spark, tmp_path):
+    from ringside.operators import prebout
+
+    schema = "league string, fight_id string, bot_a string, bot_b string, winner string"
+    fights = [("xy"[i % 2], f"f{i:02}", "abc"[i % 3], "bca"[i % 3], "abc"[i % 3] if i % 4 else "bca"[i % 3]) for i in range(30)]
+    priors = spark.createDataFrame([("a", 1600.0)], "bot string, rating double")
+    classes = spark.createDataFrame([("b", "flipper")], "bot string, class string")
+    _, got = ran(twins.walk_forward(in_files(spark, tmp_path, [fights[:7], fights[7:20], fights[20:]], schema), priors, classes), "elo_batches")
+    want = prebout.walk_forward(spark.createDataFrame(fights, schema).withColumn("episode", F.lit(1)), priors, classes)
+    assert {r["fight_id"]: r["p"] for r in got.collect()} == pytest.approx({r["fight_id"]: r["p"] for r in want.collect()})
+
+
+def test_states_end_and_late_rows_are_dropped(spark, tmp_path):
+    batches = [[(k, float(t), 1.0) for k in range(20) for t in (0, 1, 5)], [(0, 500.0, 2.0), (1, 3.0, 9.0)], [(0, 1.0, 7.0), (0, 2000.0, 3.0), (0, 2001.0, 4.0)], [(0, 2002.0, 5.0)]]
+    schema = "k int, t double, v double"
+    q, got = ran(twins.debounced(in_files(spark, tmp_path / "a", batches, schema), "k", "t", 3.0), "ending")
+    times = sorted((r["k"], r["t"]) for r in got.collect())
+    # The row of 1 in the third batch is behind the watermark.
+    assert times == sorted([(k, t) for k in range(20) for t in (0.0, 5.0)] + [(0, 500.0), (0, 2000.0)])
+    assert q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 1
+    q, got = ran(twins.rolling_mean(in_files(spark, tmp_path / "b", batches, schema), "k", "t", "v", 3, idle=600.0), "rolling_ends")
+    means = {r["t"]: r["roll"] for r in got.filter("k = 0").collect()}
+    assert means == {0.0: 1.0, 1.0: 1.0, 5.0: 1.0, 500.0: pytest.approx(4 / 3), 2000.0: 3.0, 2001.0: 3.5, 2002.0: 4.0}
+    assert q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 1
+    q, got = ran(twins.filled(in_files(spark, tmp_path / "c", [[(1, 0, 5.0), (1, 2, None)], [(1, 3, 6.0)], [(1, 900, None), (1, 902, 8.0)]], "k int, sec long, v double"), "k", "sec", "v", 0.5, idle=100.0), "fill_ends")
+    assert sorted((r["sec"], r["v"]) for r in got.collect()) == [(0, 5.0), (1, 5.0), (2, 5.0), (3, 6.0), (900, 0.5), (901, 0.5), (902, 8.0)]
