@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ringside.functions import numeric as N
 from ringside.functions import text as T
 from ringside.operators import attention, calibration, cluster, events, exposure, grids, kinematics, league, matching, momentum, overlay, prebout, rolling, rubric, segments
-from ringside.sources import pages
+from ringside.sources import corpora, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -142,10 +142,10 @@ def channel_reach(spark, sf_dir):
     return league.channel_reach(videos, d.select(F.col("source").alias("name")).distinct())
 
 
-@query("SELECT c_custkey AS missing FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS missing FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def anti_report(spark, sf_dir):
     c = tab(spark, sf_dir, "customer").select("c_custkey")
-    return league.missing(c, tab(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return league.missing(c, tab(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 # --- segments and windows --------------------------------------------------------
@@ -887,3 +887,93 @@ def presence_map(spark, sf_dir):
     has = lambda name, key, out: tab(spark, sf_dir, name).select(F.col(key).alias("c_custkey")).distinct().withColumn(out, F.lit(True))
     rows = tab(spark, sf_dir, "customer").select("c_custkey").join(has("orders", "o_custkey", "o"), "c_custkey", "left").join(has("events", "user_id", "e"), "c_custkey", "left")
     return rows.select("c_custkey", F.col("o").isNotNull().alias("has_orders"), F.col("e").isNotNull().alias("has_events"))
+
+
+# --- pages made of the customers' table -------------------------------------------
+
+
+_PAIRS = """p AS (SELECT c_nationkey page, c_custkey a, c_acctbal bal, lead(c_custkey) OVER w b, lead(c_acctbal) OVER w bal_b, row_number() OVER w - 1 rn FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey))"""
+
+
+def _paired_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page, at, a, b, won): a nation's customers, two and two."""
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    rows = tab(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("page"), F.col("c_custkey").alias("a"), F.lead("c_custkey").over(w).alias("b"), (F.col("c_acctbal") > F.lead("c_acctbal").over(w)).alias("won"), (F.row_number().over(w) - 1).alias("rn"))
+    return rows.filter("rn % 2 = 0 and b is not null").select("page", (F.col("rn") / 2).cast("int").alias("at"), "a", "b", "won")
+
+
+def _page_of(rows: DataFrame, html: Column) -> DataFrame:
+    return rows.groupBy("page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", html.alias("h")))), lambda x: x["h"]), "").alias("html"))
+
+
+@query(f"""
+WITH {_PAIRS} SELECT page, (rn // 2)::INTEGER AS at, 'Señor Ñandú ' || a AS bot_a, 'Señor Ñandú ' || b AS bot_b, CASE WHEN bal > bal_b THEN 'Señor Ñandú ' || a END AS winner FROM p WHERE rn % 2 = 0 AND b IS NOT NULL""")
+def fight_card(spark, sf_dir):
+    bot = lambda k: F.concat(F.lit("Señor Ñandú "), F.col(k).cast("string"))
+    won = F.when(F.col("won"), F.concat(bot("a"), F.lit("\u00a0defeats "), bot("b"), F.lit(".</p>"))).otherwise("Judges are late.</p>")
+    html = F.concat(F.lit("<h2>"), bot("a"), F.lit("</h2>\n vs. <b>"), bot("b"), F.lit("</b>!<p>"), won, F.repeat(F.lit("# "), 300))
+    return pages.fight_card(_page_of(_paired_customers(spark, sf_dir), html), "page", "html").select("page", "at", "bot_a", "bot_b", "winner")
+
+
+@query(f"""
+WITH {_PAIRS} SELECT a AS page, 'Spinner no. ' || b || ' of nation ' || page AS weapon FROM p WHERE rn % 2 = 0 AND b IS NOT NULL""")
+def infobox_value(spark, sf_dir):
+    html = F.concat(F.lit('<h3 class="pi-data-label">Team</h3><div class="pi-data-value">Us</div><h3 class="pi-data-label">\n Weapon</h3> <div class="pi-data-value pi">\n Spinner <i>no.</i> '), F.col("b").cast("string"), F.lit("\u2003of<br>nation "), F.col("page").cast("string"), F.lit("\n</div>"))
+    rows = _paired_customers(spark, sf_dir).select(F.col("a").alias("page"), html.alias("html"))
+    return rows.select("page", pages.infobox(F.col("html"), "Weapon").alias("weapon"))
+
+
+@query(f"""
+WITH {_PAIRS} SELECT page, 'Bot ' || a AS name, CASE WHEN bal > bal_b THEN 'Hammer ' || b ELSE '' END AS weapon_text, CASE WHEN bal > bal_b THEN 'hammer' ELSE 'other' END AS weapon_class FROM p WHERE rn % 2 = 0 AND b IS NOT NULL""")
+def roster_cards(spark, sf_dir):
+    weapon = F.when(F.col("won"), F.concat(F.lit(" Weapon type: <i> Hammer "), F.col("b").cast("string"), F.lit("</i>"))).otherwise("")
+    key = F.col("a").cast("string")
+    # Cards stand further apart than a weapon is looked for; every card is there twice.
+    card = F.concat(F.lit('<a class="c" HREF="/robots/bot-'), key, F.lit('/">\n Bot '), key, F.lit("</a>"), weapon, F.repeat(F.lit("<hr>"), 400), F.lit('<a href="/robots/bot-'), key, F.lit('">BOT '), key, F.lit('</a><a href="/robots/">Robots</a>'), F.repeat(F.lit("<hr>"), 400))
+    return corpora.roster_cards(_page_of(_paired_customers(spark, sf_dir), card), "page", "html")
+
+
+@query(f"""
+WITH {_PAIRS} SELECT page, 'Season ' || (a % 7) AS season, 'Round ' || (rn // 2) AS stage, 'Señor ' || b AS opponent, bal > bal_b AS won, CASE WHEN bal > bal_b THEN 'ko' ELSE 'jd' END AS method FROM p WHERE rn % 2 = 0 AND b IS NOT NULL""")
+def history_rows(spark, sf_dir):
+    row = lambda *cells: F.concat(F.lit("<tr>"), *[x for c in cells for x in (F.lit("<td>\n"), c, F.lit("</td>"))], F.lit("</tr>"))
+    head = F.concat(F.lit("Season "), (F.col("a") % 7).cast("string"), F.lit("  3-"), F.col("at").cast("string"))
+    fight = row(F.concat(F.lit("Round "), F.col("at").cast("string")), F.concat(F.lit("vs.\u00a0Señor "), F.col("b").cast("string"), F.lit(" (12)")), F.when(F.col("won"), "Won (KO)").otherwise("Lost (Split JD)"))
+    html = F.concat(F.lit("<table>"), row(head, head, head), fight, F.lit("</table>"))
+    rows = corpora.table_rows(_page_of(_paired_customers(spark, sf_dir), html), "page", "html")
+    return corpora.history_rows(rows, F.lit("Bot")).select("page", "season", "stage", "opponent", "won", "method")
+
+
+@query("""
+WITH RECURSIVE t AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) rn FROM EV WHERE event_type = 'purchase'), f AS (SELECT user_id, t FROM EV WHERE event_type = 'click'),
+m AS (SELECT user_id, 0::BIGINT rn, NULL::DOUBLE truth_t, NULL::DOUBLE found_t, -1e18::DOUBLE used FROM t WHERE rn = 1 UNION ALL
+SELECT m.user_id, t.rn, t.t, x.hit, coalesce(x.hit, m.used) FROM m JOIN t ON t.user_id = m.user_id AND t.rn = m.rn + 1 LEFT JOIN LATERAL (SELECT min(f.t) AS hit FROM f WHERE f.user_id = m.user_id AND f.t > m.used AND f.t BETWEEN t.t - 3600 AND t.t + 3600) x ON true)
+SELECT user_id, truth_t, found_t FROM m WHERE found_t IS NOT NULL""")
+def truth_matching(spark, sf_dir):
+    e = ev(spark, sf_dir)
+    return matching.matched_truth(e.filter("event_type = 'purchase'"), e.filter("event_type = 'click'"), KEY, 3600)
+
+
+@query("SELECT DISTINCT p_brand AS bot FROM part UNION SELECT DISTINCT p_type FROM part")
+def entrants(spark, sf_dir):
+    return prebout.entrants(tab(spark, sf_dir, "part").select(F.array("p_brand", "p_type").alias("bots")))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN g >= 0.5 THEN 'a' WHEN g < 0.5 THEN 'b' END AS generic_pick, CASE WHEN m >= 0.5 THEN 'a' WHEN m < 0.5 THEN 'b' END AS main_pick,
+  CASE WHEN g >= 0.5 THEN w = 'a' WHEN g < 0.5 THEN w = 'b' END AS generic_correct, CASE WHEN m >= 0.5 THEN w = 'a' WHEN m < 0.5 THEN w = 'b' END AS main_correct
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN (o_custkey % 10) / 10 END g, (o_orderkey % 7) / 7 m, CASE o_orderstatus WHEN 'F' THEN 'a' WHEN 'O' THEN 'b' END w FROM orders)""")
+def compared_predictions(spark, sf_dir):
+    winner = F.when(F.col("o_orderstatus") == "F", "a").when(F.col("o_orderstatus") == "O", "b")
+    rows = tab(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 > 0, (F.col("o_custkey") % 10) / 10).alias("generic_p"), ((F.col("o_orderkey") % 7) / 7).alias("main_p"), F.lit("a").alias("bot_a"), F.lit("b").alias("bot_b"), winner.alias("winner"))
+    return prebout.compared(rows).select("o_orderkey", "generic_pick", "main_pick", "generic_correct", "main_correct")
+
+
+@query("""
+SELECT count(*) AS n, round(avg((g - y) ** 2), 6) AS generic_brier, round(avg((m - y) ** 2), 6) AS main_brier
+FROM (SELECT CASE WHEN o_orderkey % 5 > 0 THEN (o_custkey % 10) / 10 END g, (o_orderkey % 7) / 7 m, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END y FROM orders) WHERE g IS NOT NULL AND m IS NOT NULL AND y IS NOT NULL""")
+def paired_predictions(spark, sf_dir):
+    y = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0)
+    rows = tab(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 5 > 0, (F.col("o_custkey") % 10) / 10).alias("g"), ((F.col("o_orderkey") % 7) / 7).alias("m"), y.alias("y"))
+    brier = lambda p: F.avg(F.pow(F.col(p) - F.col("y"), 2))
+    return prebout.paired(rows, "g", "m", "y").agg(F.count("*").alias("n"), r6(brier("g"), "generic_brier"), r6(brier("m"), "main_brier"))
