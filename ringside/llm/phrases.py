@@ -32,6 +32,7 @@ from .common import save, ship
 MIN_COUNT = 10
 WITHIN = 50
 TOP = 2000
+PARTS = 16
 SHARD = 1 << 20
 #: Phrases (with repeats) that a range of quotients gets.
 RANGE = 1 << 20
@@ -328,8 +329,13 @@ def collocations(documents: DataFrame, min_count: int = MIN_COUNT, within: int =
     inner = longer.select("lang", F.explode(F.array(head, rest)).alias("phrase"), F.col("a").alias("longer")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     left = scored.join(_few(inner, broadcast_rows), ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < within * F.col("a")))
     ranked = left.select("lang", "phrase", "a", "s.l", "s.r", "s.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = ranked.withColumn("rank", F.row_number().over(order))
+    best = [F.desc("score"), F.desc("a"), "phrase"]
+    if top is not None:
+        # A language's first ``top`` are among the first ``top`` of its parts, so
+        # the last window gets PARTS times as many rows at most.
+        part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*best)
+        ranked = ranked.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)))
     if top is not None:
         ranked = ranked.filter(F.col("rank") <= top)
     # One row a language.
