@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringside.functions.numeric import falsy
@@ -29,10 +29,22 @@ def media_value(sides: DataFrame, exposure: DataFrame, index: DataFrame) -> Data
         F.count_if("won").alias("wins"),
         F.count_if(~F.col("won")).alias("losses"),
     )
+    return _with_record(out, "bot")
+
+
+def rolled_up(rows: DataFrame, bot: str, value: str, won: Column, lost: Column) -> DataFrame:
+    """One row a bot from its own rows: their number, the sum of ``value``, its
+    mean over its linear 20th percentile, their product, and the record of the
+    rows that are ``won`` or ``lost``."""
+    out = rows.groupBy(bot).agg(F.count("*").alias("fights"), F.sum(value).alias("screen_s"), (F.avg(value) / F.percentile(value, 0.2)).alias("attn_index"), F.count_if(won).alias("wins"), F.count_if(lost).alias("losses"))
+    return _with_record(out, bot)
+
+
+def _with_record(out: DataFrame, bot: str) -> DataFrame:
     decided = F.col("wins") + F.col("losses")
     perf = F.when(decided > 0, F.col("wins") / decided).otherwise(0.0)
     record = F.concat_ws("-", F.col("wins").cast("string"), F.col("losses").cast("string"))
-    return out.select("bot", "fights", "screen_s", "attn_index", (F.col("screen_s") * F.col("attn_index")).alias("media_value"), record.alias("record"), perf.alias("perf_score"))
+    return out.select(bot, "fights", "screen_s", "attn_index", (F.col("screen_s") * F.col("attn_index")).alias("media_value"), record.alias("record"), perf.alias("perf_score"))
 
 
 def authorship(events: DataFrame, points: DataFrame, widths: DataFrame, share: float = 0.25) -> DataFrame:

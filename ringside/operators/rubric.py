@@ -58,13 +58,18 @@ def robbery(method: Column, official: Column, ours: Column, margin: Column) -> C
     return F.when((method == "jd") & (official != ours), margin).otherwise(F.lit(0.0))
 
 
+def robberies(rows: DataFrame, key: str) -> DataFrame:
+    """Fights (key, method, official, ours, margin) with their robbery, the
+    greatest first."""
+    return rows.withColumn("robbery", robbery(F.col("method"), F.col("official"), F.col("ours"), F.col("margin"))).orderBy(F.desc("robbery"), key)
+
+
 def leaderboard(cards: DataFrame, meta: DataFrame) -> DataFrame:
     """Cards with names, the greatest robbery first, fights in order on ties."""
     named = lambda c: F.when(F.col(c) == "A", F.col("bot_a")).when(F.col(c) == "B", F.col("bot_b"))
     official = F.when(F.col("m.winner") == F.col("bot_a"), "A").when(F.col("m.winner") == F.col("bot_b"), "B")
     rows = cards.alias("c").join(meta.alias("m"), "fight_id").withColumn("official", official).withColumn("ours", F.col("c.winner"))
-    rows = rows.withColumn("robbery", robbery(F.col("method"), F.col("official"), F.col("ours"), F.col("margin")))
-    return rows.select("fight_id", F.concat_ws(" vs ", "bot_a", "bot_b").alias("bots"), named("ours").alias("our_winner"), named("official").alias("official_winner"), "margin", "robbery").orderBy(F.desc("robbery"), "fight_id")
+    return robberies(rows, "fight_id").select("fight_id", F.concat_ws(" vs ", "bot_a", "bot_b").alias("bots"), named("ours").alias("our_winner"), named("official").alias("official_winner"), "margin", "robbery")
 
 
 def cheap_card(scores: DataFrame) -> DataFrame:

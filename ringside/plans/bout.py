@@ -1,4 +1,4 @@
-"""The per-fight analysis as one lazy plan over all fights at once."""
+"""The per-fight analysis, over all fights at once."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ringside.functions import numeric as N
 from ringside.operators import events, kinematics, momentum, rolling, rubric, segments
+from ringside.saving import save
 
 
 @dataclass
@@ -22,11 +23,6 @@ class Bout:
     momentum: DataFrame
     scorecards: DataFrame
 
-    def release(self) -> None:
-        """Frees what analyse() keeps in memory."""
-        for kept in (self.frames, self.mobility_10hz, self.events):
-            kept.unpersist()
-
 
 def smoothed_frames(frames: DataFrame) -> DataFrame:
     """Frames with smoothed positions, separation, wall distances, joint change
@@ -63,13 +59,14 @@ def kinematic_series(frames: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
 
 
 def analyse(frames: DataFrame, meta: DataFrame) -> Bout:
-    """Frames (see sources.artifacts.frames) and sides to all results. The
-    smoothed frames are kept: every later step reads them."""
-    smooth = smoothed_frames(frames).persist()
+    """Frames (see sources.artifacts.frames) and sides to all results. What
+    several later steps read, the smoothed frames, the mobility at 10 Hz and the
+    events, is written to the shared folder, so that a lost executor loses none."""
+    smooth = save(smoothed_frames(frames), "smoothed")
     control, speed, mobility_10, mobility = kinematic_series(smooth)
-    mobility_10 = mobility_10.persist()
+    mobility_10 = save(mobility_10, "mobility")
     kos = events.knockouts(meta, mobility_10)
-    found = events.merged(events.hits(smooth), events.hazards(smooth), kos).persist()
+    found = save(events.merged(events.hits(smooth), events.hazards(smooth), kos), "events")
     curve = momentum.momentum(meta, control, mobility, found)
     cards = rubric.scorecards(meta, smooth.filter("known"), control, mobility_10)
     return Bout(smooth, control, speed, mobility_10, mobility, found, curve, cards)

@@ -51,12 +51,8 @@ WITH e AS (SELECT user_id, count(*) fights, sum(value) screen_s, avg(value) / qu
 SELECT user_id, fights, round(screen_s, 6) AS screen_s, round(attn_index, 6) AS attn_index, round(screen_s * attn_index, 6) AS media_value,
   wins || '-' || losses AS record, round(CASE WHEN wins + losses > 0 THEN wins / (wins + losses)::DOUBLE ELSE 0 END, 6) AS perf_score FROM e""")
 def league_value(spark, sf_dir):
-    e = ev(spark, sf_dir)
-    index = F.avg("value") / F.percentile("value", 0.2)
-    out = e.groupBy("user_id").agg(F.count("*").alias("fights"), F.sum("value").alias("screen_s"), index.alias("attn_index"), F.count_if(F.col("event_type") == "purchase").alias("wins"), F.count_if(F.col("event_type") == "error").alias("losses"))
-    decided = F.col("wins") + F.col("losses")
-    record = F.concat_ws("-", F.col("wins").cast("string"), F.col("losses").cast("string"))
-    return out.select("user_id", "fights", r6("screen_s", "screen_s"), r6("attn_index", "attn_index"), r6(F.col("screen_s") * F.col("attn_index"), "media_value"), record.alias("record"), r6(F.when(decided > 0, F.col("wins") / decided).otherwise(0.0), "perf_score"))
+    out = league.rolled_up(ev(spark, sf_dir), "user_id", "value", F.col("event_type") == "purchase", F.col("event_type") == "error")
+    return out.select("user_id", "fights", r6("screen_s", "screen_s"), r6("attn_index", "attn_index"), r6("media_value", "media_value"), "record", r6("perf_score", "perf_score"))
 
 
 @query("""
@@ -643,8 +639,8 @@ def robbery_leaderboard(spark, sf_dir):
     tax, disc = 2 * F.sum("l_tax"), F.sum("l_discount")
     c = tab(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.when(tax >= disc, "A").otherwise("B").alias("ours"), F.round(F.abs(tax - disc), 2).alias("margin"))
     rows = tab(spark, sf_dir, "orders").join(c, "o_orderkey").withColumn("official", F.when(F.col("o_orderstatus") == "F", "A").otherwise("B"))
-    method = F.when(F.col("o_orderpriority") == "5-LOW", "jd").otherwise("ko")
-    return rows.select("o_orderkey", "ours", "official", "margin", rubric.robbery(method, F.col("official"), F.col("ours"), F.col("margin")).alias("robbery")).orderBy(F.desc("robbery"), "o_orderkey")
+    rows = rows.withColumn("method", F.when(F.col("o_orderpriority") == "5-LOW", "jd").otherwise("ko"))
+    return rubric.robberies(rows, "o_orderkey").select("o_orderkey", "ours", "official", "margin", "robbery")
 
 
 @query("""
@@ -858,8 +854,7 @@ def html_text(spark, sf_dir):
 
 @query("SELECT page_id, i AS row_no, trim(regexp_replace(items[i + 1], '<[^>]*>', ' ', 'g')) AS item FROM (SELECT page_id, items, unnest(range(0, len(items)))::INTEGER AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<(?:p|li|td|h1|h2)[^>]*>(.*?)</', 1) items FROM pages))")
 def html_rows(spark, sf_dir):
-    items = F.regexp_extract_all("html", F.lit(r"(?s)<(?:p|li|td|h1|h2)[^>]*>(.*?)</"), F.lit(1))
-    return tab(spark, sf_dir, "pages").select("page_id", F.posexplode(items).alias("row_no", "item")).withColumn("item", F.trim(F.regexp_replace("item", "<[^>]*>", " ")))
+    return pages.items(tab(spark, sf_dir, "pages"), "page_id", "html", ["p", "li", "td", "h1", "h2"])
 
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, len(json_keys(props))::INTEGER AS n_keys FROM events")
