@@ -129,4 +129,15 @@ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER
 o AS (SELECT lang, part, max(a) longer FROM (SELECT lang, head part, a FROM f WHERE m = 3 UNION ALL SELECT lang, rest, a FROM f WHERE m = 3) GROUP BY 1, 2),
 r AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, phrase) "rank" FROM b LEFT JOIN o ON o.lang = b.lang AND o.part = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * b.a)
 SELECT lang, "rank", phrase, a, l, r, n, score::BIGINT AS score FROM r JOIN n USING (lang) WHERE "rank" <= 2000""",
+    # Strings of 100 bytes meet by their 128-bit digests.
+    "op12_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
+u AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) n FROM (SELECT doc_id, s, md5_number(substring(h, 2 * s - 1, 200)) w FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 98)) s FROM d WHERE len(h) >= 200))) WHERE n > 1),
+r AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER w <= 100 THEN 0 ELSE 1 END b FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+q AS (SELECT doc_id, s, sum(b) OVER (PARTITION BY doc_id ORDER BY s) k FROM r),
+x AS (SELECT doc_id, min(s) a, max(s) + 100 z FROM q GROUP BY doc_id, k),
+y AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) f FROM x),
+k AS (SELECT doc_id, count(*) n_spans, sum(z - a) n_removed, max(z) z, string_agg(substring(h, 2 * f - 1, 2 * (a - f)), '' ORDER BY a) kept FROM y JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(z, 1) - 1))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
 }
