@@ -972,3 +972,39 @@ def paired_predictions(spark, sf_dir):
     rows = tab(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 5 > 0, (F.col("o_custkey") % 10) / 10).alias("g"), ((F.col("o_orderkey") % 7) / 7).alias("m"), y.alias("y"))
     brier = lambda p: F.avg(F.pow(F.col(p) - F.col("y"), 2))
     return prebout.paired(rows, "g", "m", "y").agg(F.count("*").alias("n"), r6(brier("g"), "generic_brier"), r6(brier("m"), "main_brier"))
+
+
+# --- video pages made of the parts' and orders' tables -----------------------------
+
+
+@query("SELECT o_orderkey AS page, CASE WHEN o_orderkey % 9 > 0 THEN o_orderkey * 3 END AS views, CASE WHEN o_custkey % 4 > 0 THEN greatest(o_custkey % 97, 40) / 100.0::DOUBLE END AS heat_peak, CASE WHEN o_custkey % 4 > 0 THEN 2 ELSE 0 END AS n_heat_markers FROM orders")
+def watch_pages(spark, sf_dir):
+    views = F.when(F.col("o_orderkey") % 9 > 0, F.concat(F.lit('var ytInitialPlayerResponse = {"a": "}{", "videoDetails": {"viewCount": "'), (F.col("o_orderkey") * 3).cast("string"), F.lit('"}};'))).otherwise("<p>gone</p>")
+    mark = lambda v: F.concat(F.lit('"heatMarkerIntensityScoreNormalized" : '), v.cast("string"), F.lit(", "))
+    heat = F.when(F.col("o_custkey") % 4 > 0, F.concat(mark((F.col("o_custkey") % 97) / 100), mark(F.lit(0.4)))).otherwise("")
+    rows = tab(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), F.concat(views, heat).alias("html"))
+    return pages.watch_stats(rows, "page", "html")
+
+
+@query("""
+SELECT 'v' || o_orderkey AS yt_id, o_totalprice AS duration_s, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey END AS view_count, o_custkey AS like_count, NULL::BIGINT AS comment_count, o_custkey % 100 AS heat_end FROM orders""")
+def video_metadata(spark, sf_dir):
+    views = F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderkey").cast("string")).otherwise("many")
+    heat = F.array(F.struct(F.lit(0.0).alias("start_time"), (F.col("o_custkey") % 100).cast("double").alias("end_time"), F.lit(0.5).alias("value")))
+    doc = F.to_json(F.struct(F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_totalprice").alias("duration"), views.alias("view_count"), F.col("o_custkey").alias("like_count"), heat.alias("heatmap")))
+    found = pages.video_info(tab(spark, sf_dir, "orders").select(doc.alias("doc")), "doc")
+    return found.select("yt_id", "duration_s", "view_count", "like_count", "comment_count", F.get("heatmap", F.lit(0))["end_time"].cast("long").alias("heat_end"))
+
+
+@query("""
+SELECT p_brand AS channel, 'v' || p_partkey AS yt_id, p_name AS title, CASE WHEN p_partkey % 3 > 0 THEN p_partkey * 1000 END AS views_approx FROM part""")
+def channel_pages(spark, sf_dir):
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    key, part = F.col("p_partkey"), tab(spark, sf_dir, "part")
+    shown = F.when(key % 3 > 0, F.concat((key * 1000).cast("string"), F.lit(" views"))).otherwise("")
+    old = F.concat(F.lit('{"videoRenderer":{"videoId":"v'), key.cast("string"), F.lit('","title":{"runs":[{"text":'), q(F.col("p_name")), F.lit('}]},"viewCountText":{"simpleText":'), q(shown), F.lit("}}}"))
+    new = F.concat(F.lit('{"lockupViewModel":{"contentId":"v'), key.cast("string"), F.lit('","metadata":{"title":{"content":'), q(F.col("p_name")), F.lit('},"rows":[{"text":{"content":'), q(shown), F.lit("}}]}}}"))
+    entry = F.when(key % 2 == 0, old).otherwise(new)
+    rows = part.select(F.col("p_brand").alias("channel"), entry.alias("e")).groupBy("channel").agg(F.array_join(F.sort_array(F.collect_list("e")), ",").alias("e"))
+    html = F.concat(F.lit("<script>var ytInitialData = {\"contents\":["), F.col("e"), F.lit("]};</script>"))
+    return pages.channel_videos(rows.select("channel", html.alias("html")), "channel", "html")
