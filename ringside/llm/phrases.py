@@ -36,7 +36,7 @@ PARTS = 16
 SHARD = 1 << 20
 #: Phrases (with repeats) that a range of quotients gets.
 RANGE = 1 << 20
-PART = 1 << 20
+PART = 1 << 22
 DICTIONARY = 500_000
 LONG = 64
 BROADCAST_ROWS = 500_000
@@ -77,15 +77,15 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _by_lang(batch: pa.RecordBatch):
-    """(lang, texts) of a batch, in parts of about PART bytes."""
-    for lang in batch.column("lang").unique().to_pylist():
-        texts = batch.column("text").filter(pc.equal(batch.column("lang"), lang))
-        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).cumsum()
-        lo = 0
-        while lo < len(texts):
-            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + PART, "right")))
-            yield lang, texts[lo:hi]
-            lo = hi
+    """(lang, texts) of a batch, in parts of PART bytes or one row."""
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).cumsum()
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + PART, "right")))
+        part = batch.slice(lo, hi - lo)
+        for lang in part.column("lang").unique().to_pylist():
+            yield lang, part.column("text").filter(pc.equal(part.column("lang"), lang))
+        lo = hi
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -196,15 +196,16 @@ def merge(blobs: list[bytes], first: int) -> tuple[np.ndarray, np.ndarray]:
 class Dictionary:
     """Ids, from 1 on, of words by language."""
 
-    def __init__(self, langs: list[str], words: list[str], whole: bool):
+    def __init__(self, langs: pa.Array, words: pa.Array, whole: bool):
         self.whole = whole
         self.bits = max(1, len(words).bit_length())
-        self.langs, self.words = np.array(["", *langs], object), np.array(["", *words], object)
+        self.words = words.cast(pa.large_string())
+        coded = langs.dictionary_encode()
+        self.langs, self.lang_of = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         self.of: dict[str, tuple[pa.Array, np.ndarray]] = {}
-        for lang in set(langs):
-            ids = np.flatnonzero(self.langs == lang)
-            ids = ids[ids > 0]
-            self.of[lang] = pa.array(self.words[ids].tolist(), pa.large_string()), ids
+        for k, lang in enumerate(self.langs.to_pylist()):
+            at = np.flatnonzero(self.lang_of == k)
+            self.of[lang] = self.words.take(pa.array(at)), at + 1
 
     def ids(self, lang: str, words: pa.Array) -> np.ndarray:
         """0: a word that has none."""
@@ -214,11 +215,20 @@ class Dictionary:
         each = np.append(ids, 0)[found]
         return each[coded.indices.to_numpy(zero_copy_only=False)].astype(np.uint64)
 
+    def phrases(self, ids: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+        """Languages and texts of phrases by their three ids (the last may be 0)."""
+        words = [self.words.take(pa.array(np.maximum(i, 1) - 1)) for i in ids]
+        space = pa.scalar(" ", pa.large_string())
+        two, three = (pc.binary_join_element_wise(*words[:k], space) for k in (2, 3))
+        return self.langs.take(pa.array(self.lang_of[ids[0] - 1])), pc.if_else(pa.array(ids[2] > 0), three, two)
+
 
 def _dictionary(words: DataFrame, size: int) -> Dictionary:
     """The ``size`` most frequent words of LONG bytes at most."""
     rows = words.filter(F.octet_length("word") <= LONG).orderBy(F.desc("n"), "lang", "word").limit(size).select("lang", "word").toArrow()
-    return Dictionary(rows["lang"].to_pylist(), rows["word"].to_pylist(), rows.num_rows == words.count())
+    rows = rows.combine_chunks()
+    whole = lambda c: pa.concat_arrays(rows[c].chunks) if rows[c].num_chunks else pa.array([], pa.string())
+    return Dictionary(whole("lang"), whole("word"), rows.num_rows == words.count())
 
 
 def phrase_counts(documents: DataFrame, words: DataFrame, total: int, min_count: int = MIN_COUNT, dictionary: int = DICTIONARY, shard: int = SHARD, per_range: int = RANGE) -> DataFrame:
@@ -275,8 +285,8 @@ def phrase_counts(documents: DataFrame, words: DataFrame, total: int, min_count:
         x, n = Permutation(bits).backward(x[n >= min_count]), n[n >= min_count]
         mask, b = np.uint64((1 << own.bits) - 1), np.uint64(own.bits)
         ids = [(x >> (b * np.uint64(j)) & mask).astype(np.int64) for j in (2, 1, 0)]
-        texts = [f"{u} {v} {w}" if w else f"{u} {v}" for u, v, w in zip(*(own.words[i] for i in ids), strict=True)]
-        return pa.table([pa.array(own.langs[ids[0]].tolist(), pa.string()), pa.array(texts, pa.string()), pa.array(2 + (ids[2] > 0), pa.int32()), pa.array(n, pa.int64())], names=["lang", "phrase", "words", "a"])
+        langs, texts = own.phrases(ids)
+        return pa.table([langs.cast(pa.string()), texts.cast(pa.string()), pa.array(2 + (ids[2] > 0), pa.int32()), pa.array(n, pa.int64())], names=["lang", "phrase", "words", "a"])
 
     each = save(_keyed(documents).mapInArrow(run, "range long, filter binary, lang string, phrase string, words int, n long"), "filters")
     out = each.filter("filter is not null").select("range", "filter").groupBy("range").applyInArrow(merged, "lang string, phrase string, words int, a long")
