@@ -224,6 +224,25 @@ def test_a_footer_goes_from_short_and_long_pages_and_copies_keep_theirs(spark):
     assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(frame(spark, rows)).collect()} == dict(rows)
 
 
+def test_very_long_texts_lose_their_footer_and_nothing_else(spark):
+    rng = np.random.default_rng(43)
+    footer = [prose(8, rng) for _ in range(3)]
+    body = [f"a{i} b{i % 97} own words of line {'abcdefghij'[i % 10] * (i % 13 + 1)}{i:x}" for i in range(30_000)]
+    rows = [(1, "\n".join([*body, *footer])), *((10 + i, "\n".join([prose(30, rng), prose(31, rng), *footer])) for i in range(30))]
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    assert got[1]["n_lines"] == 30_003 and got[1]["n_dropped"] == 3 and got[1]["text"] == "\n".join(body)
+    assert all(r["n_dropped"] == 3 for d, r in got.items() if d > 1)
+
+
+def test_quality_measures_very_long_texts_whole(spark):
+    rng = np.random.default_rng(44)
+    long = prose(120_000, rng)
+    rows = quality.measured(frame(spark, [(1, long), (2, long + " " + "!" * 400_000), (3, None), (4, "")])).collect()
+    one, two = (next(r for r in rows if r["doc_id"] == k) for k in (1, 2))
+    numbers = lambda r: [v for k, v in r.asDict(recursive=True).items() if k not in ("doc_id", "text")]
+    assert len(rows) == 4 and numbers(one) != numbers(two)  # the end counts as well
+
+
 def brute_lines(rows, order, least=20, share=0.1):
     """Which lines go, by the docstring's rules in plain Python; ``order`` has
     the hashes of a line and of its leaf, by which votes are chosen."""
