@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ringside.functions import numeric as N
 from ringside.functions import text as T
 from ringside.operators import attention, calibration, cluster, events, exposure, grids, kinematics, league, matching, momentum, overlay, prebout, rolling, rubric, segments
-from ringside.sources import corpora, pages
+from ringside.sources import corpora, pages, responses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1008,3 +1008,14 @@ def channel_pages(spark, sf_dir):
     rows = part.select(F.col("p_brand").alias("channel"), entry.alias("e")).groupBy("channel").agg(F.array_join(F.sort_array(F.collect_list("e")), ",").alias("e"))
     html = F.concat(F.lit("<script>var ytInitialData = {\"contents\":["), F.col("e"), F.lit("]};</script>"))
     return pages.channel_videos(rows.select("channel", html.alias("html")), "channel", "html")
+
+
+@query("""
+WITH r AS (SELECT role, conv_id, turn, sha256(role || chr(0) || ('m' || (turn % 2)) || chr(0) || (conv_id % 7)) AS key FROM conversations),
+c AS (SELECT DISTINCT key FROM r WHERE conv_id % 5 = 0 AND turn % 3 > 0), k AS (SELECT role, key, count(*) n, any_value(key NOT IN (SELECT key FROM c)) call FROM r GROUP BY 1, 2)
+SELECT role AS task, sum(n)::BIGINT AS requests, sum(n - call::INT)::BIGINT AS hits, sum(call::INT)::BIGINT AS calls FROM k GROUP BY 1""")
+def response_cache(spark, sf_dir):
+    asked = tab(spark, sf_dir, "conversations").select(F.col("role").alias("task"), F.concat(F.lit("m"), (F.col("turn") % 2).cast("string")).alias("model"), (F.col("conv_id") % 7).cast("string").alias("payload"), "conv_id", "turn")
+    entry = F.when(F.col("turn") % 3 > 0, F.to_json(F.struct("task", "model", F.struct(F.col("turn").alias("score")).alias("result")))).otherwise('{"task": "cut off')
+    cache = asked.filter("conv_id % 5 = 0").select(responses.request_key().alias("key"), entry.alias("entry"))
+    return responses.usage(asked, cache)

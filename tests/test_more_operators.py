@@ -211,3 +211,18 @@ def test_rosters_histories_logs_and_reports(spark, tmp_path):
     got = corpora.cached(frame(spark, [("u",), ("w",)], "url string"), frame(spark, [("u", "body")], "url string, body string").select(F.sha2(F.col("url").cast("binary"), 256).alias("key"), "body"))
     assert {r["url"]: r["cached"] for r in got.collect()} == {"u": True, "w": False}
     assert events.HIT_FACTOR == 4.0
+
+
+def test_response_cache_drops_corrupt_entries_and_keeps_the_newest(spark):
+    from ringside.sources import responses
+
+    asked = frame(spark, [("t", "m", "a"), ("t", "m", "a"), ("t", "m", "b"), ("u", "m", None), ("u", "m", "")], "task string, model string, payload string")
+    keyed = {(r["task"], r["payload"]): r["key"] for r in asked.select("*", responses.request_key().alias("key")).collect()}
+    cache = frame(spark, [(keyed["t", "a"], '{"result": {"x": 1}}'), (keyed["t", "b"], '{"result": '), (keyed["u", ""], '{"other": 1}'), (None, '{"result": 1}')], "key string, entry string")
+    got = responses.answered(asked, cache).collect()
+    assert len(got) == 5 and sorted(str(r["result"]) for r in got) == ["None"] * 3 + ['{"x":1}'] * 2
+    assert {r["key"] for r in responses.calls(asked, cache).collect()} == {keyed["t", "b"], keyed["u", ""]}
+    assert {tuple(r) for r in responses.usage(asked, cache).collect()} == {("t", 3, 2, 1), ("u", 2, 1, 1)}
+    grown = responses.stored(cache, frame(spark, [("t", "m", "a", "7"), ("t", "m", "b", '["y"]')], "task string, model string, payload string, result string"))
+    assert {(r["task"], r["payload"] or ""): r["result"] for r in responses.answered(asked, grown).collect()} == {("t", "a"): "7", ("t", "b"): '["y"]', ("u", ""): None}
+    assert responses.usage(asked, grown.limit(0)).filter("task = 't'").first()["calls"] == 2
