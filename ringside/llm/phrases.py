@@ -203,8 +203,10 @@ class Dictionary:
         coded = langs.dictionary_encode()
         self.langs, self.lang_of = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         self.of: dict[str, tuple[pa.Array, np.ndarray]] = {}
+        order = np.argsort(self.lang_of, kind="stable")
+        ends = np.searchsorted(self.lang_of[order], np.arange(len(self.langs) + 1))
         for k, lang in enumerate(self.langs.to_pylist()):
-            at = np.flatnonzero(self.lang_of == k)
+            at = order[ends[k] : ends[k + 1]]
             self.of[lang] = self.words.take(pa.array(at)), at + 1
 
     def ids(self, lang: str, words: pa.Array) -> np.ndarray:
@@ -348,5 +350,4 @@ def collocations(documents: DataFrame, min_count: int = MIN_COUNT, within: int =
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)))
     if top is not None:
         ranked = ranked.filter(F.col("rank") <= top)
-    # One row a language.
-    return ranked.join(F.broadcast(totals), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(_few(totals, broadcast_rows), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
