@@ -173,8 +173,10 @@ def fingerprints(documents: DataFrame, **options) -> DataFrame:
     rows, split = with_next(documents, **options)
     order = Window.partitionBy(*KEY, "salt").orderBy("ghost", "doc_id", "k", "text")
     known = F.col("doc_id").isNotNull()
+    # Texts alone are shuffled; anchors are found behind the first window.
+    rows = rows.withColumn("next", F.when(known, F.lead("text").over(order)))
     rows = _with_anchors(rows, "text", "own", never_none=True).withColumn("_placed", placed(F.col("own"))).withColumn("own", sketch(F.col("own")))
-    rows = rows.withColumn("next", F.when(known, F.lead("text").over(order))).withColumn("next_own", F.when(known, F.lead("own").over(order))).filter(~F.col("ghost"))
+    rows = rows.withColumn("next_own", F.when(known, F.lead("own").over(order))).filter(~F.col("ghost"))
     if split:  # all but the last of equal rows that were counted are followed by their like
         rows = rows.select("*", F.posexplode(F.array(F.lit(1).cast("long"), F.col("copies") - 1)).alias("_like", "_times")).filter("_times > 0")
         rows = rows.withColumns({"next": F.when(F.col("_like") == 1, F.col("text")).otherwise(F.col("next")), "next_own": F.when(F.col("_like") == 1, F.col("own")).otherwise(F.col("next_own"))})
