@@ -20,11 +20,12 @@ from __future__ import annotations
 
 import math
 import struct
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import save, ship
@@ -36,10 +37,11 @@ PARTS = 16
 SHARD = 1 << 20
 #: Phrases (with repeats) that a range of quotients gets.
 RANGE = 1 << 20
-PART = 1 << 22
+#: Bytes of texts that a task takes at once, from Spark and in its own steps.
+PART = 1 << 21
 DICTIONARY = 500_000
 LONG = 64
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 
 #: 0: part of a word, 1: blank, 2: end of a piece.
 _KIND = np.zeros(256, np.uint8)
@@ -88,6 +90,22 @@ def _by_lang(batch: pa.RecordBatch):
         lo = hi
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Batches of PART bytes or one row for what is written inside, unless the
+    session names a size of its own. Large ones are allocated beside the heap,
+    each anew, and an executor keeps that memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name, None)
+    if own is None:
+        spark.conf.set(name, PART)
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(name)
+
+
 def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text")
 
@@ -132,11 +150,9 @@ class Permutation:
 
 
 def counted(x: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct numbers and their counts, which are added up."""
-    order = None if n is None else np.argsort(x, kind="stable")
-    x = np.sort(x) if n is None else x[order]
+    """Distinct numbers and their counts, which are added up, of sorted numbers."""
     begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    return x[begin], np.diff(np.append(begin, len(x))) if n is None else np.add.reduceat(n[order], begin) if len(x) else n
+    return x[begin], np.diff(np.append(begin, len(x))) if n is None else np.add.reduceat(n, begin) if len(x) else n
 
 
 def dump(x: np.ndarray, n: np.ndarray, first: int, width: int, quotient: int) -> bytes:
@@ -174,7 +190,7 @@ def load(blob: bytes, first: int) -> tuple[np.ndarray, np.ndarray]:
 def filters(x: np.ndarray, bits: int, ranges: int) -> tuple[np.ndarray, list[bytes]]:
     """A shard's permuted numbers as one filter for each of its ranges (the
     high ``ranges`` bits)."""
-    x, n = counted(x)
+    x, n = counted(np.sort(x))
     width = bits - ranges
     of = (x >> np.uint64(width)).astype(np.int64)
     begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(x) else np.zeros(0, np.int64)
@@ -184,10 +200,16 @@ def filters(x: np.ndarray, bits: int, ranges: int) -> tuple[np.ndarray, list[byt
     return of[begin], [dump(x[a:b], n[a:b], int(of[a]) << width, width, fit(int(b - a))) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
 
 
-def merge(blobs: list[bytes], first: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted filters of one range as one: numbers and counts."""
-    xs, ns = zip(*(load(b, first) for b in blobs), strict=True)
-    return counted(np.concatenate(xs), np.concatenate(ns))
+def merge(blobs: list, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted filters (bytes or buffers) of one range as one: numbers and counts."""
+    ends = np.cumsum([struct.unpack_from("<I", b)[0] for b in blobs]).tolist()
+    x, n = np.empty(ends[-1], np.uint64), np.empty(ends[-1], np.int64)
+    for blob, a, b in zip(blobs, [0, *ends], ends, strict=False):
+        x[a:b], n[a:b] = load(blob, first)
+    order = np.argsort(x, kind="stable")
+    x, n = x[order], n[order]
+    del order
+    return counted(x, n)
 
 
 # --- phrases -------------------------------------------------------------------------
@@ -252,8 +274,9 @@ def phrase_counts(documents: DataFrame, words: DataFrame, total: int, min_count:
         held: list[np.ndarray] = []
 
         def out():
-            at, blobs = filters(permutation.forward(np.concatenate(held)), bits, ranges)
+            packed = np.concatenate(held)
             held.clear()
+            at, blobs = filters(permutation.forward(packed), bits, ranges)
             return rows(at, blobs, None, None, None, None)
 
         for batch in batches:
@@ -283,14 +306,15 @@ def phrase_counts(documents: DataFrame, words: DataFrame, total: int, min_count:
 
     def merged(key, table):
         own = sent.value
-        x, n = merge(table["filter"].to_pylist(), key[0].as_py() << (bits - ranges))
+        x, n = merge([f.as_buffer() for f in table["filter"]], key[0].as_py() << (bits - ranges))
         x, n = Permutation(bits).backward(x[n >= min_count]), n[n >= min_count]
         mask, b = np.uint64((1 << own.bits) - 1), np.uint64(own.bits)
         ids = [(x >> (b * np.uint64(j)) & mask).astype(np.int64) for j in (2, 1, 0)]
         langs, texts = own.phrases(ids)
         return pa.table([langs.cast(pa.string()), texts.cast(pa.string()), pa.array(2 + (ids[2] > 0), pa.int32()), pa.array(n, pa.int64())], names=["lang", "phrase", "words", "a"])
 
-    each = save(_keyed(documents).mapInArrow(run, "range long, filter binary, lang string, phrase string, words int, n long"), "filters")
+    with _small_batches(documents.sparkSession):
+        each = save(_keyed(documents).mapInArrow(run, "range long, filter binary, lang string, phrase string, words int, n long"), "filters")
     out = each.filter("filter is not null").select("range", "filter").groupBy("range").applyInArrow(merged, "lang string, phrase string, words int, a long")
     if known.whole:
         return out
@@ -318,7 +342,8 @@ def collocations(documents: DataFrame, min_count: int = MIN_COUNT, within: int =
     ignored, whatever their names. No rows: none.
     """
     ship(documents.sparkSession)
-    counts = save(word_counts(documents), "words")
+    with _small_batches(documents.sparkSession):
+        counts = save(word_counts(documents), "words")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = counts.filter(F.col("n") >= min_count)
     total = totals.agg(F.sum("n")).first()[0] or 0

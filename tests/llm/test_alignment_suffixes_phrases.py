@@ -3,6 +3,7 @@ and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 from itertools import pairwise
 
@@ -252,6 +253,45 @@ def test_collocations_of_no_rows(spark):
     assert phrases.collocations(frame(spark, [(None, None)], "lang string, text string")).count() == 0
 
 
+@pytest.mark.parametrize("own", [None, "100"])
+def test_collocation_tasks_get_small_batches(spark, speech, monkeypatch, own):
+    name, seen, save = "spark.sql.execution.arrow.maxBytesPerBatch", {}, phrases.save
+    monkeypatch.setattr(phrases, "save", lambda df, table: (seen.update({table: spark.conf.get(name)}), save(df, table))[1])
+    if own is not None:
+        spark.conf.set(name, own)
+    try:
+        docs = frame(spark, speech, "lang string, text string").repartition(3)
+        assert plain(phrases.collocations(docs)) == brute_collocations(speech)
+        assert spark.conf.get(name, None) == own  # as it was before
+    finally:
+        spark.conf.unset(name)
+    assert {seen["words"], seen["filters"]} == {own or str(phrases.PART)}
+
+
+def test_a_task_gets_batches_of_a_few_texts(spark):
+    docs = spark.range(40, numPartitions=1).select(F.lit("en").alias("lang"), F.repeat(F.lit("word "), 40_000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows]})
+
+    with phrases._small_batches(spark):
+        got = [r["rows"] for r in docs.mapInArrow(sizes, "rows long").collect()]
+    assert sum(got) == 40 and max(got) <= 11  # of 200 kB each; 40 by Spark's own rule
+
+
+def test_a_merge_holds_its_numbers_only_a_few_times():
+    rng = np.random.default_rng(4)
+    blobs = [phrases.filters(rng.integers(0, 1 << 45, 1 << 16, np.uint64), 45, 0)[1][0] for _ in range(4)]
+    numbers = len(phrases.merge(blobs, 0)[0])
+    tracemalloc.start()
+    try:
+        phrases.merge(blobs, 0)
+        assert tracemalloc.get_traced_memory()[1] < 56 * numbers
+    finally:
+        tracemalloc.stop()
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     rows = [(10**12 + 7, 10**12 + 9, 10**12 + 8), (3, 7, 11), (999_999_999_999, 10**12, 10**12)]
     got = phrases._score(spark.createDataFrame(rows, "a long, l long, r long")).collect()
