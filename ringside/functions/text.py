@@ -117,11 +117,6 @@ def marks(text: Column, pattern: str) -> Column:
     return F.aggregate(both, begin, step, lambda s: s["out"])
 
 
-def between(text: Column, start: Column, stop: Column) -> Column:
-    """The characters from ``start`` up to ``stop``."""
-    return F.substring(text, start + 1, F.greatest(stop - start, F.lit(0)))
-
-
 def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), F.lit(1))
 

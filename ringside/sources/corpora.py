@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ringside.functions.text import SPACES, between, first_rule, marks, palette_index, result_method, squeezed, stripped, stripped_html
+from ringside.functions.text import WEAPON_RULES, first_rule, palette_index, result_method, squeezed, stripped, stripped_html
+from ringside.shipping import ship
 
 # Known colours, and the palette of all others.
 KNOWN_COLORS = {
@@ -30,7 +34,7 @@ MANIFEST = "fight_id STRING, episode INT, bots ARRAY<STRING>, role STRING, synth
 # address ends in ROBOT_PAGE, with a name of NAME_CHARS characters; the weapon
 # stands, in WEAPON_CHARS characters, behind its label in the next CARD_CHARS;
 # some links are to the list itself. A tag and its text have ADDRESS_CHARS at most.
-ROBOT_PAGE = "(?i)/robots?/[a-z0-9-]+/?$"
+ROBOT_PAGE = re.compile(r"/robots?/[a-z0-9-]+/?(?:\r\n|[\n\r\x85\u2028\u2029])?\Z", re.IGNORECASE | re.ASCII)
 NAME_CHARS, WEAPON_CHARS, CARD_CHARS, ADDRESS_CHARS = (2, 40), (3, 60), 1500, 4000
 LIST_LINKS = ("", "robots", "the robots", "meet the robots")
 
@@ -136,48 +140,53 @@ def history_rows(rows: DataFrame, bot: Column) -> DataFrame:
     return out.filter("opponent <> ''")
 
 
-def roster_cards(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, name, weapon_text, weapon_class): cards that link to a robot, the
-    first of each name; the weapon is looked for in the next CARD_CHARS characters."""
-    from ringside.functions.text import WEAPON_RULES
+_LINK, _TAG, _LABEL = re.compile('href="', re.IGNORECASE | re.ASCII), re.compile("<[^>]*>"), re.compile("weapon", re.IGNORECASE)
+# What may stand between a label and its value: "type", a colon, tags.
+_SKIPPED = re.compile(r"(?:\s+(?i:type))?\s*:?[\s\x01]*")
 
-    text = F.col(html)
 
-    def card(link: Column) -> Column:
+def robot_cards(html: str) -> list[dict]:
+    """The cards (name, weapon_text) that link to a robot, in order. Only the
+    places behind a link are looked at, so the time grows with the text alone."""
+    out = []
+    for m in _LINK.finditer(html):
         # The address, the rest of the tag, and the name, up to the next tag.
-        after = between(text, link["stop"], link["stop"] + ADDRESS_CHARS)
-        url = F.substring_index(after, '"', 1)
-        tail = F.get(F.split(after, '"', 2), F.lit(1))
-        tag = F.substring_index(tail, ">", 1)
-        shown = F.get(F.split(tail, ">", 2), F.lit(1))
-        name = F.substring_index(shown, "<", 1)
-        whole = url.rlike(ROBOT_PAGE) & shown.contains("<") & F.char_length(name).between(*NAME_CHARS)
-        end = link["stop"] + F.char_length(url) + F.char_length(tag) + F.char_length(name) + 3
-        return F.struct(F.coalesce(whole, F.lit(False)).alias("is_card"), name.alias("name"), end.alias("end"))
-
-    cards = F.filter(F.transform(marks(text, '(?i)href="'), card), lambda c: c["is_card"])
-    both = pages.select(key, F.posexplode(F.transform(cards, lambda c: F.struct(c["name"].alias("name"), between(text, c["end"], c["end"] + CARD_CHARS).alias("after")))).alias("at", "c"))
-    rows = both.select(key, "at", squeezed(F.col("c.name")).alias("name"), weapon_after(F.col("c.after")).alias("weapon_text")).filter(~F.lower("name").isin(*LIST_LINKS))
-    first = F.row_number().over(Window.partitionBy(key, F.lower("name")).orderBy("at"))
-    cls = first_rule(F.when(F.col("weapon_text") != "", F.col("weapon_text")).otherwise(F.col("name")), WEAPON_RULES)
-    return rows.withColumn("_rn", first).filter("_rn = 1").select(key, "name", "weapon_text", cls.alias("weapon_class"))
+        most = m.end() + ADDRESS_CHARS
+        quote = html.find('"', m.end(), most)
+        close = html.find(">", quote + 1, most) if quote >= 0 else -1
+        end = html.find("<", close + 1, most) if close >= 0 else -1
+        if end >= 0 and NAME_CHARS[0] <= end - close - 1 <= NAME_CHARS[1] and ROBOT_PAGE.search(html[m.end() : quote]):
+            out.append({"name": html[close + 1 : end], "weapon_text": weapon_after(html[end + 1 : end + 1 + CARD_CHARS])})
+    return out
 
 
-def weapon_after(html: Column) -> Column:
+def weapon_after(html: str) -> str:
     """The text behind the first "weapon" label, or "weapon type", that has
     one: past a colon and any tags, up to the next tag. '' without one."""
-    tag = "\u0001"
-    plain = F.regexp_replace(html, "<[^>]*>", tag)
     least, most = WEAPON_CHARS
+    plain = _TAG.sub("\x01", html) if _LABEL.search(html) else ""
+    for m in _LABEL.finditer(plain):
+        value = re.split("[<\x01]", plain[_SKIPPED.match(plain, m.end()).end() :], maxsplit=1)[0][:most]
+        if len(value) >= least:
+            return value.strip()
+    return ""
 
-    def value(label: Column) -> Column:
-        rest = between(plain, label["stop"], label["stop"] + CARD_CHARS)
-        for skip in (rf"^{SPACES}(?i:type)", rf"^{SPACES}", "^:", rf"^(?:{SPACES}|{tag})+"):
-            rest = F.regexp_replace(rest, skip, "")
-        return F.left(F.regexp_extract(rest, f"^[^<{tag}]*", 0), F.lit(most))
 
-    found = F.filter(F.transform(marks(plain, "(?i)weapon"), value), lambda v: F.char_length(v) >= least)
-    return stripped(F.coalesce(F.get(found, F.lit(0)), F.lit("")))
+def roster_cards(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, name, weapon_text, weapon_class): cards that link to a robot, the
+    first of each name; the weapon is looked for in the next CARD_CHARS
+    characters. A page is read in one row and one pass."""
+    ship(pages.sparkSession)
+
+    @F.pandas_udf("array<struct<name:string,weapon_text:string>>")
+    def cards(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: robot_cards(text or ""))
+
+    both = pages.select(key, F.posexplode(cards(F.make_valid_utf8(html))).alias("at", "c"))
+    rows = both.select(key, "at", squeezed(F.col("c.name")).alias("name"), F.col("c.weapon_text").alias("weapon_text")).filter(~F.lower("name").isin(*LIST_LINKS))
+    first = F.row_number().over(Window.partitionBy(key, F.lower("name")).orderBy("at"))
+    cls = first_rule(F.when(F.col("weapon_text") != "", F.col("weapon_text")).otherwise(F.col("name")), WEAPON_RULES)
+    return rows.withColumn("_rn", first).filter("_rn = 1").select(key, "name", "weapon_text", cls.alias("weapon_class"))
 
 
 def cached(urls: DataFrame, cache: DataFrame) -> DataFrame:

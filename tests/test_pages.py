@@ -118,6 +118,15 @@ def test_cards_and_their_weapons(spark):
     assert got["El Toro"][0] == "Vertical spinner" and got["Two"][0] == "overhead axe" and got["Th"][0] == ""
 
 
+def test_a_long_list_of_cards_is_read_in_one_pass(spark):
+    n = 1000
+    html = "".join(f'<a href="/robots/b-{k}">Bot {k}</a> weapon: <i>drum {k}</i>{"<hr>" * 400}<a href="/robots/">Robots</a>{"<hr>" * 400}' for k in range(n))
+    began = time.perf_counter()
+    got = corpora.roster_cards(frame(spark, [("p", html)], "page string, html string"), "page", "html").collect()
+    assert sorted(map(tuple, got)) == sorted(("p", f"Bot {k}", f"drum {k}", "drum") for k in range(n))
+    assert time.perf_counter() - began < 30  # minutes, when each card was cut out of the whole page
+
+
 def test_history_rows_strip_seeds_records_and_spaces(spark):
     cell = lambda *c: "<tr>" + "".join(f"<td>{x}</td>" for x in c) + "</tr>"
     html = f"<table>{cell(*['World Cup  2-1'] * 3)}{cell('Final', 'VS.  Señor Bot (12) ', 'Lost (JD)')}{cell(*['Exhibition'] * 3)}{cell('', 'vs. Ox', 'Won')}{cell('', 'vs. (1)', 'Won')}</table>"
