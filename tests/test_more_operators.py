@@ -226,3 +226,25 @@ def test_response_cache_drops_corrupt_entries_and_keeps_the_newest(spark):
     grown = responses.stored(cache, frame(spark, [("t", "m", "a", "7"), ("t", "m", "b", '["y"]')], "task string, model string, payload string, result string"))
     assert {(r["task"], r["payload"] or ""): r["result"] for r in responses.answered(asked, grown).collect()} == {("t", "a"): "7", ("t", "b"): '["y"]', ("u", ""): None}
     assert responses.usage(asked, grown.limit(0)).filter("task = 't'").first()["calls"] == 2
+
+
+def test_ties_are_summed_in_the_order_of_the_rows(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from ringside.plans import queries
+
+    rng = np.random.default_rng(7)
+    order, tax, discount = rng.integers(0, 3000, 20_000), rng.integers(0, 9, 20_000) / 100, rng.integers(0, 11, 20_000) / 100
+    items = pa.table({"l_orderkey": order, "l_tax": tax, "l_discount": discount})
+    (tmp_path / "lineitem.parquet").mkdir()
+    for part in range(4):
+        pq.write_table(items.slice(part * 5000, 5000), tmp_path / "lineitem.parquet" / f"part-{part}.parquet")
+    keys = sorted(set(order.tolist()))
+    pq.write_table(pa.table({"o_orderkey": keys, "o_orderstatus": ["F"] * len(keys), "o_orderpriority": ["5-LOW"] * len(keys)}), tmp_path / "orders.parquet")
+    a, b = dict.fromkeys(keys, 0.0), dict.fromkeys(keys, 0.0)
+    for k, t, d in zip(order.tolist(), tax.tolist(), discount.tolist()):
+        a[k], b[k] = a[k] + t, b[k] + d
+    rows = {r["o_orderkey"]: r for r in queries.robbery_leaderboard(spark, str(tmp_path)).collect()}
+    assert {k: r["ours"] for k, r in rows.items()} == {k: "A" if 2 * a[k] >= b[k] else "B" for k in keys}
+    assert all(r["margin"] == round(abs(2 * a[k] - b[k]), 2) for k, r in rows.items())
