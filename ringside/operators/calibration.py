@@ -15,6 +15,10 @@ from ringside.shipping import ship
 from . import segments
 
 
+# Fixed value: a singular value of so small a share of the largest is rounding.
+SAME = 1e-10
+
+
 def _solved(image: np.ndarray, floor: np.ndarray) -> np.ndarray | None:
     """The homography of least squares through point pairs, its last entry 1."""
     rows = []
@@ -26,6 +30,30 @@ def _solved(image: np.ndarray, floor: np.ndarray) -> np.ndarray | None:
     return np.append(np.linalg.lstsq(a, floor.ravel(), rcond=None)[0], 1.0)
 
 
+def _rank(image: np.ndarray, floor: np.ndarray) -> int:
+    """How much point pairs say of a homography: it is determined from 8 on."""
+    unit = lambda p: (p - p.mean(axis=0)) / (p.std() or 1.0)
+    rows = []
+    for (x, y), (u, v) in zip(unit(image), unit(floor), strict=True):
+        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y, -u], [0, 0, 0, x, y, 1, -v * x, -v * y, -v]]
+    s = np.linalg.svd(np.array(rows), compute_uv=False)
+    return int((s > SAME * s[0]).sum())
+
+
+def _telling(image: np.ndarray, floor: np.ndarray) -> list[int]:
+    """The point pairs, in order, that say more than those before them, up to
+    the one that determines the homography."""
+    taken: list[int] = []
+    rank = 0
+    for k in range(len(image)):
+        if (more := _rank(image[[*taken, k]], floor[[*taken, k]])) > rank:
+            taken.append(k)
+            rank = more
+        if rank >= 8:
+            break
+    return taken
+
+
 def _misses(h: np.ndarray, image: np.ndarray, floor: np.ndarray) -> np.ndarray:
     p = np.c_[image, np.ones(len(image))] @ h.reshape(3, 3).T
     return ((p[:, :2] / p[:, 2:] - floor) ** 2).sum(axis=1)
@@ -34,7 +62,7 @@ def _misses(h: np.ndarray, image: np.ndarray, floor: np.ndarray) -> np.ndarray:
 def fit(image: np.ndarray, floor: np.ndarray) -> np.ndarray | None:
     """Nine numbers, row by row; four pairs are solved, more by the least median
     of squares over sets of four, then by the pairs that this one explains."""
-    if len(image) < 4:
+    if len(image) < 4 or _rank(image, floor) < 8:
         return None
     if len(image) == 4:
         return _solved(image, floor)
@@ -49,15 +77,21 @@ def fit(image: np.ndarray, floor: np.ndarray) -> np.ndarray | None:
     return _solved(image[good], floor[good]) if good.sum() >= 4 else best
 
 
-def fitted(pairs: DataFrame, keys: list[str]) -> DataFrame:
+def fitted(pairs: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """(keys, h, error_m): a homography of nine numbers for each key from point
     pairs (ix, iy, fx, fy) and its RMS error. A key has the few points that a
-    person marked; keys without four sound pairs have no row."""
+    person marked; keys without four sound pairs have no row. With ``order``, a
+    key may have many: they are taken by it, and only those that say more than
+    the ones before, until the homography is determined."""
     ship(pairs.sparkSession)
     kinds = dict(pairs.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order) if order else pdf
         image, floor = pdf[["ix", "iy"]].to_numpy(float), pdf[["fx", "fy"]].to_numpy(float)
+        if order:
+            taken = _telling(image, floor)
+            image, floor = image[taken], floor[taken]
         h = fit(image, floor)
         if h is None:
             return pd.DataFrame(columns=[*keys, "h", "error_m"])
@@ -65,7 +99,7 @@ def fitted(pairs: DataFrame, keys: list[str]) -> DataFrame:
         return pd.DataFrame([row | {"h": h.tolist(), "error_m": float(np.sqrt(_misses(h, image, floor).mean()))}])
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    return pairs.select(*keys, "ix", "iy", "fx", "fy").dropna().groupBy(*keys).applyInPandas(run, f"{schema}, h array<double>, error_m double")
+    return pairs.select(*keys, "ix", "iy", "fx", "fy", *([order] if order else [])).dropna().groupBy(*keys).applyInPandas(run, f"{schema}, h array<double>, error_m double")
 
 
 def rms_error(px: Column, py: Column, x: Column, y: Column) -> Column:

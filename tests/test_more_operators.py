@@ -75,6 +75,19 @@ def test_homographies_are_fitted_with_and_without_an_outlier(spark):
     assert pairs.filter("k = 1").agg(calibration.rms_error(px, py, F.col("fx"), F.col("fy"))).first()[0] == pytest.approx(0, abs=1e-9)
 
 
+def test_points_on_a_line_take_further_points(spark, tmp_path):
+    from ringside.plans import queries
+
+    # The first user's first five events, and the seventh, are on one line of (x, 7 x % 50).
+    values = {1: [7.55, 9.51, 12.3, 7.3, 12.55, 44.63, 13.03, 25.2, 30.1], 2: [44.63, 7.55, 9.51, 25.2, 30.1, 60.0], 3: [5.0] * 9, 4: [1.0, 20.0, 30.0, 44.0]}
+    rows = [(i, u, v) for u, vs in values.items() for i, v in enumerate(vs)]
+    e = frame(spark, rows, "event_id long, user_id long, value double").withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, event_id)"))
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(map(tuple, queries.homography_fit(spark, str(tmp_path)).collect()))
+    # The third's events are all one point, which no homography follows from; the fourth has four.
+    assert got == [(1, 0.0, 1.2, 0.9), (2, 0.0, 1.2, 0.9)]
+
+
 def test_uncalibrated_angles_leave_gaps(spark):
     boxes = frame(spark, [("f", i, i / 10, "a", 10.0, 20.0, 4.0, 2.0) for i in range(4)] + [("g", 0, 0.0, "a", 10.0, 20.0, 4.0, 2.0)], "fight_id string, i int, t double, bot string, bx double, by double, bw double, bh double")
     shots = frame(spark, [("f", 0.0, 0.1, 0, True), ("f", 0.1, 0.2, 1, True), ("f", 0.2, 0.3, 2, False), ("g", 0.0, 1.0, 0, True)], "fight_id string, start_t double, end_t double, shot_idx int, wide boolean")
