@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ringside.functions.text import WEAPON_RULES, first_rule, palette_index, result_method, squeezed, stripped, stripped_html
-from ringside.shipping import ship
+from ringside.sources.pages import read_in_one_pass
 
 # Known colours, and the palette of all others.
 KNOWN_COLORS = {
@@ -176,14 +175,8 @@ def roster_cards(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, name, weapon_text, weapon_class): cards that link to a robot, the
     first of each name; the weapon is looked for in the next CARD_CHARS
     characters. A page is read in one row and one pass."""
-    ship(pages.sparkSession)
-
-    @F.pandas_udf("array<struct<name:string,weapon_text:string>>")
-    def cards(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: robot_cards(text or ""))
-
-    both = pages.select(key, F.posexplode(cards(F.make_valid_utf8(html))).alias("at", "c"))
-    rows = both.select(key, "at", squeezed(F.col("c.name")).alias("name"), F.col("c.weapon_text").alias("weapon_text")).filter(~F.lower("name").isin(*LIST_LINKS))
+    both = read_in_one_pass(pages, key, F.make_valid_utf8(html), robot_cards, ["name", "weapon_text"])
+    rows = both.select(key, "at", squeezed(F.col("name")).alias("name"), "weapon_text").filter(~F.lower("name").isin(*LIST_LINKS))
     first = F.row_number().over(Window.partitionBy(key, F.lower("name")).orderBy("at"))
     cls = first_rule(F.when(F.col("weapon_text") != "", F.col("weapon_text")).otherwise(F.col("name")), WEAPON_RULES)
     return rows.withColumn("_rn", first).filter("_rn = 1").select(key, "name", "weapon_text", cls.alias("weapon_class"))
